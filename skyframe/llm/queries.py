@@ -5,12 +5,21 @@ from __future__ import annotations
 from .embedding_dedup import op7_embedding_passes
 from .mixing import OP3_SQL, op3_mix_golden
 from .packing import op5_pack_ffd
+from .quality import op9_quality_boosted
 from .sharding import op2_shard_feistel
 from .simhash import op6_simhash_covering
 from .topk import OP1_SQL, op1_topk_kdtree
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk_kdtree, op2_shard_feistel, op3_mix_golden, op5_pack_ffd, op6_simhash_covering, op7_embedding_passes)
+    for f in (
+        op1_topk_kdtree,
+        op2_shard_feistel,
+        op3_mix_golden,
+        op5_pack_ffd,
+        op6_simhash_covering,
+        op7_embedding_passes,
+        op9_quality_boosted,
+    )
 }
 ORACLE_SQL = {"op1_topk_kdtree": OP1_SQL, "op3_mix_golden": OP3_SQL}
