@@ -6,6 +6,7 @@ from .embedding_dedup import op7_embedding_passes
 from .mixing import OP3_SQL, op3_mix_golden
 from .packing import op5_pack_ffd
 from .quality import op9_quality_boosted
+from .secret_scan import op4_secrets_forest
 from .sharding import op2_shard_feistel
 from .simhash import op6_simhash_covering
 from .topk import OP1_SQL, op1_topk_kdtree
@@ -16,6 +17,7 @@ QUERIES = {
         op1_topk_kdtree,
         op2_shard_feistel,
         op3_mix_golden,
+        op4_secrets_forest,
         op5_pack_ffd,
         op6_simhash_covering,
         op7_embedding_passes,
