@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -17,40 +17,96 @@ from .common import save, table
 
 END_ID = 2
 #: Entries of a worker's word cache; it is emptied beyond that.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 600_000
 #: Documents of a packing group on average. A group is packed in one task, so this bounds its memory.
 GROUP_ROWS = 4096
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
+#: Marks that, at the end of a word of letters, are a piece of their own for the tokenizer.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def encode(texts: list[bytes | None], path: str) -> Iterator[np.ndarray]:
-    """Token ids of each UTF-8 text, without special tokens.
+class WordCoder:
+    """Token ids of words, kept by word in one flat array; for vocabularies whose pieces hold no white space.
 
-    For vocabularies whose pieces never hold white space: a text is cut at ASCII white space, and
-    the ids of each different word are looked up in the worker's cache or made by the tokenizer.
+    A word of Latin letters is one piece to the tokenizer, so its model is asked for it directly,
+    in the model's spelling of bytes; marks behind it are another piece. Other words go through
+    the whole tokenizer. A worker keeps a coder for each tokenizer file.
     """
-    tokenizer, cache = _tokenizer(path)
-    # Special tokens are spelled in lower case, so only texts without their mark are lower-cased first.
-    cut = [(t if b"<|" in t else t.lower()).split() for t in (x or b"" for x in texts)]
-    for start in range(0, len(cut), 256):
-        block = cut[start : start + 256]
-        new = set(chain.from_iterable(block)).difference(cache)
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = set(chain.from_iterable(block))
-        new = list(new)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            made = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            cache.update(zip(part, (e.ids for e in made), strict=True))
-        for words in block:
-            yield np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), dtype="<u4")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # Bytes of printable characters stand for themselves, the others for characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.spelling = {b: 256 + k for k, b in enumerate(rest)}
+        self.tails: dict[bytes, list[int]] = {}
+        self.empty()
+
+    def empty(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.start, self.length = np.zeros(0, "<u4"), np.zeros(0, "i8"), np.zeros(0, "i8")
+
+    def word(self, word: bytes) -> list[int]:
+        letters = word.rstrip(TAIL)
+        if letters.isalpha():
+            found = self.model.tokenize(letters.decode().lower())
+        else:
+            lower = letters.decode("utf-8", "replace").lower()
+            if not lower.isalpha() or max(lower) >= "\u0250":
+                return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            found = self.model.tokenize(lower.encode().decode("latin-1").translate(self.spelling))
+        ids = [t.id for t in found]
+        if len(letters) < len(word):
+            tail = word[len(letters) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids
+            ids += self.tails[tail]
+        return ids
+
+    def encode(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
+        """Ids of each text, given as its words."""
+        words = list(chain.from_iterable(texts))
+        if len(self.known) > CACHE_WORDS:
+            self.empty()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), "i8", len(words))
+        ids: list[int] = []
+        starts: list[int] = []
+        known, first = self.known, len(self.start)
+        for i in np.flatnonzero(at < 0).tolist():
+            w = words[i]
+            if w not in known:
+                known[w] = first + len(starts)
+                starts.append(len(ids))
+                ids += self.word(w)
+            at[i] = known[w]
+        if starts:
+            begin = np.array(starts)
+            self.start = np.concatenate([self.start, len(self.ids) + begin])
+            self.length = np.concatenate([self.length, np.diff(begin, append=len(ids))])
+            self.ids = np.concatenate([self.ids, np.array(ids, "<u4")])
+        length = self.length[at]
+        ends = length.cumsum()
+        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - length), length)]
+        begin = 0
+        for last in np.concatenate([[0], ends])[np.cumsum(list(map(len, texts)))].tolist():
+            yield flat[begin:last]
+            begin = last
+
+
+@lru_cache(maxsize=2)
+def coder(path: str) -> WordCoder:
+    return WordCoder(path)
+
+
+def encode(texts: list[bytes | None], path: str) -> Iterator[np.ndarray]:
+    """Token ids of each UTF-8 text, without special tokens; texts are cut at ASCII white space."""
+    for start in range(0, len(texts), 512):
+        # Special tokens are spelled in lower case, so only texts without their mark are lower-cased first.
+        yield from coder(path).encode([(t if b"<|" in t else t.lower()).split() for t in (x or b"" for x in texts[start : start + 512])])
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = 4096, keep_ids: bool = False) -> DataFrame:
