@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .embedding_dedup import op7_embedding_passes
+from .lm import op10_lm_maxent
 from .mixing import OP3_SQL, op3_mix_golden
 from .packing import op5_pack_ffd
+from .pii import op8_pii_bootstrap
 from .quality import op9_quality_boosted
 from .secret_scan import op4_secrets_forest
 from .sharding import op2_shard_feistel
@@ -21,7 +23,9 @@ QUERIES = {
         op5_pack_ffd,
         op6_simhash_covering,
         op7_embedding_passes,
+        op8_pii_bootstrap,
         op9_quality_boosted,
+        op10_lm_maxent,
     )
 }
 ORACLE_SQL = {"op1_topk_kdtree": OP1_SQL, "op3_mix_golden": OP3_SQL}

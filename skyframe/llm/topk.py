@@ -121,7 +121,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = S
     queries = base.where("asks").select(F.col("vec_id").alias("query_id"), "q", "dim", home.alias("home"))
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    rows = base.select("vec_id", "q", "dim", home.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    rows = base.select("vec_id", F.col("q").alias("q"), F.col("dim").alias("dim"), home.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def asked(of: DataFrame) -> DataFrame:
         keys = ["dim", "shard", "block"]
