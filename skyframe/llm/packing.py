@@ -185,9 +185,15 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_rows: int = GROUP_ROWS,
     return keyed.groupBy("_group").applyInPandas(packed, schema)
 
 
-def op5_pack_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of 4096 tokens; only the pieces' numbers are shuffled."""
-    import public_tokenizers
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 4096) -> DataFrame:
+    """``docs`` (doc_id, text) cut into pieces of token ids and packed; only the pieces' numbers are shuffled."""
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    return pack(save(token_pieces(docs, tokenizer_path, capacity), "pieces"), capacity)
 
-    pieces = save(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "pieces")
-    return pack(pieces)
+
+def op5_pack_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"))

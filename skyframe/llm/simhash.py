@@ -17,7 +17,7 @@ RADIUS = 4
 #: Fingerprints of a block; blocks of one bucket are compared two at a time, each pair in a group of its own.
 BLOCK = 2048
 #: Rows of bucket comparisons that are done in one group, about.
-TOGETHER = 20_000
+TOGETHER = 2_000
 
 
 def fingerprint(text: bytes | None, n: int = 4) -> int:
