@@ -15,6 +15,7 @@ from ..operators.grid import frames_of, local_maxima, require_single_channel, sq
 from ..operators.moments import star_moments
 from ..operators.peaks import rank_peaks, separate
 from ..operators.stats import robust_noise
+from ..spool import save
 
 #: Of the scale estimate: bright maxima are so many sigma above the median, windows reach so far, a body is above the background by so many sigma and has so many pixels, and its half-flux radius is above.
 BRIGHT_SIGMA, BOOT_RADIUS, BODY_SIGMA, BODY_PIXELS, LEAST_HFR = 10.0, 10, 3.0, 5, 0.3
@@ -41,7 +42,7 @@ def with_sharpness(windows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bright_windows(pixels: DataFrame) -> DataFrame:
-    """Body samples of the bright maxima of raw pixels: frame_id, y, x (the peak), dy, dx, v, background."""
+    """Body samples of the bright maxima of raw pixels, which are read several times: frame_id, y, x (the peak), dy, dx, v, background."""
     noise = robust_noise(pixels, ["frame_id"], "v").where("noise > 0")
     known = pixels.join(noise, "frame_id")
     peaks = local_maxima(known, F.col("median") + BRIGHT_SIGMA * F.col("noise")).select("frame_id", "y", "x", "noise")
@@ -69,7 +70,7 @@ def scale_of(frames: DataFrame, pixels: DataFrame, config: DetectorConfig) -> Da
 
 def response_peaks(pixels: DataFrame, threshold_sigma: float, sigma: Column, radius: int, keep: list[str]) -> DataFrame:
     """Local maxima of the zero-sum response above its median by ``threshold_sigma`` robust sigmas; frames without spread have none."""
-    response = zero_sum_response(pixels, radius, sigma)
+    response = save(zero_sum_response(pixels, radius, sigma), "response")
     noise = robust_noise(response, ["frame_id"], "response").where("noise > 0")
     known = response.join(noise, "frame_id")
     peaks = local_maxima(known, F.col("median") + threshold_sigma * F.col("noise"), "response")
@@ -85,7 +86,9 @@ class MatchedFilterDetector:
     def detect(self, pixels: DataFrame, frames: DataFrame | None = None) -> DataFrame:
         """Stars of each frame of dense single-channel ``pixels``: frame_id, rank, x, y, flux, hfr, fwhm, eccentricity.
 
-        ``rank`` is the order of falling response among the frame's separated peaks.
+        ``rank`` is the order of falling response among the frame's separated peaks. Scales,
+        response, peaks and their samples are written as tables, each read by what follows; ``pixels``
+        is read several times, so give a table.
         """
         config = self.config
         if frames is None:
@@ -93,14 +96,14 @@ class MatchedFilterDetector:
         else:
             require_single_channel(frames)
         frames = frames.where("width > 0 and height > 0").select("frame_id", "width", "height")
-        scale = scale_of(frames, pixels, config)
+        scale = save(scale_of(frames, pixels, config), "scale")
         widest = config.expected_fwhm if config.expected_fwhm is not None else scale.agg(F.max("fwhm")).first()[0]
         radius = math.ceil(3 * max(widest or 1.0, 1.0) / FWHM_PER_SIGMA)
         known = pixels.join(scale.join(frames, "frame_id"), "frame_id")
         keep = ["fwhm", "width", "height"]
         peaks = response_peaks(known, config.threshold_sigma, F.col("fwhm") / FWHM_PER_SIGMA, radius, keep)
         apart = F.lit(float(config.min_separation)) if config.min_separation is not None else F.col("fwhm")
-        return self.measure(rank_peaks(separate(peaks, "response", apart), "response"), pixels)
+        return self.measure(save(rank_peaks(separate(peaks, "response", apart), "response"), "peaks"), pixels)
 
     def measure(self, peaks: DataFrame, pixels: DataFrame) -> DataFrame:
         """Stars among ``peaks`` (frame_id, y, x, v, fwhm, width, height, rank): margin and saturation, windows, sharpness, moments, fit, shape."""
@@ -121,7 +124,7 @@ class MatchedFilterDetector:
             (F.col("peak") - F.col("background")).alias("amplitude"), F.col("x").alias("x"), F.col("y").alias("y"),
             sx.alias("sigma_x"), sy.alias("sigma_y"), theta.alias("theta"), F.col("background").alias("background"),
         )
-        seeded = lists.join(moments, keys).withColumn("seed", seed)
+        seeded = save(lists.join(moments, keys).withColumn("seed", seed), "seeded")
         fitted = gaussian_fit(seeded.select(*keys, "samples", "seed"), keys).where("fit is not null")
         fwhm, ecc = fit_shape(F.col("fit.sigma_x"), F.col("fit.sigma_y"))
         stars = fitted.join(seeded.select(*keys, "scale", "hfr"), keys).withColumn("_fwhm", fwhm).withColumn("_ecc", ecc)

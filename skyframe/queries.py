@@ -17,6 +17,7 @@ from .operators.moments import star_moments
 from .operators.peaks import matched, rank_peaks, separate
 from .operators.stats import robust_noise, signal_to_noise
 from .plans.detect import MatchedFilterDetector, estimate_fwhm, with_background, with_sharpness
+from .spool import save
 
 FWHM, SIGMA, RADIUS = 3.0, 3.0 / FWHM_PER_SIGMA, 4
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,13 +213,13 @@ def gaussian_fit_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def detect_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = MatchedFilterDetector(DetectorConfig()).detect(planted(spark, sf_dir))
+    found = MatchedFilterDetector(DetectorConfig()).detect(save(planted(spark, sf_dir), "planted"))
     return rounded(found, "x", "y", "flux", "hfr", "fwhm", "eccentricity", digits=3)
 
 
 @_query
 def detected_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = planted(spark, sf_dir)
+    pixels = save(planted(spark, sf_dir), "planted")
     found = MatchedFilterDetector(DetectorConfig(expected_fwhm=4.7)).detect(pixels)
     return rounded(star_field(frames_of(pixels), found), "median_fwhm", "median_hfr", "median_eccentricity", digits=3)
 
