@@ -1,36 +1,14 @@
-"""Shared pieces: intermediate tables in the shared folder, distributed running sums and numbering."""
+"""Shared pieces: words, distributed running sums and numbering."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..spool import save
+
 #: A word: a run of bytes that are no ASCII white space. ``bytes.split()`` cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
-_own_folder: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="skyframe-"))
-        atexit.register(shutil.rmtree, _own_folder[0], True)
-    return _own_folder[0]
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here and nothing is computed twice."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
