@@ -69,3 +69,20 @@ def measurement_radius(fwhm: Column) -> Column:
 
 def linear(stored: Column, bzero: Column | float, bscale: Column | float) -> Column:
     return F.coalesce(F.lit(bzero).cast("double"), F.lit(0.0)) + F.coalesce(F.lit(bscale).cast("double"), F.lit(1.0)) * stored
+
+
+def gaussian_value(fit: Column, x: Column, y: Column) -> Column:
+    """A fitted Gaussian (a struct of its parameters) at a place."""
+    dx, dy, c, s = x - fit["x"], y - fit["y"], F.cos(fit["theta"]), F.sin(fit["theta"])
+    u, t = (dx * c + dy * s) / fit["sigma_x"], (dy * c - dx * s) / fit["sigma_y"]
+    return fit["background"] + fit["amplitude"] * F.exp(-(u * u + t * t) / 2)
+
+
+def rms(difference: Column) -> Column:
+    """Root mean square, as an aggregate."""
+    return F.sqrt(F.avg(difference * difference))
+
+
+def reported_hfr(path: Column) -> Column:
+    """The half-flux radius that acquisition software puts into file names (..._H3.69.fits); null where there is none."""
+    return F.regexp_extract(path, r"_H([0-9]+(?:\.[0-9]+)?)\.fits?$", 1).try_cast("double")

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skyframe.errors import FrameError
-from skyframe.functions.scalars import effective_fwhm, measurement_radius, moment_eccentricity, snr_weight
+from skyframe.functions.scalars import effective_fwhm, gaussian_value, measurement_radius, moment_eccentricity, reported_hfr, rms, snr_weight
 from skyframe.operators.bayer import bayer_grayscale, demosaic
 from skyframe.operators.field import star_field
 from skyframe.operators.fit import gaussian_fit
@@ -144,6 +144,7 @@ def test_scalars(spark):
     assert one.select(measurement_radius(F.lit(3.0))).first()[0] == 5 and one.select(measurement_radius(F.lit(1.0))).first()[0] == 3
     assert one.select(effective_fwhm(None, F.lit(None).cast("double"))).first()[0] == 3.0 and one.select(effective_fwhm(0.2)).first()[0] == 1.0
     assert one.select(moment_eccentricity(F.lit(-1.0), F.lit(-1.0), F.lit(0.0))).first()[0] == 0.0
+    assert [one.select(reported_hfr(F.lit(n))).first()[0] for n in ("a_0000_H3.69.fits", "a.fits")] == [3.69, None]
     assert one.select(moment_eccentricity(F.lit(2.0), F.lit(-1.0), F.lit(0.0))).first()[0] > 1
 
 
@@ -162,6 +163,8 @@ def test_fit_of_a_rotated_star(spark):
     assert sorted(abs(s) for s in (f.sigma_x, f.sigma_y)) == pytest.approx([2, 4], abs=0.2)
     assert (f.x, f.y) == pytest.approx((20.4, 19.6), abs=0.1) and f.amplitude == pytest.approx(3000, rel=0.05) and f.background == pytest.approx(200, abs=2)
     assert set(fits) == {1, 2, 3}
+    off = gaussian_fit(df, ["k"]).where("k = 1").join(df.select("k", F.explode("samples").alias("s")), "k")
+    assert off.agg(rms(F.col("s.v") - gaussian_value(F.col("fit"), F.col("s.x"), F.col("s.y")))).first()[0] < 20
 
 
 def test_star_field(spark):
