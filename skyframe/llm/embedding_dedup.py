@@ -146,3 +146,17 @@ def link_components(vectors: DataFrame, threshold: float = 0.95, window: int = W
 def op7_embedding_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.95 or more between all vectors, whatever their labels."""
     return link_components(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.vec_id != b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT reach.vec_id, links.v FROM reach JOIN links ON links.u = reach.other
+)
+SELECT vec_id, coalesce((SELECT count(*) FROM links WHERE links.u = reach.vec_id), 0)::BIGINT AS n_links, min(other) AS component_id, vec_id = min(other) AS kept
+FROM reach GROUP BY vec_id
+"""

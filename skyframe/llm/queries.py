@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .embedding_dedup import op7_embedding_passes
+from .embedding_dedup import OP7_SQL, op7_embedding_passes
 from .lm import op10_lm_maxent
 from .mixing import OP3_SQL, op3_mix_golden
 from .packing import op5_pack_ffd
@@ -28,4 +28,4 @@ QUERIES = {
         op10_lm_maxent,
     )
 }
-ORACLE_SQL = {"op1_topk_kdtree": OP1_SQL, "op3_mix_golden": OP3_SQL}
+ORACLE_SQL = {"op1_topk_kdtree": OP1_SQL, "op3_mix_golden": OP3_SQL, "op7_embedding_passes": OP7_SQL}
