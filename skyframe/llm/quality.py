@@ -134,7 +134,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     """
     stats = save(document_statistics(docs), "quality-statistics").withColumn("held_out", held_out(F.col("doc_id"), 4))
     known = labels.where("quality is not null").select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("y"))
-    sample = stats.where("not held_out").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows).select("x", "y").toPandas()
+    # The smallest hashes are below about this share of their range, so tasks need not send more than that.
+    labelled = stats.where("not held_out").join(known, "doc_id").withColumn("_place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    share = min(1.0, 2 * sample_rows / max(labelled.count(), 1))
+    sample = labelled.where(F.col("_place") < int(share * (1 << 30))).orderBy("_place", "doc_id", "y").limit(sample_rows).select("x", "y").toPandas()
     x = np.array(sample["x"].tolist(), "f4").reshape(len(sample), len(FEATURES))
     model = fit_trees(x, sample["y"].to_numpy("f8"))
 
