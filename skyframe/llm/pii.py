@@ -28,12 +28,13 @@ HELD_PATTERNS = 50_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: The place before keeps long runs of digits from being tried at each of them; a match never ends inside a run.
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Loose forms: an address with its signs spelled out, parted or without a dot; groups of hex or digits; card-like digits; phone-like digits.
 _LOOSE = {
-    "email": re.compile(r"(?<![\w.@])[A-Za-z0-9][A-Za-z0-9._%+-]*(?: ?[(\[{]at[)\]}] ?| at |@)[A-Za-z0-9-]+(?:(?: ?[(\[{]dot[)\]}] ?| dot |\.)[A-Za-z0-9-]+)*(?![\w@])"),
+    "email": re.compile(r"(?<![\w.@%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?: ?[(\[{]at[)\]}] ?| at |@)[A-Za-z0-9-]+(?:(?: ?[(\[{]dot[)\]}] ?| dot |\.)[A-Za-z0-9-]+)*(?![\w@])"),
     "ip": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:.])|(?<![\w.])[0-9]{1,3}(?:[.,][0-9]{1,3}){3}(?![\w.])"),
     "card": re.compile(r"(?<![\w.+-])[0-9]{4}(?:[ ./_-]?[0-9]{2,7}){2,4}(?![\w@])"),
     "phone": re.compile(r"(?<![\w.+-])\(?[0-9]{2,4}\)?(?:[ ./-]{1,2}\(?[0-9]{2,4}\)?){1,4}(?![\w@])"),
@@ -77,10 +78,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _free(start: int, end: int, taken: list[tuple[int, int, int]]) -> bool:
-    return all(end <= a or start >= b for a, _, b in taken)
-
-
 def _patterns(text: str, start: int) -> list[str]:
     """The one and the two words before a place, lower-cased, digits as 0."""
     words = re.sub("[0-9]", "0", text[max(0, start - 80) : start].lower()).split(" ")
@@ -104,7 +101,9 @@ def extract(docs: DataFrame) -> DataFrame:
                 counts.append(np.bincount([k for _, k, _ in base], minlength=4))
                 bases.append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base))
                 found = [(k, a, b, True) for a, k, b in base]
-                taken = list(base)
+                taken = bytearray(len(text))
+                for a, _, b in base:
+                    taken[a:b] = b"\1" * (b - a)
                 for kind, name in enumerate(KINDS):
                     if kind == 0 and "@" not in text and " at " not in text and "at)" not in text and "at]" not in text:
                         continue
@@ -113,8 +112,8 @@ def extract(docs: DataFrame) -> DataFrame:
                             continue
                         if 3 == kind and not 7 <= sum(map(str.isdigit, m[0])) <= 15:
                             continue
-                        if _free(m.start(), m.end(), taken):
-                            taken.append((m.start(), kind, m.end()))
+                        if taken.find(1, m.start(), m.end()) < 0:
+                            taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
                             found.append((kind, m.start(), m.end(), False))
                 seen.append([{"kind": k, "start": a, "end": b, "instance": text[a:b].lower(), "patterns": _patterns(text, a), "seed": s} for k, a, b, s in found])
             by_kind = np.array(counts, "i8").reshape(-1, 4)
