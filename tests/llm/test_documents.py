@@ -224,6 +224,8 @@ def test_base_spans():
     ]
     for t in texts:
         assert base_spans(t) == brute_spans(t), t[:50]
+    # Work is linear in long runs, on which the patterns above would take minutes.
+    assert base_spans("1" * 300_000) == [] and base_spans("1" * 300_000 + ".1.2.3 5.6.7.8") == [(300_007, 1, 300_014)]
 
 
 def test_bootstrapping_finds_what_patterns_introduce(spark, awkward, no_docs):
