@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row_numbers(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` as a table with ``_row``, a number of each row of its own; doc_id may be null or repeat."""
+    return save(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null has none."""
     pieces = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")

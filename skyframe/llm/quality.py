@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import save, table, with_row_numbers
 
 #: Labelled rows that the trees are fitted on, at most: those of the smallest hashes of doc_id.
 SAMPLE_ROWS = 20_000
@@ -47,16 +47,18 @@ def features(text: bytes | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every row of ``docs`` (doc_id, text); texts never leave their task."""
+def document_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the long columns ``carry`` and the statistics of every row of ``docs`` (doc_id, text); texts never leave their task."""
+    keys = ["doc_id", *carry]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py()) for t in batch.column(1)], "f4").reshape(-1, len(FEATURES))
+            x = np.array([features(t.as_py()) for t in batch.column(len(keys))], "f4").reshape(-1, len(FEATURES))
             lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype="i4") * len(FEATURES), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], lists], names=[*keys, "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(rows, "doc_id long, x array<float>")
+    schema = ", ".join(f"`{k}` long" for k in keys)
+    return docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("binary").alias("text")).mapInArrow(rows, f"{schema}, x array<float>")
 
 
 @dataclass
@@ -126,13 +128,13 @@ def held_out(doc_id: Column, parts: int, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out and score of every row of ``docs``, learnt from ``labels`` (doc_id, quality) of rows not held out.
+def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the long columns ``carry``, score and held_out of every row of ``docs``, learnt from ``labels`` (doc_id, quality) of rows not held out.
 
     Statistics are computed once for all documents and kept as a table; the trees are fitted on at
     most ``sample_rows`` labelled documents, which alone come to the driver. Null labels are left out.
     """
-    stats = save(document_statistics(docs), "quality-statistics").withColumn("held_out", held_out(F.col("doc_id"), 4))
+    stats = save(document_statistics(docs, carry), "quality-statistics").withColumn("held_out", held_out(F.col("doc_id"), 4))
     known = labels.where("quality is not null").select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("y"))
     # The smallest hashes are below about this share of their range, so tasks need not send more than that.
     labelled = stats.where("not held_out").join(known, "doc_id").withColumn("_place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
@@ -141,18 +143,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     x = np.array(sample["x"].tolist(), "f4").reshape(len(sample), len(FEATURES))
     model = fit_trees(x, sample["y"].to_numpy("f8"))
 
+    keys = ["doc_id", *carry]
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(rows)), batch.column(2)], names=["doc_id", "score", "held_out"])
+            held, rows = batch.column(len(keys)), batch.column(len(keys) + 1).flatten().to_numpy().reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(model.score(rows)), held], names=[*keys, "score", "held_out"])
 
-    return stats.select("doc_id", "x", "held_out").mapInArrow(scored, "doc_id long, score double, held_out boolean")
+    schema = ", ".join(f"`{k}` long" for k in keys)
+    return stats.select(*keys, "held_out", "x").mapInArrow(scored, f"{schema}, score double, held_out boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without those whose score is below the threshold. Rows that repeat a doc_id go if any of them is rejected; null ids stay."""
-    gone = score_quality(docs, labels).where(F.col("score") < threshold).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose own score is below the threshold, whatever their doc_id."""
+    numbered = with_row_numbers(docs, "quality-docs")
+    gone = score_quality(numbered, labels, carry=("_row",)).where(F.col("score") < threshold).select("_row")
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op9_quality_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:

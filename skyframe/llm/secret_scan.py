@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, with_row_numbers
 
 #: Names that announce a secret, and the characters of a value.
 NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|authorization|bearer|credential"
@@ -130,12 +130,13 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source
 def redact(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", stand_in: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced in its text, and n_chars, where there is such a column, counted anew for the texts changed.
 
-    Only documents with secrets are touched; rows that repeat a doc_id are redacted by value all alike.
+    Only rows with secrets are touched, each by what was found in its own text, whatever its doc_id.
     """
-    found = scan(docs, findings, path).where("is_secret and doc_id is not null")
-    values = found.groupBy("doc_id").agg(F.collect_set("value").alias("_secrets"))
+    numbered = with_row_numbers(docs, "secret-docs")
+    found = scan(numbered.withColumn("doc_id", F.col("_row")), findings, path).where("is_secret")
+    values = found.select(F.col("doc_id").alias("_row"), "value").groupBy("_row").agg(F.collect_set("value").alias("_secrets"))
     cut = F.transform(segments(F.col("text")), lambda x, i: F.when((i % 2 == 1) & F.array_contains("_secrets", x), stand_in).otherwise(x))
-    changed = docs.join(values, "doc_id", "left").withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.array_join(cut, "")))
+    changed = numbered.join(values, "_row", "left").withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.array_join(cut, "")))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return changed.select(*docs.columns)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import save, table, with_row_numbers
 from .components import connected_components
 
 RADIUS = 4
@@ -141,9 +141,16 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest doc_id; rows that repeat that doc_id stay as they are."""
-    gone = simhash_components(docs, radius).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with exactly one row of each component: one of the smallest doc_id, a null one only where there are no others.
+
+    Rows are linked by their numbers, so those that share a doc_id are judged by their own texts.
+    """
+    numbered = with_row_numbers(docs, "simhash-docs")
+    parts = simhash_components(numbered.select(F.col("_row").alias("doc_id"), "text"), radius).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = numbered.select("_row", F.col("doc_id").cast("long").alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_row"))
+    kept = parts.join(ids, "_row").groupBy("component_id").agg(first.alias("_first")).select(F.col("_first._row").alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def op6_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
