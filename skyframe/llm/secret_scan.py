@@ -13,10 +13,10 @@ from .common import table, with_row_numbers
 #: Names that announce a secret, and the characters of a value.
 NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|authorization|bearer|credential"
 VALUE = "[A-Za-z0-9+/_~-]"
-#: A candidate is a run of 16 or more value characters with a digit in it, or 8 or more after a name and a sign of assignment.
+#: A candidate is a run, however long, of 16 or more value characters with a digit in it, or 8 or more after a name, quoted or not, and a sign of assignment.
 CANDIDATE = (
-    rf"(?<!{VALUE})(?=[A-Za-z+/_~-]{{0,64}}[0-9]){VALUE}{{16,512}}+={{0,2}}(?!{VALUE})"
-    rf"|(?<=[=:]\s{{0,2}}[\"']?)(?={VALUE}{{8}})(?i:(?<=(?:{NAMES})\s{{0,2}}[=:]\s{{0,2}}[\"']?)){VALUE}{{8,512}}+={{0,2}}(?!{VALUE})"
+    rf"(?<!{VALUE})(?=[A-Za-z+/_~-]*+[0-9]){VALUE}{{16,}}+={{0,2}}(?!{VALUE})"
+    rf"|(?<=[=:]\s{{0,2}}[\"']?)(?={VALUE}{{8}})(?i:(?<=(?:{NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)){VALUE}{{8,}}+={{0,2}}(?!{VALUE})"
 )
 #: Forms that issuers give to their keys.
 ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-[0-9A-Za-z-]{10,}|^[sr]k_(live|test)_[0-9a-zA-Z]{16,}|^AIza[0-9A-Za-z_-]{35}$|^glpat-[0-9A-Za-z_-]{20}"

@@ -282,3 +282,13 @@ def test_stages_decide_by_row(spark, awkward):
     labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
     left = [(r.doc_id, r.text) for r in keep_good(docs, labels).collect() if r.doc_id is None or r.doc_id == 500]
     assert sorted(left, key=str) == sorted([(500, a), (None, a)], key=str)
+
+
+def test_long_and_quoted_keys_are_candidates(spark):
+    from skyframe.llm.secret_scan import candidates
+
+    long, late = "Zk3" * 666 + "Qq", "k" * 100 + "7" + "w" * 20
+    texts = [f'private_key = "{long}" end', f"x {late} end", '{"password": "hunter2hunter"}', "{'api_key': 'abcdefghij'}", f'"token" : "{"q" * 3000}"', "k" * 3000]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = sorted((r.doc_id, r.start, r.value) for r in candidates(docs).collect())
+    assert found == [(i, texts[i].index(v), v) for i, v in enumerate([long, late, "hunter2hunter", "abcdefghij", "q" * 3000])]
