@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,12 @@ from .simhash import _spanning
 
 #: Sign hashes that make up a sort key, neighbours compared on either side, rows of a block, rows of comparisons done in one group.
 BITS, WINDOW, BLOCK, TOGETHER = 48, 64, 2048, 20_000
+#: Chance with which a pair just at the threshold should meet in some pass.
+RECALL = 0.98
 
 
-def passes_for(n: int, threshold: float, window: int = WINDOW, recall: float = 0.98) -> int:
-    """Passes that find a pair just at the threshold with this chance: a sort key tells rows apart by about log2(n / window) bits, in all of which the pair must agree."""
+def passes_for(n: int, threshold: float, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Passes of one round, which find a pair just at the threshold with this chance: a sort key tells rows apart by about log2(n / window) bits, in all of which the pair must agree. Holds for evenly spread vectors; whether it was enough is measured."""
     agree = (1 - math.acos(threshold) / math.pi) ** max(1.0, math.log2(max(n, 2) / window))
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
@@ -38,82 +41,167 @@ def _unit(values: list | None) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
-def _hashed(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
-    """vec_id, dim, sign (equal for equal directions) and the passes' sort keys; dim null where a vector takes no part."""
+@lru_cache(maxsize=8)
+def _planes(seed: int, dim: int, passes: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim]).standard_normal((passes * BITS, dim))
+
+
+def _directions(vectors: DataFrame) -> DataFrame:
+    """vec_id, dim and sign (equal for equal directions); dim null where a vector takes no part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            dims, signs, keys = [], [], []
+            units = [_unit(value.as_py()) for value in batch.column(1)]
+            dims = [None if x is None else len(x) for x in units]
+            signs = [None if x is None else hashlib.sha256((x + 0.0).tobytes()).digest() for x in units]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(signs, pa.binary())], names=["vec_id", "dim", "sign"])
+
+    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(rows, "vec_id long, dim int, sign binary")
+
+
+def _means(values: DataFrame) -> dict[int, np.ndarray]:
+    """The mean of all unit vectors of each dimension; a task sends one sum a dimension."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            for value in batch.column(0):
+                x = _unit(value.as_py())
+                own = total.setdefault(len(x), [0, np.zeros(len(x))])
+                own[0] += 1
+                own[1] += x
+        counts, vectors = [n for n, _ in total.values()], [x.tolist() for _, x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64()), pa.array(vectors, pa.list_(pa.float64()))], names=["n", "x"])
+
+    found: dict[int, list] = {}
+    for r in values.select("embedding").mapInArrow(sums, "n long, x array<double>").collect():
+        own = found.setdefault(len(r.x), [0, 0.0])
+        own[0] += r.n
+        own[1] = own[1] + np.array(r.x)
+    return {dim: x / n for dim, (n, x) in found.items()}
+
+
+def _keyed(values: DataFrame, passes: int, seed: int, means: dict[int, np.ndarray]) -> DataFrame:
+    """first, dim and the passes' sort keys of ``values`` (first, embedding): the sides of planes through the mean."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, keys = [], []
             for value in batch.column(1):
                 x = _unit(value.as_py())
-                if x is None:
-                    dims.append(None), signs.append(None), keys.append(None)
-                    continue
-                dim = len(x)
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((passes * BITS, dim))
-                bits = (planes[dim] @ x > 0).reshape(passes, BITS)
-                dims.append(dim)
-                signs.append(hashlib.sha256((x + 0.0).tobytes()).digest())
+                bits = (_planes(seed, len(x), passes) @ (x - means[len(x)]) > 0).reshape(passes, BITS)
+                dims.append(len(x))
                 keys.append((bits @ (1 << np.arange(BITS - 1, -1, -1, dtype="i8"))).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(dims, pa.int32()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["vec_id", "dim", "sign", "keys"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["first", "dim", "keys"])
 
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(rows, "vec_id long, dim int, sign binary, keys array<long>")
+    return values.select("first", "embedding").mapInArrow(rows, "first long, dim int, keys array<long>")
 
 
-def _units(embeddings: pd.Series) -> np.ndarray:
-    return np.array([_unit(list(x)) for x in embeddings])
+def _shared(keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading bits that each of the sorted keys shares with the ones ``window`` places before and after; -1 where there is none."""
+    before, after = np.full(len(keys), -1), np.full(len(keys), -1)
+    if len(keys) > window:
+        shared = BITS - np.frexp((keys[window:] ^ keys[:-window]).astype("f8"))[1]
+        before[window:], after[:-window] = shared, shared
+    return before, after
 
 
-def link_components(vectors: DataFrame, threshold: float = 0.95, window: int = WINDOW, block: int = BLOCK, seed: int = 42) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding).
+def _chance(x: np.ndarray, keys: np.ndarray, before: np.ndarray, after: np.ndarray, planes: np.ndarray, mean: np.ndarray, threshold: float) -> np.ndarray:
+    """Chance of each row that a vector just at the threshold from it, in any direction, lies inside its window.
 
-    Vectors of equal direction are one class from the start. Each pass sorts the classes by
-    concatenated signs of random projections and compares each with its next ``window``
-    neighbours, block by block with the last rows of the block before. The links found by all
-    passes are united into components; then, since a dense group may be wider than a window,
-    every two classes of a component are compared exactly, two blocks at a time, and counted. So
-    links are missed only between components that no pass joined. Vectors that are null, empty,
-    zero or hold null or non-finite components link with nothing, and nor do vectors of
-    different dimensions. Rows that repeat a vec_id count as vectors of their own. A null vec_id
-    is never a component's smallest while there are others.
+    Such a vector leaves the window on the side to which the first bit that differs takes it, if
+    the row at that edge shares more bits; where it shares as many, half of them do. The vector's
+    place along a plane's normal is about normally distributed.
     """
-    dealt = vectors.select("vec_id", "embedding")
-    n = dealt.count()
-    rows = save(_hashed(dealt, passes_for(n, threshold, window), seed), "vector-hashes")
-    by_class = rows.where("dim is not null").groupBy("dim", "sign").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.min("keys").alias("keys"))
-    classes = save(by_class.where("first is not null"), "vector-classes")
-    values = dealt.join(classes.select("first", "dim"), (F.col("vec_id") == F.col("first")) & (F.size("embedding") == F.col("dim")), "left_semi")
-    values = save(values.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("first"), "embedding"), "vector-values")
+    bit = (keys[:, None] >> np.arange(BITS - 1, -1, -1)) & 1 == 1
+    at, long = x @ planes.T, (planes**2).sum(axis=1)
+    spread = np.sqrt(np.maximum((1 - threshold**2) * (long - at**2) / max(x.shape[1] - 1, 1), 1e-24))
+    z = np.clip(np.where(bit, 1, -1) * (threshold * at - planes @ mean) / spread, -8, 8)
+    agree = 1 / (1 + np.exp(-1.5976 * z - 0.07056 * z**3))
+    so_far = np.cumprod(agree, axis=1)
+    differs = np.hstack([np.ones((len(x), 1)), so_far[:, :-1]]) * (1 - agree)
+    edge, j = np.where(bit, before[:, None], after[:, None]), np.arange(BITS)
+    lost = (differs * ((j < edge) + 0.5 * (j == edge))).sum(axis=1) + so_far[:, -1] * ((before == BITS) | (after == BITS))
+    return np.clip(1 - lost, 0, 1 - 1e-12)
+
+
+def _units(embeddings: pd.Series) -> np.ndarray:
+    return np.array([_unit(list(x)) for x in embeddings])
 
-    keyed = classes.select("first", "dim", F.posexplode("keys").alias("pass", "key"))
+
+def _round(values: DataFrame, threshold: float, window: int, block: int, seed: int) -> DataFrame:
+    """One round of passes over ``values`` (first, embedding) as a table: links (u, v), and rows with v null and, as ``missed``, the log of the chance that a pass missed a link of u just at the threshold."""
+    passes, means = passes_for(values.count(), threshold, window), _means(values)
+    keyed = _keyed(values, passes, seed, means).select("first", "dim", F.posexplode("keys").alias("pass", "key"))
     sorted_ = number_in_order(keyed, ["dim", "pass", "key", "first"], "place", "vector-order")
-    home = F.floor(F.col("place") / block)
-    blocks = F.when(F.col("place") % block >= block - window, F.array(home, home + 1)).otherwise(F.array(home))
-    windows = sorted_.select("first", "dim", "pass", "place", F.explode(blocks).alias("block")).join(values, "first")
+    home, inside = F.floor(F.col("place") / block), F.col("place") % block
+    # The rows of both neighbouring blocks that windows reach.
+    blocks = F.array_compact(F.array(home, F.when(inside >= block - window, home + 1), F.when((inside < window) & (home > 0), home - 1)))
+    windows = sorted_.select("first", "dim", "pass", "key", "place", F.explode(blocks).alias("block")).join(values, "first")
 
     def neighbours(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("place", ignore_index=True)
         own = (part["place"] // block == key[0]).to_numpy()
-        ids, us, vs = part["first"].to_numpy("i8"), [], []
-        for at in part.groupby(["dim", "pass"]).indices.values():
+        ids, keys, us, vs, seen, missed = part["first"].to_numpy("i8"), part["key"].to_numpy("i8"), [], [], [], []
+        for (dim, turn), at in part.groupby(["dim", "pass"]).indices.items():
             x, mine = _units(part["embedding"].iloc[at]), own[at]
             for k in range(1, min(window, len(at) - 1) + 1):
                 hit = np.flatnonzero((np.einsum("ij,ij->i", x[:-k], x[k:]) >= threshold) & mine[k:])
                 us.append(ids[at[hit]])
                 vs.append(ids[at[hit + k]])
+            before, after = _shared(keys[at], window)
+            planes = _planes(seed, int(dim), passes)[turn * BITS : (turn + 1) * BITS]
+            chance = _chance(x[mine], keys[at[mine]], before[mine], after[mine], planes, means[int(dim)], threshold)
+            seen.append(ids[at[mine]])
+            missed.append(np.log1p(-chance))
         u, v = (np.concatenate(c) if c else np.zeros(0, "i8") for c in (us, vs))
         # A forest with the same components is enough here.
         names, places = np.unique(np.concatenate([u, v]), return_inverse=True)
         left, right = places[: len(u)], places[len(u) :]
         tree = _spanning(((int(a), right[i : i + 1]) for i, a in enumerate(left)), len(names))
-        return pd.DataFrame({"u": names[[i for i, _ in tree]], "v": names[[j for _, j in tree]]}, dtype="i8")
+        links = pd.DataFrame({"u": names[[i for i, _ in tree]], "v": names[[j for _, j in tree]]}, dtype="Int64").assign(missed=0.0)
+        chances = pd.DataFrame({"u": pd.array(np.concatenate(seen), "Int64"), "v": pd.array([None] * sum(map(len, seen)), "Int64"), "missed": np.concatenate(missed)})
+        return pd.concat([links, chances], ignore_index=True)
+
+    return save(windows.groupBy("block").applyInPandas(neighbours, "u long, v long, missed double"), "vector-found")
+
+
+def link_components(vectors: DataFrame, threshold: float = 0.95, window: int = WINDOW, block: int = BLOCK, seed: int = 42) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding).
+
+    Vectors of equal direction are one class from the start. Each pass sorts the classes by
+    concatenated signs of random projections less their mean and compares each with its next
+    ``window`` neighbours, block by block with the last rows of the block before. For every class
+    the chance is measured, from the bits it shares with the rows at its window's edges, that a
+    link just at the threshold was met in no pass; classes where it is above 1 - RECALL go through
+    another round, with planes through the mean of those left, until there are none or a round
+    joins no more. The links found by all passes are united into components; then, since a dense group may be wider than a window,
+    every two classes of a component are compared exactly, two blocks at a time, and counted. So
+    links are missed only between components that no pass joined. Vectors that are null, empty,
+    zero or hold null or non-finite components link with nothing, and nor do vectors of
+    different dimensions. Rows that repeat a vec_id count as vectors of their own. A null vec_id
+    is never a component's smallest while there are others.
+    """
+    dealt = vectors.select("vec_id", "embedding")
+    rows = save(_directions(dealt), "vector-directions")
+    by_class = rows.where("dim is not null").groupBy("dim", "sign").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    classes = save(by_class.where("first is not null"), "vector-classes")
+    values = dealt.join(classes.select("first", "dim"), (F.col("vec_id") == F.col("first")) & (F.size("embedding") == F.col("dim")), "left_semi")
+    values = save(values.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("first"), "embedding"), "vector-values")
 
-    edges = save(windows.groupBy("block").applyInPandas(neighbours, "u long, v long").distinct(), "vector-edges")
-    parts = save(connected_components(edges), "vector-components").withColumnRenamed("node", "first")
+    live, edges, joined, turn = values, None, 0, 0
+    while True:
+        found = _round(live, threshold, window, block, seed + turn)
+        more = found.where("v is not null").select("u", "v")
+        edges = save((more if edges is None else edges.union(more)).distinct(), "vector-edges")
+        parts = save(connected_components(edges), "vector-components")
+        missed = found.where("v is null").groupBy(F.col("u").alias("first")).agg(F.sum("missed").alias("missed")).where(F.col("missed") > math.log(1 - RECALL))
+        live = save(live.join(missed, "first", "left_semi"), "vector-live")
+        before, joined = joined, parts.where("node != component").count()
+        if (turn and joined == before) or not live.limit(1).count():
+            break
+        turn += 1
+    parts = parts.withColumnRenamed("node", "first")
     sized = parts.groupBy("component").agg(F.count("*").alias("n"))
     members = parts.join(sized, "component").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     members = members.join(classes.select("first", "copies"), "first").withColumn("b", F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int"))

@@ -83,3 +83,18 @@ def test_links_against_brute_force(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in link_components(df, 0.95, window=8, block=32).collect()}
     assert got == brute_links(rows, 0.95)
     assert link_components(df.limit(0)).count() == 0
+
+
+def test_links_beside_a_dense_cluster(spark):
+    rng = np.random.default_rng(8)
+    n, dim, pairs = 3000, 64, 400
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rows = unit(rng.normal(size=(n, dim)))
+    rows[: n // 3] = unit(np.sqrt(0.8) * unit(rng.normal(size=dim)) + np.sqrt(0.2) * rows[: n // 3])
+    at = rng.permutation(n)[:pairs]
+    off = rng.normal(size=(pairs, dim))
+    off = unit(off - (off * rows[at]).sum(axis=1, keepdims=True) * rows[at])
+    rows = np.vstack([rows, 0.955 * rows[at] + np.sqrt(1 - 0.955**2) * off])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in link_components(df, 0.95, window=8, block=512).collect()}
+    assert np.mean([got[int(a)] == got[n + i] for i, a in enumerate(at)]) >= 0.97
