@@ -1,26 +1,33 @@
 """Language-model scores by a hashed maximum-entropy model with class-factored softmax (operator 10).
 
-A word's chance is the chance of its class given the words before it, times its share of the class:
-
-- the class (one of CLASSES, by a hash of the word's ending; one of its own for the end of a text)
-  comes from a softmax whose features are hashed: the word before with its ending and spelling
-  (n-gram of 1), the classes of the two before together (n-gram of 2), and, as a skip feature,
-  the class two places back alone;
-- the share is add-one smoothed within the class, unseen words counting as one word of each class.
-
-The softmax is trained on counts of (context, class) over all training tokens, which are enough
-for its exact gradient: each step sums the gradient over the table of counts in Spark.
+A word's chance is a product of three:
+
+- its class given the two words before, by a softmax over CLASSES whose features are the word
+  before (n-gram), both words before together (n-gram) and the one two places back (skip);
+- its leaf within the class, by a second softmax over LEAVES whose features are the word before
+  and the one two places back, each together with the class;
+- its share of the leaf, add-one smoothed, one unseen word counted for each leaf.
+
+Classes are learnt: frequent words and, for all others, endings of words are clustered by what
+stands to their left and right. The most frequent words of a class have leaves of their own, so
+the second softmax gives their chance whole. Features are hashed to rows of weights, whose number
+follows from the distinct words of the training texts up to a bound.
+
+Both softmaxes are trained on all training tokens by distributed gradient updates: every task runs
+over its own tokens in small steps from the common weights, Spark averages the rows of weights by
+how often each task met them, and the next round starts from there (iterative parameter mixing).
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
-from math import log10
+from math import log2, log10
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,222 +37,342 @@ from .quality import held_out
 
 #: The end of a text as a word; no word holds white space.
 END = b"\n"
-#: Classes with that of the end; places to which a class's words are hashed as the word before; words that scoring tasks hold in memory.
-CLASSES, SPELLINGS, HELD_WORDS = 64, 4, 150_000
-#: Different words of a task's counter before it is emptied, and training steps.
-COUNTER_WORDS, STEPS = 400_000, 16
+#: Classes with that of the end, leaves of a class (as many), and those of them that belong to one frequent word each.
+CLASSES, LEAVES, OWN = 32, 32, 24
+#: Words that are clustered by themselves; all others go by their ending. Buckets in which neighbours are counted.
+FREQUENT, ENDINGS, BUCKETS = 1792, 256, 64
+#: Words that scoring tasks hold in memory, entries of a worker's cache of words, and the bound of feature rows (a power of 2).
+HELD_WORDS, CACHE_WORDS, MOST_ROWS = 150_000, 400_000, 13
+#: Tokens of a step and, about, of a training task; rounds, each over its own part of the documents.
+STEP, TASK_TOKENS, ROUNDS = 32_768, 4_000_000, 2
 
 
-def word_code(word: bytes) -> int:
-    """class * SPELLINGS + spelling of a word: the class by its last two bytes but for marks, 0 for the end of a text."""
-    if word == END:
-        return 0
-    return (1 + crc32(word.rstrip(b".,;:!?")[-2:]) % (CLASSES - 1)) * SPELLINGS + crc32(word) % SPELLINGS
+def token_code(word: bytes) -> int:
+    """A word as a signed 64-bit number: 56 bits of its XXH64 and, lowest, 8 of its last two bytes before any marks."""
+    from xxhash import xxh64_intdigest
 
+    code = (xxh64_intdigest(word, 7) << 8 & (1 << 64) - 1) | crc32(word.rstrip(b".,;:!?")[-2:]) & 255
+    return code - (1 << 64) if code >> 63 else code
 
-def _tokens(text: bytes | None) -> list[bytes]:
-    words = (text or b"").lower().split()
-    words.append(END)
-    return words
 
+def coded_texts(docs: DataFrame) -> DataFrame:
+    """``row`` (a number of its own), doc_id and ``tokens`` (codes, the end last) of every row of ``docs`` (doc_id, text)."""
 
-def contexts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The context of each token of texts laid end to end: code of the word before and class of the one before that; before a text stands its end."""
-    n = len(codes)
-    first = np.zeros(n, "i8")
-    first[starts] = 1
-    place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    back = lambda k, of: np.where(place >= k, np.concatenate([np.zeros(min(k, n), "i8"), of[: max(n - k, 0)]]), 0)
-    classes = codes // SPELLINGS
-    return back(1, codes) * CLASSES + back(2, classes)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                block = [[*(t or b"").lower().split(), END] for t in part.column(2).to_pylist()]
+                flat = list(chain.from_iterable(block))
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                known.update((w, token_code(w)) for w in set(flat).difference(known))
+                ends = np.cumsum([0, *map(len, block)], dtype="i4")
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(map(known.__getitem__, flat), "i8", len(flat))))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["row", "doc_id", "tokens"])
 
+    told = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    return told.mapInArrow(rows, "row long, doc_id long, tokens array<long>")
+
+
+def _runs(column: pa.ListArray, size: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens of an Arrow column of lists in runs of ``size``: code, the one before, the one two places back, and place of the document. Before a text stands its end."""
+    end = token_code(END)
+    flat, lengths = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    for at in range(0, len(flat), size):
+        own = slice(at, at + size)
+        index = np.arange(at, min(at + size, len(flat)))
+        back = [np.where(place[own] >= k, flat[np.maximum(index - k, 0)], end) for k in (1, 2)]
+        yield flat[own], *back, doc[own]
+
+
+def _hashed(x: np.ndarray, rows: int) -> np.ndarray:
+    return ((x.astype("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(rows)).astype("i8")
+
+
+@dataclass
+class Model:
+    """What scoring needs; all arrays are bounded, whatever the corpus."""
+
+    words: np.ndarray  # codes of held words, most frequent first
+    log_count: np.ndarray  # log10(n + 1) of each
+    leaf: np.ndarray  # leaf of each inside its class
+    unit_class: np.ndarray  # class of each frequent word, then of each ending
+    log_unit: np.ndarray  # log10 of the words of each leaf, counted, distinct and unseen
+    rows: int
+    one: np.ndarray  # weights of the classes
+    two: np.ndarray  # weights of the leaves
+    trained: int = 0
+    distinct: int = 0
+
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        """Place of each code among the held words, -1 for others."""
+        if not hasattr(self, "_index"):
+            self._index = pd.Index(self.words)
+        return self._index.get_indexer(codes)
+
+    def places(self, codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and leaf of each code; every word that could be has one."""
+        unit = np.where((ids >= 0) & (ids < FREQUENT), ids, FREQUENT + (codes & 255))
+        leaf = OWN + _hashed(codes, LEAVES - OWN)
+        held = ids >= 0
+        leaf[held] = self.leaf[ids[held]]
+        return self.unit_class[unit], leaf
+
+    def _row(self, codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Frequent words have feature rows of their own, others share the other half."""
+        half = self.rows // 2
+        return np.where((ids >= 0) & (ids < half), ids, half + _hashed(codes, half))
+
+    def features(self, first: np.ndarray, second: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Active weight rows (tokens, features) of the class softmax and of the leaf softmax."""
+        n = self.rows
+        a, b = self._row(first, self.ids(first)), self._row(second, self.ids(second))
+        both = _hashed(first.astype("u8") * np.uint64(31) + second.astype("u8"), n)
+        one = np.stack([np.zeros_like(a), 1 + a, 1 + n + b, 1 + 2 * n + both], axis=1)
+        two = np.stack([cls, CLASSES + _hashed(a * CLASSES + cls, 2 * n), CLASSES + 2 * n + _hashed(b * CLASSES + cls, n)], axis=1)
+        return one, two
+
+    def log_chances(self, codes: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of class times leaf over the leaf's words, still without the word's own count, and ids."""
+        ids = self.ids(codes)
+        cls, leaf = self.places(codes, ids)
+        one, two = self.features(first, second, cls)
+        own = np.arange(len(codes))
+        chance = log_softmax(self.one, one)[own, cls] + log_softmax(self.two, two)[own, leaf]
+        return chance / np.log(10) - self.log_unit[cls * LEAVES + leaf], ids
+
+
+def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log chances of the softmax whose logits are sums of the active rows."""
+    logits = weights[rows[:, 0]]
+    for k in range(1, rows.shape[1]):
+        logits = logits + weights[rows[:, k]]
+    logits -= logits.max(axis=1, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
-def gather(docs: DataFrame) -> DataFrame:
-    """(word, its class, n) and (null, context * CLASSES + class, n) of all texts of ``docs`` (text), summed within tasks, not yet across them."""
-    cells = CLASSES * SPELLINGS * CLASSES * CLASSES
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        codes: dict[bytes, int] = {}
-        seen = np.zeros(cells, "i8")
+def slopes(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(touched rows, how often, gradient of the summed log chance of ``target`` by each of them)."""
+    off = -np.exp(log_softmax(weights, rows))
+    off[np.arange(len(target)), target] += 1
+    touched, place, count = np.unique(rows.ravel(order="F"), return_inverse=True, return_counts=True)
+    out = np.zeros((off.shape[1], len(touched)))
+    for column, own in zip(out, np.ascontiguousarray(off.T, "f8"), strict=True):
+        for at in range(0, len(place), len(target)):
+            column += np.bincount(place[at : at + len(target)], own, len(touched))
+    return touched, count, out.T.astype("f4")
 
-        def counted() -> pa.RecordBatch:
-            keys = pa.array([codes[w] // SPELLINGS for w in words], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), keys, pa.array(list(words.values()), pa.int64())], names=["word", "cell", "n"])
 
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 256):
-                block = [_tokens(t) for t in texts[at : at + 256]]
-                flat = list(chain.from_iterable(block))
-                words.update(flat)
-                codes.update((w, word_code(w)) for w in set(flat).difference(codes))
-                coded = np.fromiter(map(codes.__getitem__, flat), "i8", len(flat))
-                starts = np.cumsum([0, *map(len, block[:-1])])
-                own, n = np.unique(contexts(coded, starts) * CLASSES + coded // SPELLINGS, return_counts=True)
-                seen[own] += n
-                if len(words) > COUNTER_WORDS:
-                    yield counted()
-                    words.clear(), codes.clear()
-        yield counted()
-        own = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.binary()), pa.array(own), pa.array(seen[own])], names=["word", "cell", "n"])
+def _updated(weights: np.ndarray, power: np.ndarray, met: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
+    touched, count, slope = slopes(weights, rows, target)
+    slope /= np.sqrt(len(target))
+    power[touched] += slope**2
+    weights[touched] += rate * slope / np.sqrt(power[touched])
+    met[touched] += count
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(rows, "word binary, cell long, n long")
 
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """(code, n) of all tokens; tasks add up their own first."""
 
-#: Feature rows of the weights: code before, then pairs of classes, then class two back.
-_PARTS = np.cumsum([0, CLASSES * SPELLINGS, CLASSES * CLASSES, CLASSES])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts = np.zeros(0, "i8"), np.zeros(0, "i8")
+        for batch in batches:
+            own, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            codes, place = np.unique(np.concatenate([codes, own]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, n]), len(codes)).astype("i8")
+            if len(codes) > 4 * CACHE_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+                codes, counts = np.zeros(0, "i8"), np.zeros(0, "i8")
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
+    return tokens.select("tokens").mapInArrow(rows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
-def _features(context: np.ndarray) -> np.ndarray:
-    """The three active feature rows of each context."""
-    code, second = context // CLASSES, context % CLASSES
-    return np.stack([code, _PARTS[1] + code // SPELLINGS * CLASSES + second, _PARTS[2] + second], axis=1)
 
-
-def _log_chances(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
-    logits = weights[_features(context)].sum(axis=1)
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _summed(df: DataFrame, cells: int) -> np.ndarray:
+    """Sums of (cell, n) as one array of ``cells``, a fixed number."""
+    found = df.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(cells)
+    out[found["cell"].to_numpy("i8")] = found["n"].to_numpy("f8")
+    return out
 
 
-def train_classes(cells: DataFrame, steps: int = STEPS, rate: float = 0.3) -> np.ndarray:
-    """Weights (feature row, class) after ``steps`` full-gradient steps of Adagrad; ``cells`` is a table of cell and n.
+def learn_classes(tokens: DataFrame, words: np.ndarray, seed: int = 7, turns: int = 20) -> np.ndarray:
+    """Class of each unit (frequent word or ending): k-means of the square roots of what stands left and right of it, over all tokens. The end of a text is class 0 alone."""
+    units, end, width = FREQUENT + ENDINGS, token_code(END), 2 * BUCKETS
 
-    It starts from the smoothed log frequencies of classes after each code. The table of counts is
-    bounded by the number of contexts; each task holds a part and sends sums by feature row.
-    """
-    shape, codes = (int(_PARTS[-1]), CLASSES), CLASSES * SPELLINGS
-    weights, power = np.zeros(shape, "f4"), np.full(shape, 1e-8)
-    total, rows = cells.agg(F.sum("n"), F.count("*")).first()
-    if not total:
-        return weights
-    context = F.floor(F.col("cell") / CLASSES)
-    after = cells.groupBy(F.floor(context / CLASSES).alias("code"), (F.col("cell") % CLASSES).alias("class")).agg(F.sum("n").alias("n")).toPandas()
-    seen = np.full((codes, CLASSES), 0.5)
-    seen[after["code"].to_numpy("i8"), after["class"].to_numpy("i8")] += after["n"].to_numpy("f8")
-    weights[:codes] = np.log(seen / seen.sum(axis=1, keepdims=True))
-    parts = 1 + rows // 200_000
-    parted = save(cells.repartition(int(parts), context).sortWithinPartitions("cell").select("cell", "n"), "lm-cells")
-    for _ in range(steps):
-
-        def slopes(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
-            slope = np.zeros(shape)
-            for batch in batches:
-                cell, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype("f8")
-                context, place = np.unique(cell // CLASSES, return_inverse=True)
-                seen = np.bincount(place * CLASSES + cell % CLASSES, n, len(context) * CLASSES).reshape(-1, CLASSES)
-                off = seen - np.exp(_log_chances(weights, context)) * seen.sum(axis=1, keepdims=True)
-                for f in _features(context).T:
-                    order = np.argsort(f, kind="stable")
-                    at, first = np.unique(f[order], return_index=True)
-                    slope[at] += np.add.reduceat(off[order], first)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(slope.ravel()), CLASSES).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(slope))), lists], names=["row", "slope"])
-
-        columns = [F.sum(F.get("slope", F.lit(k))).alias(f"s{k}") for k in range(CLASSES)]
-        got = parted.mapInArrow(slopes, "row long, slope array<double>").groupBy("row").agg(*columns).toPandas().sort_values("row")
-        slope = got.iloc[:, 1:].to_numpy() / total
-        power += slope**2
-        weights = (weights + rate * slope / np.sqrt(power)).astype("f4")
-    return weights
-
-
-def score_texts(docs: DataFrame, training: DataFrame, held_words: int = HELD_WORDS, steps: int = STEPS) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
-
-    ``training`` has the texts to learn from. Counts cover all of their words; scoring tasks hold
-    those of about the ``held_words`` most frequent ones, and the words of a document that are not among
-    them are joined with the table of counts, so the vocabulary may grow without bound. Null texts
-    are empty: one token, the end. Rows that repeat a document are scored one by one. Without
-    training texts every token is the one unseen word of its class.
-    """
-    spark = docs.sparkSession
-    gathered = save(gather(training).groupBy("word", "cell").agg(F.sum("n").alias("n")), "lm-counts")
-    counts = gathered.where("word is not null")
-    totals = counts.groupBy("cell").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
-    units = np.ones(CLASSES)
-    units[totals["cell"].to_numpy("i8")] += totals["n"].to_numpy("f8") + totals["v"].to_numpy("f8")
-    trained, distinct = int(totals["n"].sum()), int(totals["v"].sum())
-    weights = train_classes(gathered.where("word is null").select("cell", "n"), steps)
-    norms = _norms(weights, np.arange(CLASSES * SPELLINGS * CLASSES))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, seen = pd.Index(words), np.zeros(units * width, "i8")
+        for batch in batches:
+            for code, before, _, _ in _runs(batch.column(0), 1 << 18):
+                ids = [index.get_indexer(x) for x in (code, before)]
+                unit = [np.where((i >= 0) & (i < FREQUENT), i, FREQUENT + (x & 255)) for i, x in zip(ids, (code, before), strict=True)]
+                bucket = [np.where(u < BUCKETS // 2, u, BUCKETS // 2 + (x & 255) % (BUCKETS // 2)) for u, x in zip(unit, (code, before), strict=True)]
+                seen += np.bincount(unit[0] * width + bucket[1], minlength=len(seen))
+                seen += np.bincount(unit[1] * width + BUCKETS + bucket[0], minlength=len(seen))
+        own = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen[own])], names=["cell", "n"])
+
+    seen = _summed(tokens.select("tokens").mapInArrow(counted, "cell long, n long"), units * width).reshape(units, 2, BUCKETS)
+    weight = np.sqrt(seen.sum(axis=(1, 2)))
+    x = np.sqrt(seen / np.maximum(seen.sum(axis=2, keepdims=True), 1)).reshape(units, width)
+    out = np.ones(units, "i8")
+    live = np.flatnonzero(weight > 0)
+    live = live[[not (u < len(words) and u < FREQUENT and words[u] == end) for u in live]]
+    if len(live):
+        rng, own = np.random.default_rng(seed), x[live]
+        centres = own[rng.choice(len(live), min(CLASSES - 1, len(live)), replace=False, p=weight[live] / weight[live].sum())]
+        for _ in range(turns):
+            near = ((own**2).sum(axis=1)[:, None] - 2 * own @ centres.T + (centres**2).sum(axis=1)).argmin(axis=1)
+            sums, mass = np.zeros_like(centres), np.zeros(len(centres))
+            np.add.at(sums, near, own * weight[live, None])
+            np.add.at(mass, near, weight[live])
+            centres = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-12)[:, None], centres)
+        out[live] = 1 + near
+    out[[u for u in range(min(len(words), FREQUENT)) if words[u] == end]] = 0
+    return out
+
+
+def train(tokens: DataFrame, held_words: int = HELD_WORDS, rounds: int = ROUNDS, rate: float = 0.1) -> tuple[Model, DataFrame]:
+    """The model of a table of ``tokens`` and the table of counts (code, n). Only bounded arrays reach the driver."""
+    counts = save(word_counts(tokens), "lm-counts")
+    trained, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # Frequent words are those above a quantile of the counts, which a sketch of bounded size gives.
     cut = counts.agg(F.percentile_approx("n", max(0.0, 1 - held_words / max(distinct, 1)), 100_000)).first()[0] or 0
-    held = counts.where(F.col("n") > cut).select("word", "n").toArrow()
-    known = {w: i for i, w in enumerate(held["word"].to_pylist())}
-    arrays = (np.array([word_code(w) for w in known], "i8"), np.log10(held["n"].to_numpy().astype("f8") + 1))
-    model = spark.sparkContext.broadcast((known, *arrays, weights, norms, np.log10(units)))
+    cut = 0 if distinct <= held_words else cut
+    held = counts.where(F.col("n") > cut).toPandas().sort_values(["n", "code"], ascending=[False, True])
+    words, n = held["code"].to_numpy("i8"), held["n"].to_numpy("f8")
+    unit_class = learn_classes(tokens, words[:FREQUENT])
+    rows = 1 << int(min(MOST_ROWS, max(8, np.ceil(log2(max(distinct, 1) / 256)))))
+    model = Model(words, np.log10(n + 1), np.zeros(len(words), "i8"), unit_class, np.zeros(CLASSES * LEAVES), rows, np.zeros((1 + 3 * rows, CLASSES), "f4"), np.zeros((CLASSES + 3 * rows, LEAVES), "f4"), int(trained), int(distinct))
+    model.leaf = OWN + _hashed(words, LEAVES - OWN)
+    cls, _ = model.places(words, np.arange(len(words)))
+    # Words come by falling frequency, so the place among those of a class is the rank in it.
+    for c in range(CLASSES):
+        own = np.flatnonzero(cls == c)[:OWN]
+        model.leaf[own] = np.arange(len(own))
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, CLASSES * LEAVES), "i8")
+        for batch in batches:
+            codes, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            c, leaf = model.places(codes, model.ids(codes))
+            for k, by in enumerate((n, None)):
+                seen[k] += np.bincount(c * LEAVES + leaf, by, seen.shape[1]).astype("i8")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(seen.size)), pa.array(seen.ravel())], names=["cell", "n"])
+
+    seen = _summed(counts.mapInArrow(leaves, "cell long, n long"), 2 * CLASSES * LEAVES).reshape(2, CLASSES, LEAVES)
+    model.log_unit = np.log10(seen.sum(axis=0) + 1).ravel()
+    mass = seen[0] + 0.5
+    model.one[0] = np.log(mass.sum(axis=1) / mass.sum())
+    model.two[:CLASSES] = np.log(mass / mass.sum(axis=1, keepdims=True))
+    tasks = max(1, -(-int(trained) // (rounds * TASK_TOKENS)))
+    for turn in range(rounds if trained else 0):
+        part = tokens.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == turn).select("tokens")
+        shared = tokens.sparkSession.sparkContext.broadcast(model)
+
+        def fitted(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            start = shared.value
+            weights = [start.one.copy(), start.two.copy()]
+            power = [np.full(w.shape, 1e-4, "f4") for w in weights]
+            met = [np.zeros(len(w), "i8") for w in weights]
+            for batch in batches:
+                for code, first, second, _ in _runs(batch.column(0)):
+                    cls, leaf = start.places(code, start.ids(code))
+                    for k, (active, target) in enumerate(zip(start.features(first, second, cls), (cls, leaf), strict=True)):
+                        _updated(weights[k], power[k], met[k], active, target, rate)
+            for k in range(2):
+                own = np.flatnonzero(met[k])
+                for at in range(0, len(own), 4096):
+                    few = own[at : at + 4096]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, LEAVES * len(few) + 1, LEAVES, dtype="i4")), pa.array(weights[k][few].ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(few), k, "i4")), pa.array(few), pa.array(met[k][few].astype("f8")), lists], names=["level", "row", "met", "w"])
+
+        mean = [(F.sum(F.get("w", F.lit(i)) * F.col("met")) / F.sum("met")).cast("float").alias(f"w{i}") for i in range(LEAVES)]
+        got = part.coalesce(tasks).mapInArrow(fitted, "level int, row long, met double, w array<float>").groupBy("level", "row").agg(*mean).toPandas()
+        for k, weights in enumerate((model.one, model.two)):
+            own = got[got["level"] == k]
+            weights[own["row"].to_numpy("i8")] = own.iloc[:, 2:].to_numpy("f4")
+        shared.unpersist()
+    return model, counts
+
+
+def score(tokens: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of a table of ``tokens``.
+
+    Tasks know the counts of held words; other words of a document are joined with the table of
+    counts, so the vocabulary may grow without bound.
+    """
+    shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, codes, logs, weights, norms, unit = model.value
-        spelled: dict[bytes, int] = {}
+        model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                block = [_tokens(t) for t in part.column(2).to_pylist()]
-                flat, sizes = list(chain.from_iterable(block)), np.array(list(map(len, block)))
-                starts = np.concatenate([[0], sizes.cumsum()[:-1]])
-                ids = np.fromiter((known.get(w, -1) for w in flat), "i8", len(flat))
-                rare = np.flatnonzero(ids < 0)
-                if len(spelled) > COUNTER_WORDS:
-                    spelled.clear()
-                words = [flat[i] for i in rare.tolist()]
-                spelled.update((w, word_code(w)) for w in set(words).difference(spelled))
-                code = codes[ids] if len(codes) else np.zeros(len(flat), "i8")
-                code[rare] = [spelled[w] for w in words]
-                log_count = logs[ids] if len(logs) else np.zeros(len(flat))
-                log_count[rare] = 0
-                context, own = contexts(code, starts), code // SPELLINGS
-                chance = -norms[context].astype("f8")
-                for f in _features(context).T:
-                    chance += weights[f, own]
-                own_score = np.add.reduceat(chance / np.log(10) - unit[own], starts)
-                found = Counter(zip(np.repeat(np.arange(len(block)), sizes)[rare].tolist(), words, strict=True))
-                doc, n = np.array([i for i, _ in found], "i8"), len(block)
-                row = part.column(0).to_numpy()
-                padding = np.zeros(len(doc))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([row, row[doc]])),
-                        pa.array([f"\n{r}".encode() for r in row.tolist()] + [w for _, w in found], pa.binary()),
-                        pa.array(np.concatenate([np.zeros(n, "i8"), np.array(list(found.values()), "i8")])),
-                        pa.array(part.column(1).to_pylist() + [None] * len(doc), pa.int64()),
-                        pa.array(np.concatenate([sizes, padding.astype("i8")])),
-                        pa.array(np.concatenate([sizes - np.bincount(np.repeat(np.arange(n), sizes)[rare], minlength=n), padding.astype("i8")])),
-                        pa.array(np.concatenate([np.add.reduceat(log_count, starts), padding])),
-                        pa.array(np.concatenate([own_score, padding])),
-                    ],
-                    names=["row", "word", "times", "doc_id", "n_tokens", "n_known", "log_count", "own_score"],
-                )
-
-    told = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    told = told.mapInArrow(rows, "row long, word binary, times long, doc_id long, n_tokens long, n_known long, log_count double, own_score double")
-    # A document's own row has a word that no text can hold, so it meets no count and no other row.
-    joined = told.join(counts.select("word", "n"), "word", "left")
+            row, size = batch.column(0).to_numpy(), batch.num_rows
+            known, logs, own = (np.zeros(size) for _ in range(3))
+            rare = []
+            for code, first, second, doc in _runs(batch.column(2)):
+                chance, ids = model.log_chances(code, first, second)
+                held = ids >= 0
+                known += np.bincount(doc[held], minlength=size)
+                logs += np.bincount(doc[held], model.log_count[ids[held]], size)
+                own += np.bincount(doc, chance, size)
+                d, c = doc[~held], code[~held]
+                order = np.lexsort((c, d))
+                d, c = d[order], c[order]
+                first_of = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])])) if len(d) else np.zeros(0, "i8")
+                rare.append((d[first_of], c[first_of], np.diff(np.append(first_of, len(d)))))
+            d, c, times = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.zeros(0, "i8"),) * 3
+            pad = np.zeros(len(d))
+            length = np.diff(batch.column(2).offsets.to_numpy())
+            # A document's own row looks up no word: it counts none times.
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([row, row[d]])),
+                    pa.array(np.concatenate([row, c])),
+                    pa.array(np.concatenate([np.zeros(size, "i8"), times])),
+                    pa.concat_arrays([batch.column(1), pa.nulls(len(d), pa.int64())]),
+                    pa.array(np.concatenate([length, pad]).astype("i8")),
+                    pa.array(np.concatenate([known, pad]).astype("i8")),
+                    pa.array(np.concatenate([logs, pad])),
+                    pa.array(np.concatenate([own, pad])),
+                ],
+                names=["row", "code", "times", "doc_id", "n_tokens", "n_known", "logs", "own"],
+            )
+
+    told = tokens.select("row", "doc_id", "tokens").mapInArrow(rows, "row long, code long, times long, doc_id long, n_tokens long, n_known long, logs double, own double")
+    joined = told.join(counts, "code", "left")
     seen = F.col("n").isNotNull()
     summed = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(seen, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("log_count") + F.when(seen, F.col("times") * F.log10(F.col("n") + 1)).otherwise(0)).alias("logs"),
-        F.sum("own_score").alias("own"),
+        F.sum(F.col("logs") + F.when(seen, F.col("times") * F.log10(F.col("n") + 1)).otherwise(0)).alias("logs"),
+        F.sum("own").alias("own"),
     )
     return summed.select(
-        "doc_id", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * F.lit(log10(trained + distinct + 1))).alias("base_score"), (F.col("logs") + F.col("own")).alias("score"),
+        "doc_id", "n_tokens", "n_known", F.lit(model.trained).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(log10(model.trained + model.distinct + 1))).alias("base_score"), (F.col("logs") + F.col("own")).alias("score"),
     )
 
 
-def _norms(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax's denominator of each context."""
-    logits = weights[_features(context)].sum(axis=1)
-    most = logits.max(axis=1)
-    return most + np.log(np.exp(logits - most[:, None]).sum(axis=1))
+def score_texts(docs: DataFrame, training: DataFrame, held_words: int = HELD_WORDS) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text), learnt from the texts of ``training``.
+
+    Counts, classes and weights cover all words of ``training``. Null texts are empty: one token,
+    the end. Rows that repeat a document are scored one by one, other columns are left behind, no
+    rows give none. Without training texts every word is the one unseen word of its leaf.
+    """
+    own = training if "doc_id" in training.columns else training.withColumn("doc_id", F.lit(None).cast("long"))
+    model, counts = train(save(coded_texts(own), "lm-training"), held_words)
+    return score(save(coded_texts(docs), "lm-tokens"), model, counts)
 
 
 def op10_lm_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents by a model of those not held out."""
-    docs = table(spark, sf_dir, "documents")
-    out = held_out(F.col("doc_id"), 7)
-    return score_texts(docs, docs.where(~out).select("text")).withColumn("held_out", out)
+    """Scores of all documents by a model of those not held out; texts are read once."""
+    tokens = save(coded_texts(table(spark, sf_dir, "documents")), "lm-tokens").withColumn("held_out", held_out(F.col("doc_id"), 7))
+    model, counts = train(tokens.where("not held_out"))
+    return score(tokens, model, counts).withColumn("held_out", held_out(F.col("doc_id"), 7))

@@ -3,7 +3,6 @@
 import re
 import zlib
 from collections import Counter
-from math import log10
 
 import numpy as np
 import pytest
@@ -11,7 +10,6 @@ import xxhash
 from conftest import AWKWARD, LONG, Components
 
 from skyframe.llm.common import word_count
-from skyframe.llm.lm import CLASSES, END, SPELLINGS, contexts, score_texts, word_code
 from skyframe.llm.mixing import mix, mix_digest, mix_documents, source_targets
 from skyframe.llm.packing import coder, encode, first_fit_decreasing, pack, pack_documents, token_pieces
 from skyframe.llm.pii import KINDS, base_spans, find_personal_data
@@ -238,34 +236,6 @@ def test_bootstrapping_finds_what_patterns_introduce(spark, awkward, no_docs):
     assert KINDS == ("email", "ip", "card", "phone")
 
 
-def test_contexts_against_a_loop():
-    texts = [[b"a", b"bb", b"ccc", b"a", END], [END], [b"dd", END]]
-    codes = np.array([word_code(w) for t in texts for w in t])
-    got, at = contexts(codes, np.array([0, 5, 6])), 0
-    for t in texts:
-        for i in range(len(t)):
-            back = [word_code(t[i - k]) if i >= k else 0 for k in (1, 2)]
-            assert got[at] == back[0] * CLASSES + back[1] // SPELLINGS
-            at += 1
-
-
-def test_language_model(spark, awkward, no_docs):
-    texts = [f"{a} {b} {a}" for a in ("red", "green", "blue") for b in ("lamp", "boat", "tree") for _ in range(8)]
-    training = spark.createDataFrame([(t,) for t in texts], "text string")
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[:3], None, "", "red zebra RED", "lamp lamp"])], "doc_id long, text string")
-    counts = Counter(w for t in texts for w in [*t.split(), END])
-    n, v = sum(counts.values()), len(counts)
-    for held in (200_000, 2):
-        for r in score_texts(docs, training, held_words=held, steps=4).collect():
-            own = [*(docs_text := [*texts[:3], None, "", "red zebra RED", "lamp lamp"][r.doc_id] or "").lower().split(), END]
-            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n), docs_text
-            assert r.base_score == pytest.approx(sum(log10((counts[w] + 1) / (n + v + 1)) for w in own))
-            assert r.score < 0 and (r.doc_id > 2 or r.score > r.base_score)
-    assert score_texts(awkward, awkward, steps=2).count() == len(AWKWARD)
-    assert score_texts(no_docs, no_docs, steps=2).count() == 0
-    assert score_texts(awkward, no_docs, steps=2).where("score > 0 or n_known > 0").count() == 0
-
-
 def test_stages_decide_by_row(spark, awkward):
     a, b = " ".join(AWKWARD[0][1].split()[:18]), "quite another text about boats that lie in the harbour of a town far to the north of here"
     make = lambda rows: spark.createDataFrame([(i, t, "en", "a", len(t), *"swrxk") for i, t in rows], awkward.schema)
