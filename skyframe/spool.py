@@ -9,14 +9,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import FrameError
+
 _own_folder: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset a local session, whose executors are the driver, gets a folder of its own; a cluster is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise FrameError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="skyframe-"))
         atexit.register(shutil.rmtree, _own_folder[0], True)
@@ -27,4 +34,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and nothing is computed twice."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`save` returned and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
