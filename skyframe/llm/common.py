@@ -15,9 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_row_numbers(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` as a table with ``_row``, a number of each row of its own; doc_id may be null or repeat."""
-    return save(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, made longer until none of ``frames`` has such a column (names are compared without case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_numbers(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` as a table with a number of each row of its own, and that column's name; doc_id may be null or repeat."""
+    row = unused("row_number_of_its_own", docs)
+    return save(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def word_count(text: Column) -> Column:
@@ -35,22 +44,15 @@ def running_sum(df: DataFrame, value: str, groups: list[str], bucket: str, order
     the sums of the group's earlier buckets, of which there is one row a bucket. ``groups`` and
     ``bucket`` hold no nulls. ``df`` is used twice, so it should be a table or cheap to compute.
     """
+    total, start = unused("total_of_bucket", df), unused("start_of_bucket", df)
     before = lambda *keys: Window.partitionBy(*keys)
     inside = before(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     across = before(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    starts = (
-        df.groupBy(*groups, bucket)
-        .agg(F.sum(value).alias("_sum"))
-        .withColumn("_start", F.coalesce(F.sum("_sum").over(across), zero))
-        .drop("_sum")
-    )
-    return (
-        df.withColumn(out, F.coalesce(F.sum(value).over(inside), zero))
-        .join(starts, [*groups, bucket])
-        .withColumn(out, (F.col(out) + F.col("_start")).cast("long"))
-        .drop("_start")
-    )
+    sums = df.groupBy(*groups, bucket).agg(F.sum(value).alias(total))
+    starts = sums.withColumn(start, F.coalesce(F.sum(total).over(across), zero)).drop(total)
+    placed = df.withColumn(out, F.coalesce(F.sum(value).over(inside), zero)).join(starts, [*groups, bucket])
+    return placed.withColumn(out, (F.col(out) + F.col(start)).cast("long")).drop(start)
 
 
 def number_in_order(df: DataFrame, order: list[str], out: str, name: str) -> DataFrame:
@@ -59,7 +61,8 @@ def number_in_order(df: DataFrame, order: list[str], out: str, name: str) -> Dat
     Rows are dealt by range, so equal leading keys spread; the number of rows before each range
     partition (one row a partition) is added to the place inside it.
     """
+    part, one = unused("part_of_range", df), unused("one_each", df)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = save(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), name)
-    numbered = running_sum(dealt.withColumn("_one", F.lit(1).cast("long")), "_one", [], "_part", order, out)
-    return numbered.drop("_part", "_one")
+    dealt = save(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), name)
+    numbered = running_sum(dealt.withColumn(one, F.lit(1).cast("long")), one, [], part, order, out)
+    return numbered.drop(part, one)

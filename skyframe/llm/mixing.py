@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import number_in_order, running_sum, save, table, word_count
+from .common import number_in_order, running_sum, save, table, unused, word_count
 
-#: Words of a block.
-BLOCK = 512
+#: Words of a block at most and at least, and blocks that the smallest target should have.
+BLOCK, LEAST_BLOCK, BLOCKS = 512, 64, 128
 #: The golden-ratio point of slot i is (i * STEP mod PERIOD) / PERIOD, in whole numbers and so alike on every machine.
 PERIOD, STEP = 2**31, 1327217885
 WEIGHTS = (5, 2, 1)
@@ -44,53 +44,62 @@ def source_targets(digest: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return ranked.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level)))
 
 
-def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
+def block_words(targets: DataFrame) -> int:
+    """Words of a block: fewer where a source is small, so that whole blocks come near its target."""
+    least = targets.where("target >= 1").agg(F.min("target")).first()[0]
+    return BLOCK if least is None else max(LEAST_BLOCK, min(BLOCK, int(least) // BLOCKS))
+
+
+def schedule(targets: DataFrame, block: int) -> DataFrame:
     """(source_rank, block, slot): which slot takes which of a source's blocks, 0, 1, 2, ... in slot order.
 
     Slot i's golden-ratio point falls into one source's stretch of the cumulative targets; slots
     are ranked per source by running sums over chunks of slots, so a hot source is no single task.
+    A source with words whose stretch no point meets gets one slot behind all others.
     """
-    words = save(targets.select("source_rank", F.floor("target").cast("long").alias("words"), F.floor(F.col("source_rank") / 1024).alias("_chunk")), "mix-words")
+    words = save(targets.select("source_rank", F.floor("target").cast("long").alias("words"), F.floor(F.col("source_rank") / 1024).alias("chunk")), "mix-words")
     total = words.agg(F.sum("words")).first()[0] or 0
-    stretches = running_sum(words, "words", [], "_chunk", ["source_rank"], "low").where("words > 0").withColumn("high", F.col("low") + F.col("words"))
+    stretches = running_sum(words, "words", [], "chunk", ["source_rank"], "low").where("words > 0").withColumn("high", F.col("low") + F.col("words"))
     cell = lambda x: F.floor(F.col(x) / F.lit(max(total, 1)) * CELLS).cast("int")
-    stretches = stretches.withColumn("cell", F.explode(F.sequence(cell("low"), cell("high")))).select("source_rank", "low", "high", "cell")
-    slots = targets.sparkSession.range(-(-total // block)).withColumnRenamed("id", "slot")
+    spread = stretches.withColumn("cell", F.explode(F.sequence(cell("low"), cell("high")))).select("source_rank", "low", "high", "cell")
+    n = -(-total // block)
+    slots = targets.sparkSession.range(n).withColumnRenamed("id", "slot")
     slots = slots.withColumn("point", F.floor(F.pmod(F.pmod(F.col("slot"), F.lit(PERIOD)) * STEP, F.lit(PERIOD)) / F.lit(float(PERIOD)) * total).cast("long"))
-    dealt = slots.withColumn("cell", cell("point")).join(stretches, "cell").where("point >= low and point < high")
-    dealt = dealt.select("source_rank", "slot", F.floor(F.col("slot") / 65536).alias("_chunk"), F.lit(1).cast("long").alias("_one"))
-    return running_sum(save(dealt, "mix-slots"), "_one", ["source_rank"], "_chunk", ["slot"], "block").select("source_rank", "block", "slot")
+    dealt = slots.withColumn("cell", cell("point")).join(spread, "cell").where("point >= low and point < high")
+    dealt = save(dealt.select("source_rank", "slot", F.floor(F.col("slot") / 65536).alias("chunk"), F.lit(1).cast("long").alias("one")), "mix-slots")
+    ranked = running_sum(dealt, "one", ["source_rank"], "chunk", ["slot"], "block").select("source_rank", "block", "slot")
+    missed = stretches.join(dealt.select("source_rank").distinct(), "source_rank", "left_anti")
+    return ranked.unionByName(missed.select("source_rank", F.lit(0).cast("long").alias("block"), (F.col("source_rank") + n).cast("long").alias("slot")))
 
 
-def mix(digest: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = 42) -> DataFrame:
-    """The mix as pieces: columns of ``digest`` with pass, start, words and slot; rows that the mix leaves out have words 0 once.
+def mix(digest: DataFrame, targets: DataFrame, slots: DataFrame, block: int, seed: int = 42) -> DataFrame:
+    """The mix as runs of words: columns of ``digest`` with source_size, target, pass, taken, first_slot and last_slot; a row that the mix leaves out comes once, with taken 0.
 
     ``digest`` is a table with doc_id, source, size and ``row``, a number of each row of its own.
-    The documents of a source follow each other in the order of a keyed hash of doc_id and, where
-    the target is above the source's size, again from the start. This stream is cut into blocks of
-    equal words; the source's k-th slot takes its k-th block. ``words`` of a document from
-    ``start`` on (both in words) are taken at ``slot``. The last block is cut at the target, so
-    each source gives its target's words, and no document more than ceil(target / size) times its
-    own. Blocks to which the schedule has no slot (it may be a few short) come after all others.
+    The documents of a source follow each other in the order of a keyed hash of doc_id, and again
+    from the start until the stream is twice as long as the source. It is cut into blocks of equal
+    words. ``slots`` (source_rank, block, slot) says which blocks are taken, and when: the first
+    blocks of each source, as many as it has slots. Of a document each pass takes ``taken`` words,
+    the first at ``first_slot``. Words beyond the cap of the target (the stream's end) don't exist,
+    so no document gives more than twice its size.
     """
-    known = targets.select("source", "source_size", "source_rank", "target")
-    ranked = digest.join(known, digest["source"].eqNullSafe(known["source"])).drop(known["source"])
+    dealt = save(slots, "mix-schedule")
+    known = targets.select("source", "source_size", "source_rank", "target", "cap")
+    blocks = dealt.groupBy("source_rank").agg(F.count("*").alias("blocks"))
+    known = known.join(blocks, "source_rank", "left").withColumn("end", F.least("cap", F.coalesce("blocks", F.lit(0)) * F.lit(block)).cast("long"))
+    ranked = digest.join(known.withColumnRenamed("source", "mix_source"), F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
     mixed = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    ranked = ranked.withColumn("_hash", mixed).withColumn("_bucket", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
-    placed = running_sum(save(ranked, "mix-ranked-docs"), "size", ["source_rank"], "_bucket", ["_hash", "doc_id", "size", "row"], "_at")
-    passes = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("target") / F.greatest("source_size", F.lit(1))) - 1))
-    rows = placed.withColumn("pass", F.explode(passes)).withColumn("_from", F.col("_at") + F.col("pass") * F.col("source_size"))
-    rows = rows.withColumn("_to", F.least(F.col("_from") + F.col("size"), F.floor("target").cast("long")))
-    none = F.array().cast("array<bigint>")
-    blocks = F.when(F.col("_to") > F.col("_from"), F.sequence(F.floor(F.col("_from") / block).cast("long"), F.floor((F.col("_to") - 1) / block).cast("long"))).otherwise(none)
-    pieces = rows.withColumn("block", F.explode_outer(blocks))
-    pieces = pieces.where("block is not null or pass = 0")
-    low, high = F.greatest("_from", F.col("block") * block), F.least("_to", (F.col("block") + 1) * block)
-    pieces = pieces.withColumn("start", (low - F.col("_from")).cast("long")).withColumn("words", F.when(F.col("block").isNull(), 0).otherwise(high - low).cast("long"))
-    slots = schedule(targets, block)
-    last = 1 << 62
-    out = pieces.join(slots, ["source_rank", "block"], "left").withColumn("slot", F.when(F.col("block").isNotNull(), F.coalesce("slot", F.lit(last) + F.col("block"))))
-    return out.select(*digest.columns, "source_size", "target", "pass", "start", "words", "slot")
+    ranked = ranked.withColumn("hash", mixed).withColumn("bucket", F.conv(F.substring("hash", 1, 3), 16, 10).cast("int"))
+    placed = running_sum(save(ranked, "mix-ranked-docs"), "size", ["source_rank"], "bucket", ["hash", "doc_id", "size", "row"], "at")
+    size = F.greatest("source_size", F.lit(1))
+    passes = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("end") / size) - 1))
+    rows = placed.withColumn("pass", F.explode(passes)).withColumn("from", F.col("at") + F.col("pass") * F.col("source_size"))
+    rows = rows.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("from") + F.col("size"), F.col("end")) - F.col("from")).cast("long"))
+    rows = rows.where("taken > 0 or pass = 0")
+    for name, at in (("first_slot", F.col("from")), ("last_slot", F.col("from") + F.col("taken") - 1)):
+        own = dealt.select("source_rank", F.col("block").alias("own"), F.col("slot").alias(name))
+        rows = rows.withColumn("own", F.when(F.col("taken") > 0, F.floor(at / block).cast("long"))).join(own, ["source_rank", "own"], "left").drop("own")
+    return rows.select(*digest.columns, "source_size", "target", "pass", "taken", "first_slot", "last_slot")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
@@ -98,29 +107,36 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     return save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("row", F.monotonically_increasing_id()), "mix-digest")
 
 
+def scheduled_mix(digest: DataFrame) -> DataFrame:
+    """:func:`mix` of ``digest`` by its own targets and the golden-ratio schedule."""
+    targets = source_targets(digest)
+    block = block_words(targets)
+    return mix(digest, targets, schedule(targets, block), block)
+
+
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each pass in which at least half of a document's words are taken.
+    """``docs`` as the mix takes them, in the order of its slots: a row for each pass in which at least half of a document's words are taken.
 
-    Documents come whole; only the one at which a source's target ends is rounded to all or none.
-    Documents without words are left out.
+    Documents come whole, at the slot of their first word; only the one at which a source's last
+    block ends is rounded to all or none. Documents without words are left out. Columns keep their
+    names, whatever they are; no rows give none.
     """
-    numbered = save(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    digest = numbered.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.col("_row").alias("row"))
-    digest = save(digest, "mix-digest")
-    taken = mix(digest, source_targets(digest)).where("words > 0").groupBy("row", "pass", "size").agg(F.sum("words").alias("taken"))
-    times = taken.where("2 * taken >= size").groupBy("row").agg(F.count("*").cast("int").alias("_times")).withColumnRenamed("row", "_row")
-    return numbered.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    names, row, slot = docs.columns, unused("mix_row", docs), unused("mix_slot", docs)
+    numbered = save(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    digest = numbered.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.col(row).alias("row"))
+    taken = scheduled_mix(save(digest, "mix-digest")).where("taken > 0 and 2 * taken >= size")
+    mixed = numbered.join(taken.select(F.col("row").alias(row), F.col("first_slot").alias(slot)), row)
+    return mixed.repartitionByRange(slot, row).sortWithinPartitions(slot, row).select(*names)
 
 
 def op3_mix_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each of all documents."""
-    digest = mix_digest(table(spark, sf_dir, "documents"))
-    pieces = mix(digest, source_targets(digest))
-    taken = pieces.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    """Words that the mix takes of each of all documents, and the slot of the first of them (-1: none)."""
+    pieces = scheduled_mix(mix_digest(table(spark, sf_dir, "documents")))
+    taken = pieces.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"), F.coalesce(F.min("first_slot"), F.lit(-1)).alias("first_slot"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
-OP3_SQL = r"""
+OP3_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5(coalesce(doc_id::VARCHAR, '') || ':42') AS h
@@ -139,13 +155,25 @@ WITH d AS (
   SELECT first((total - capped) / free ORDER BY ratio, source) FILTER ((total - capped) / free <= ratio) AS level FROM c
 ), t AS (
   SELECT source, source_size, least((2 * source_size)::DOUBLE, weight * level) AS target FROM w, l
+), u AS (
+  SELECT *, floor(target)::BIGINT AS words, coalesce(sum(floor(target)::BIGINT) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low FROM t
+), b AS (
+  SELECT coalesce(greatest({LEAST_BLOCK}, least({BLOCK}, (min(target) FILTER (target >= 1))::BIGINT // {BLOCKS})), {BLOCK}) AS block, sum(words)::BIGINT AS total FROM u
+), slots AS (
+  SELECT i AS slot, floor(((i % {PERIOD}) * {STEP} % {PERIOD}) / {PERIOD}.0::DOUBLE * total)::BIGINT AS point
+  FROM (SELECT unnest(range((total + block - 1) // block)) AS i, total FROM b)
+), dealt AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM slots JOIN u ON point >= low AND point < low + words
+), n AS (
+  SELECT u.source, u.source_size, u.target, least(2 * u.source_size, greatest(count(slot), (u.words > 0)::INT) * any_value(block))::BIGINT AS ends, count(slot) AS n_slots
+  FROM u JOIN b ON true LEFT JOIN dealt ON dealt.source IS NOT DISTINCT FROM u.source GROUP BY u.source, u.source_size, u.target, u.words
 ), p AS (
-  SELECT d.*, t.source_size, t.target,
+  SELECT d.*, n.source_size, n.target, ends,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+), q AS (
+  SELECT *, (greatest(0, least(begins + size, ends) - begins) + greatest(0, least(begins + source_size + size, ends) - begins - source_size))::BIGINT AS taken FROM p
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(begins + size, floor(target)::BIGINT) - begins)
-        + greatest(0, least(begins + source_size + size, floor(target)::BIGINT) - begins - source_size))::BIGINT AS taken
-FROM p
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN slot ELSE -1 END AS first_slot
+FROM q JOIN b ON true LEFT JOIN dealt ON dealt.source IS NOT DISTINCT FROM q.source AND k = begins // block
 """

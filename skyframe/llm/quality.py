@@ -156,9 +156,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows whose own score is below the threshold, whatever their doc_id."""
-    numbered = with_row_numbers(docs, "quality-docs")
-    gone = score_quality(numbered, labels, carry=("_row",)).where(F.col("score") < threshold).select("_row")
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    numbered, row = with_row_numbers(docs, "quality-docs")
+    gone = score_quality(numbered, labels, carry=(row,)).where(F.col("score") < threshold).select(row)
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op9_quality_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_sum, save, table
+from .common import running_sum, save, table, unused
 
 ROUNDS = 6
 #: Cycle walking ends within so many steps: up to 4096 rows always, beyond that but for a chance under 64 ** -64.
@@ -47,8 +47,9 @@ def number_rows(df: DataFrame, key: list[str], out: str = "row_number", buckets:
     The order is (hash bucket of the key, key). Rows with equal keys get consecutive numbers in
     any order, which is the same result where the rows are equal. Nulls in a key order first.
     """
-    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(buckets))).withColumn("_one", F.lit(1).cast("long"))
-    return running_sum(keyed, "_one", [], "_bucket", key, out).drop("_bucket", "_one")
+    bucket, one = unused("bucket_of_key", df), unused("one_each", df)
+    keyed = df.withColumn(bucket, F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(buckets))).withColumn(one, F.lit(1).cast("long"))
+    return running_sum(keyed, one, [], bucket, key, out).drop(bucket, one)
 
 
 def shard_rows(df: DataFrame, key: list[str], n_shards: int, seed: int = 42) -> DataFrame:

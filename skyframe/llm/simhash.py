@@ -145,12 +145,12 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows are linked by their numbers, so those that share a doc_id are judged by their own texts.
     """
-    numbered = with_row_numbers(docs, "simhash-docs")
-    parts = simhash_components(numbered.select(F.col("_row").alias("doc_id"), "text"), radius).select(F.col("doc_id").alias("_row"), "component_id")
-    ids = numbered.select("_row", F.col("doc_id").cast("long").alias("_id"))
-    first = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_row"))
-    kept = parts.join(ids, "_row").groupBy("component_id").agg(first.alias("_first")).select(F.col("_first._row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    numbered, row = with_row_numbers(docs, "simhash-docs")
+    parts = simhash_components(numbered.select(F.col(row).alias("doc_id"), "text"), radius).select(F.col("doc_id").alias("row"), "component_id")
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    kept = parts.join(ids, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op6_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
