@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction (operator 8).
 
-Seeds are what strict patterns find. The words before a seed are a lexical pattern; what stands
-behind the same words elsewhere and looks loosely like such an identifier is an instance of the
-pattern. Spark scores the graph of patterns and instances in rounds: a pattern by how much of
-what it introduces anywhere in the corpus is believed in, an instance by the patterns that
-introduce it. Instances of high-confidence patterns are spans that the strict patterns missed.
+Seeds are what strict patterns find. The one to three tokens before a seed and the one or two
+behind it are lexical patterns; what stands in the same place elsewhere and is loosely of such a
+form, or just any token of several digits, is an instance of the pattern. Spark scores the graph of
+patterns and instances in rounds: a pattern by how much of what it introduces, of all its
+occurrences in the corpus, is believed in, an instance by the patterns that introduce it. Instances
+of high-confidence patterns are spans that the strict patterns missed.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 from .common import save, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern's least number of different seeds, the confidence that patterns and instances need, and rounds of scoring.
+#: A pattern's least number of different instances, the confidence that patterns and instances need, and rounds of scoring.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
-#: Patterns counted over the corpus at once: tasks hold so many at a time.
-HELD_PATTERNS = 50_000
+#: The form of candidates that look like no kind. Bits of the filter of patterns that tasks hold, whatever their number, and entries of a task's counter before it is emptied.
+OTHER, FILTER_BITS, COUNTER = -1, 1 << 23, 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,11 +36,16 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Loose forms: an address with its signs spelled out, parted or without a dot; groups of hex or digits; card-like digits; phone-like digits.
 _LOOSE = {
-    "email": re.compile(r"(?<![\w.@%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?: ?[(\[{]at[)\]}] ?| at |@)[A-Za-z0-9-]+(?:(?: ?[(\[{]dot[)\]}] ?| dot |\.)[A-Za-z0-9-]+)*(?![\w@])"),
-    "ip": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:.])|(?<![\w.])[0-9]{1,3}(?:[.,][0-9]{1,3}){3}(?![\w.])"),
-    "card": re.compile(r"(?<![\w.+-])[0-9]{4}(?:[ ./_-]?[0-9]{2,7}){2,4}(?![\w@])"),
-    "phone": re.compile(r"(?<![\w.+-])\(?[0-9]{2,4}\)?(?:[ ./-]{1,2}\(?[0-9]{2,4}\)?){1,4}(?![\w@])"),
+    0: re.compile(r"(?i)(?<![\w.@%+-])[a-z0-9][a-z0-9._%+-]*(?: ?[(\[{<]at[)\]}>] ?| at |_at_|@)[a-z0-9-]+(?:(?: ?[(\[{<]dot[)\]}>] ?| dot |_dot_|\.)[a-z0-9-]+)*(?![\w@])"),
+    1: re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:.])|(?<![\w.])[0-9]{1,3}(?:(?:[.,]|\[\.\]|\(\.\))[0-9]{1,3}){3}(?![\w.])"),
+    2: re.compile(r"(?<![\w.+-])[0-9]{4}(?:[ ./_-]?[0-9]{2,7}){2,4}(?![\w@])"),
+    3: re.compile(r"(?<![\w.+-])\(?[0-9]{2,4}\)?(?:[ ./-]{1,2}\(?[0-9]{2,4}\)?){1,4}(?![\w@])"),
+    OTHER: re.compile(r"(?<![\w*#/-])[A-Za-z_*#/-]*+[0-9][\w*#/.-]*(?<=\w)"),
 }
+#: One of these is in every text with a loose address.
+_AT = ("@", "at)", "at]", "at}", "at>", " at ", "_at_")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+_DIGITS = str.maketrans("123456789", "000000000")
 
 
 def _luhn(digits: str) -> bool:
@@ -78,113 +85,164 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _patterns(text: str, start: int) -> list[str]:
-    """The one and the two words before a place, lower-cased, digits as 0."""
-    words = re.sub("[0-9]", "0", text[max(0, start - 80) : start].lower()).split(" ")
-    words = [w for part in words for w in part.split()][-3:]
-    return [" ".join(words[-k:]) for k in (1, 2) if len(words) > k or (len(words) == k and start < 80)]
+def tokens(text: str) -> list[str]:
+    """Words and marks of a text in lower case, digits as 0."""
+    return _TOKEN.findall(text.lower().translate(_DIGITS))
+
+
+def _patterns(text: str, start: int, end: int) -> list[str]:
+    """The one to three tokens before a span, marked <, and the one or two behind it, marked >; a glued sign is a token like any other."""
+    reach = 64
+    while len(before := tokens(text[max(0, start - reach) : start])) < 4 and start > reach:
+        reach *= 2
+    reach = 64
+    while len(behind := tokens(text[end : end + reach])) < 3 and end + reach < len(text):
+        reach *= 2
+    return ["<" + " ".join(before[-k:]) for k in (1, 2, 3) if len(before) >= k] + [">" + " ".join(behind[:k]) for k in (1, 2) if len(behind) >= k]
+
+
+def loose_spans(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(form, start, end) of candidates beside the strict spans and each other: loose forms of the kinds, then any token of four digits or more."""
+    taken = bytearray(len(text))
+    for a, _, b in base:
+        taken[a:b] = b"\1" * (b - a)
+    low = text.lower()
+    for form, pattern in _LOOSE.items():
+        if form == 0 and not any(x in low for x in _AT):
+            continue
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            if form == 0 and " at " in m[0].lower() and "." not in m[0] and " dot " not in m[0].lower():
+                continue
+            if form == 3 and not 7 <= sum(map(str.isdigit, m[0])) <= 15:
+                continue
+            if form == OTHER and (b - a < 6 or sum(map(str.isdigit, m[0])) < 4):
+                continue
+            if taken.find(1, a, b) < 0:
+                taken[a:b] = b"\1" * (b - a)
+                yield form, a, b
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email .. n_phone, base (the strict spans), and ``seen``: (kind, start, end, instance, patterns, seed) of seeds and loose candidates.
+    """doc_id, n_email .. n_phone, base (the strict spans), and ``seen``: (form, start, end, instance, patterns, seed) of seeds and candidates.
 
-    Texts are whole; null counts as empty. Spans count code points, ends exclusive.
+    Texts are whole; null counts as empty. Spans count code points, ends exclusive. ``form`` is the
+    number of a kind, or OTHER.
     """
-    seen_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_())]))
+    seen_type = pa.list_(pa.struct([("form", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, bases, seen = [], [], []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                base = base_spans(text)
-                counts.append(np.bincount([k for _, k, _ in base], minlength=4))
-                bases.append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base))
-                found = [(k, a, b, True) for a, k, b in base]
-                taken = bytearray(len(text))
-                for a, _, b in base:
-                    taken[a:b] = b"\1" * (b - a)
-                for kind, name in enumerate(KINDS):
-                    if kind == 0 and "@" not in text and " at " not in text and "at)" not in text and "at]" not in text:
-                        continue
-                    for m in _LOOSE[name].finditer(text):
-                        if kind == 0 and " at " in m[0] and "." not in m[0] and " dot " not in m[0]:
-                            continue
-                        if 3 == kind and not 7 <= sum(map(str.isdigit, m[0])) <= 15:
-                            continue
-                        if taken.find(1, m.start(), m.end()) < 0:
-                            taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-                            found.append((kind, m.start(), m.end(), False))
-                seen.append([{"kind": k, "start": a, "end": b, "instance": text[a:b].lower(), "patterns": _patterns(text, a), "seed": s} for k, a, b, s in found])
-            by_kind = np.array(counts, "i8").reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(by_kind[:, k]) for k in range(4)), pa.array(bases, pa.string()), pa.array(seen, seen_type)],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "seen"],
-            )
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                counts, bases, seen = [], [], []
+                for value in batch.column(1):
+                    text = value.as_py() or ""
+                    base = base_spans(text)
+                    counts.append(np.bincount([k for _, k, _ in base], minlength=4))
+                    bases.append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base))
+                    found = [(k, a, b, True) for a, k, b in base] + [(k, a, b, False) for k, a, b in loose_spans(text, base)]
+                    seen.append([{"form": k, "start": a, "end": b, "instance": text[a:b].lower(), "patterns": _patterns(text, a, b), "seed": s} for k, a, b, s in found])
+                by_kind = np.array(counts, "i8").reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *(pa.array(by_kind[:, k]) for k in range(4)), pa.array(bases, pa.string()), pa.array(seen, seen_type)],
+                    names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "seen"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-        "seen array<struct<kind:int,start:bigint,end:bigint,instance:string,patterns:array<string>,seed:boolean>>",
+        "seen array<struct<form:int,start:bigint,end:bigint,instance:string,patterns:array<string>,seed:boolean>>",
     )
 
 
-def occurrences(docs: DataFrame, patterns: DataFrame, held: int = HELD_PATTERNS) -> DataFrame:
-    """(pattern, total): how often each pattern of ``patterns`` stands before any word in the texts.
+def _bits(grams: Iterator[str]) -> np.ndarray:
+    return np.fromiter((crc32(g.encode()) % FILTER_BITS for g in grams), "i8")
+
+
+def occurrences(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, total): how often each sequence of tokens in ``grams`` (distinct) occurs in the texts, in one pass whatever their number.
 
-    Tasks hold ``held`` patterns at a time; more are counted in further passes over the texts.
+    Tasks hold a filter of fixed size, which lets a few other sequences through; the join with
+    ``grams`` leaves them out.
     """
-    spark, parts = docs.sparkSession, 1 + patterns.count() // held
-    total = None
-    for part in range(parts):
-        own = frozenset(r[0] for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part).toLocalIterator())
-        kept = spark.sparkContext.broadcast(own)
-
-        def rows(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
-            digits = str.maketrans("123456789", "000000000")
-            own, counts = kept.value, Counter()
-            for batch in batches:
-                for value in batch.column(0):
-                    words = (value.as_py() or "").lower().translate(digits).split()
-                    counts.update(w for w in words[:-1] if w in own)
-                    counts.update(p for p in map(" ".join, zip(words, words[1:-1], strict=False)) if p in own)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
-
-        found = docs.select("text").mapInArrow(rows, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
-        total = found if total is None else total.union(found)
-    return total
+    wanted = np.zeros(FILTER_BITS // 8, "u1")
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            found = np.unique(np.concatenate([_bits(own), _bits(g.split(" ")[0] for g in own)]))
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["bit"])
+
+    filled = grams.select("gram").mapInArrow(places, "bit long").groupBy(F.expr("bit div 8 AS byte")).agg(F.expr("bit_or(shiftleft(1, cast(bit % 8 AS int))) AS bits"))
+    for r in filled.toLocalIterator():
+        wanted[r.byte] = r.bits
+    kept = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, counts = np.unpackbits(kept.value, bitorder="little"), Counter()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                texts = [tokens(x or "") for x in batch.column(0).slice(at, 500).to_pylist()]
+                distinct = list(set().union(*texts))
+                heads = {w for w, ok in zip(distinct, wanted[_bits(distinct)], strict=True) if ok}
+                longer: Counter = Counter()
+                for own in texts:
+                    hits = [i for i, w in enumerate(own) if w in heads]
+                    counts.update(own[i] for i in hits)
+                    longer.update((own[i], own[i + 1]) for i in hits if i + 1 < len(own))
+                    longer.update((own[i], own[i + 1], own[i + 2]) for i in hits if i + 2 < len(own))
+                names = list(map(" ".join, longer))
+                for name, n, ok in zip(names, longer.values(), wanted[_bits(names)], strict=True):
+                    if ok:
+                        counts[name] += n
+                if len(counts) > COUNTER:
+                    yield told()
+                    counts.clear()
+        yield told()
+
+    found = docs.select("text").mapInArrow(rows, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("total"))
+    return found.join(grams.select("gram"), "gram", "left_semi")
 
-def bootstrap(docs: DataFrame, extracted: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, instance) of the loose candidates that high-confidence patterns introduce.
 
-    A pattern of fewer than ``support`` different instances says nothing. Its confidence for a
-    kind is the sum of the belief in its occurrences over all its occurrences in the corpus plus
-    one; belief in a seed is 1, in another instance the confidence that none of its patterns is
-    wrong about (1 - the product of doubts), from 0 at the start. Later rounds so learn patterns
-    from instances first found by earlier ones.
+def bootstrap(docs: DataFrame, extracted: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """(form, instance, kind) of the candidates that high-confidence patterns introduce.
+
+    A pattern of fewer than ``support`` different instances of a kind says nothing. Its confidence
+    for the kind is the sum of the belief in its occurrences over all its occurrences in the corpus
+    plus one; belief in a seed is 1, in another instance the confidence that not all of its
+    patterns are wrong about it (1 - the product of doubts), from 0 at the start. Later rounds so
+    learn patterns from instances first found by earlier ones. A candidate of no form belongs to
+    the kind that its patterns speak for most.
     """
-    each = extracted.select("doc_id", F.explode("seen").alias("s")).select("s.kind", "s.instance", "s.seed", F.explode("s.patterns").alias("pattern"))
-    links = each.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    links = save(links, "pii-links")
-    strong = links.groupBy("kind", "pattern").agg(F.count("*").alias("instances"), F.max((~F.col("seed")).cast("int")).alias("open"))
-    strong = strong.where(F.col("instances") >= support).select("kind", "pattern", "open")
-    strong = save(strong, "pii-patterns")
-    none = links.select("kind", "instance").limit(0)
-    if not strong.where("open = 1").limit(1).count():
+    each = extracted.select(F.explode("seen").alias("s")).select("s.form", "s.instance", "s.seed", F.explode("s.patterns").alias("pattern"))
+    links = save(each.groupBy("form", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-links")
+    strong = links.where(F.col("form") != OTHER).groupBy(F.col("form").alias("kind"), "pattern").agg(F.count("*").alias("instances"))
+    strong = save(strong.where(F.col("instances") >= support).select("kind", "pattern"), "pii-patterns")
+    graph = links.join(strong, "pattern").where((F.col("form") == F.col("kind")) | (F.col("form") == OTHER))
+    # Patterns that introduce nothing but seeds need no score.
+    open_ = graph.where("not seed").select("kind", "pattern").distinct()
+    graph = save(graph.join(open_, ["kind", "pattern"], "left_semi").withColumn("gram", F.expr("substring(pattern, 2)")), "pii-open")
+    none = links.select("form", "instance", F.lit(0).alias("kind")).limit(0)
+    if not graph.limit(1).count():
         return none
-    totals = save(occurrences(docs, strong.select("pattern").distinct()), "pii-totals")
-    graph = save(links.join(strong.select("kind", "pattern"), ["kind", "pattern"]).join(totals, "pattern"), "pii-graph")
-    belief = graph.where("seed").select("kind", "instance", F.lit(1.0).alias("belief")).distinct()
-    found = none
+    totals = occurrences(docs, save(graph.select("gram").distinct(), "pii-grams"))
+    graph = save(graph.join(totals, "gram"), "pii-graph")
+    seeds = graph.where("seed").select("kind", "form", "instance", F.lit(1.0).alias("belief")).distinct()
+    belief, found = seeds, none
     for _ in range(rounds):
-        believed = graph.join(belief, ["kind", "instance"], "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
+        believed = graph.join(belief, ["kind", "form", "instance"], "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
         trust = believed.groupBy("kind", "pattern").agg((F.sum(F.col("belief") * F.col("n")) / (F.greatest(F.max("total"), F.sum("n")) + 1)).alias("trust"))
         doubt = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))))
-        new = graph.where("not seed").join(trust, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("belief"), F.max("trust").alias("trust"))
+        new = graph.where("not seed").join(trust, ["kind", "pattern"]).groupBy("kind", "form", "instance").agg((1 - F.exp(doubt)).alias("belief"), F.max("trust").alias("trust"))
         new = save(new, "pii-belief")
-        belief = graph.where("seed").select("kind", "instance", F.lit(1.0).alias("belief")).distinct().union(new.select("kind", "instance", "belief"))
-        found = new.where((F.col("trust") >= confidence) & (F.col("belief") >= confidence)).select("kind", "instance")
-    return found
+        belief = seeds.union(new.select("kind", "form", "instance", "belief"))
+        found = new.where((F.col("trust") >= confidence) & (F.col("belief") >= confidence))
+    best = F.max(F.struct("trust", "belief", (-F.col("kind")).alias("kind")))
+    return found.groupBy("form", "instance").agg((-best["kind"]).alias("kind"))
 
 
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -192,21 +250,22 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, confidence: floa
 
     ``spans`` adds to the strict ones the candidates that bootstrapping accepts; strict spans
     always stay, and candidates never overlap them or each other. Rows that repeat a document
-    are found each; null and empty texts have no spans.
+    are found each; null and empty texts have no spans; a null doc_id stays null; other columns are
+    left behind; an empty table gives no rows.
     """
     row = extract(docs).withColumn("row", F.monotonically_increasing_id())
     extracted = save(row, "pii-extracted")
     accepted = bootstrap(docs, extracted, support, confidence)
-    loose = extracted.select("row", F.explode("seen").alias("s")).where("not s.seed").select("row", "s.kind", "s.start", "s.end", "s.instance")
+    loose = extracted.select("row", F.explode("seen").alias("s")).where("not s.seed").select("row", "s.form", "s.start", "s.end", "s.instance")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-    added = loose.join(accepted, ["kind", "instance"]).groupBy("row").agg(
+    added = loose.join(accepted, ["form", "instance"]).groupBy("row").agg(
         F.collect_list(F.struct("start", "kind", F.concat_ws(":", kind, F.col("start").cast("string"), F.col("end").cast("string")).alias("span"))).alias("added")
     )
     strict = F.transform(
         F.filter("seen", lambda s: s["seed"]),
         lambda s: F.struct(
-            s["start"].alias("start"), s["kind"].alias("kind"),
-            F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string")).alias("span"),
+            s["start"].alias("start"), s["form"].alias("kind"),
+            F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["form"] + 1), s["start"].cast("string"), s["end"].cast("string")).alias("span"),
         ),
     )
     both = extracted.join(added, "row", "left").withColumn("spans", F.array_sort(F.concat(strict, F.coalesce("added", F.array().cast("array<struct<start:bigint,kind:int,span:string>>")))))
