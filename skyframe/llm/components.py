@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..spool import discard
 from .common import save
 
 
@@ -25,8 +26,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = live.union(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parents = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("parent"))
         roots = _roots(save(parents, "components-parents"))
+        past = (labels, live, roots)
         labels = save(_relabel(labels, "component", roots), "components-nodes")
         live = save(_apart(_relabel(_relabel(live, "u", roots), "v", roots)), "components-edges")
+        discard(*past)
     return labels
 
 
@@ -43,12 +46,15 @@ def _relabel(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
 
 def _roots(parents: DataFrame) -> DataFrame:
     """Follow parents to their ends by doubling; parents are smaller than or equal to their nodes, so there are no cycles."""
+    table = parents
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
         jumped = save(
             parents.join(up, "parent", "left").select("node", F.coalesce("_up", "parent").alias("next"), "parent"), "components-jump"
         )
         moved = jumped.where("next != parent").limit(1).count()
-        parents = jumped.select("node", F.col("next").alias("parent"))
+        discard(table)
+        table, parents = jumped, jumped.select("node", F.col("next").alias("parent"))
         if not moved:
+            parents.saved_path = jumped.saved_path
             return parents

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..spool import discard
 from .common import number_in_order, save, table
 from .components import connected_components
 from .simhash import _spanning
@@ -47,16 +48,16 @@ def _planes(seed: int, dim: int, passes: int) -> np.ndarray:
 
 
 def _directions(vectors: DataFrame) -> DataFrame:
-    """vec_id, dim and sign (equal for equal directions); dim null where a vector takes no part."""
+    """row, vec_id, dim and sign (equal for equal directions) of ``vectors`` (row, vec_id, embedding); dim null where a vector takes no part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [_unit(value.as_py()) for value in batch.column(1)]
+            units = [_unit(value.as_py()) for value in batch.column(2)]
             dims = [None if x is None else len(x) for x in units]
             signs = [None if x is None else hashlib.sha256((x + 0.0).tobytes()).digest() for x in units]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(signs, pa.binary())], names=["vec_id", "dim", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(signs, pa.binary())], names=["row", "vec_id", "dim", "sign"])
 
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(rows, "vec_id long, dim int, sign binary")
+    return vectors.select("row", "vec_id", "embedding").mapInArrow(rows, "row long, vec_id long, dim int, sign binary")
 
 
 def _means(values: DataFrame) -> dict[int, np.ndarray]:
@@ -179,15 +180,16 @@ def link_components(vectors: DataFrame, threshold: float = 0.95, window: int = W
     every two classes of a component are compared exactly, two blocks at a time, and counted. So
     links are missed only between components that no pass joined. Vectors that are null, empty,
     zero or hold null or non-finite components link with nothing, and nor do vectors of
-    different dimensions. Rows that repeat a vec_id count as vectors of their own. A null vec_id
-    is never a component's smallest while there are others.
+    different dimensions. Rows are told apart by numbers of their own, so those that repeat a
+    vec_id, or have a null one, count as vectors of their own. A null vec_id is never a component's
+    smallest while there are others; a component of nulls alone has a null component_id, and all
+    its rows are kept. Other columns are left behind; an empty table gives no rows.
     """
-    dealt = vectors.select("vec_id", "embedding")
+    dealt = save(vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), "embedding"), "vector-rows")
     rows = save(_directions(dealt), "vector-directions")
-    by_class = rows.where("dim is not null").groupBy("dim", "sign").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    classes = save(by_class.where("first is not null"), "vector-classes")
-    values = dealt.join(classes.select("first", "dim"), (F.col("vec_id") == F.col("first")) & (F.size("embedding") == F.col("dim")), "left_semi")
-    values = save(values.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("first"), "embedding"), "vector-values")
+    by_class = rows.where("dim is not null").groupBy("dim", "sign").agg(F.min("row").alias("first"), F.min("vec_id").alias("smallest"), F.count("*").alias("copies"))
+    classes = save(by_class, "vector-classes")
+    values = save(dealt.join(classes.select(F.col("first").alias("row")), "row", "left_semi").select(F.col("row").alias("first"), "embedding"), "vector-values")
 
     live, edges, joined, turn = values, None, 0, 0
     while True:
@@ -196,7 +198,8 @@ def link_components(vectors: DataFrame, threshold: float = 0.95, window: int = W
         edges = save((more if edges is None else edges.union(more)).distinct(), "vector-edges")
         parts = save(connected_components(edges), "vector-components")
         missed = found.where("v is null").groupBy(F.col("u").alias("first")).agg(F.sum("missed").alias("missed")).where(F.col("missed") > math.log(1 - RECALL))
-        live = save(live.join(missed, "first", "left_semi"), "vector-live")
+        past, live = live, save(live.join(missed, "first", "left_semi"), "vector-live")
+        discard(found, *([past] if turn else []))
         before, joined = joined, parts.where("node != component").count()
         if (turn and joined == before) or not live.limit(1).count():
             break
@@ -223,12 +226,14 @@ def link_components(vectors: DataFrame, threshold: float = 0.95, window: int = W
         return pd.concat(out)
 
     links = pairs.groupBy("spread").applyInPandas(counted, "first long, links long").groupBy("first").agg(F.sum("links").alias("links"))
-    info = classes.select("dim", "sign", "first", "copies").join(links, "first", "left").join(parts, "first", "left")
-    # A class that only null ids have is left out above; its rows link with each other.
-    info = info.select("dim", "sign", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
+    smallest = parts.join(classes.select("first", "smallest"), "first").groupBy("component").agg(F.min("smallest").alias("least"))
+    info = classes.join(links, "first", "left").join(parts.join(smallest, "component"), "first", "left")
+    least = F.when(F.col("component").isNull(), F.col("smallest")).otherwise(F.col("least"))
+    info = info.select("dim", "sign", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), least.alias("component_id"), F.lit(True).alias("there"))
     out = rows.select("vec_id", "dim", "sign").join(save(info, "vector-info"), ["dim", "sign"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("there"), F.col("component_id")).otherwise(F.col("vec_id"))
+    kept = component.isNull() | F.coalesce(component == F.col("vec_id"), F.lit(False))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
 
 
 def op7_embedding_passes(spark: SparkSession, sf_dir: str) -> DataFrame:

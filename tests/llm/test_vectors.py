@@ -98,3 +98,22 @@ def test_links_beside_a_dense_cluster(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.component_id for r in link_components(df, 0.95, window=8, block=512).collect()}
     assert np.mean([got[int(a)] == got[n + i] for i, a in enumerate(at)]) >= 0.97
+
+
+def test_links_of_repeated_and_null_ids(spark):
+    """Rows are vectors of their own whatever their ids: brute force over row numbers."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(6, 16))
+    ids = [1, 2, 2, 2, 3, None, None, 7, 7, None, 12, 5, 5, None]
+    which = [0, 0, 1, 1, 1, 1, 2, 2, 3, 3, 4, 4, 4, 5]
+    rows = [(i, (centres[w] + 0.02 * rng.normal(size=16)).tolist()) for i, w in zip(ids, which, strict=True)] + [(2, None), (None, [0.0] * 16)]
+    rows.append(rows[5])
+    links = brute_links([(k, v) for k, (_, v) in enumerate(rows)], 0.95)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[links[k][1]] = min(i, least.get(links[k][1], i))
+    want = sorted(((i, links[k][0], c := least.get(links[k][1]), c is None or c == i) for k, (i, _) in enumerate(rows)), key=str)
+    df = spark.createDataFrame([(i, v, "own", 1) for i, v in rows], "vec_id long, embedding array<double>, row string, first int")
+    got = sorted((tuple(r) for r in link_components(df, 0.95, window=8, block=4).collect()), key=str)
+    assert got == want
