@@ -3,7 +3,7 @@ from conftest import Components
 
 from skyframe.llm.components import connected_components
 from skyframe.llm.embedding_dedup import link_components
-from skyframe.llm.topk import KDTree, exact_topk, quantised
+from skyframe.llm.topk import KDTree, cut_space, exact_topk, quantised, regions_of
 
 from pyspark.sql import functions as F
 
@@ -45,7 +45,7 @@ def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.integers(-3, 4, 4).tolist()) for i in range(150)] + [(200 + i, [1, 2]) for i in range(6)] + [(300, [2**40, 1, 1, 1]), (304, [2**40, 2**40, 0, 0])]
     df = spark.createDataFrame([*rows, rows[0], (None, [1, 1, 1, 1]), (999, None)], "vec_id long, q array<long>")
-    for shard_rows in (1000, 30):
+    for shard_rows in (1000, 30, 4):
         got = exact_topk(df, F.col("vec_id") % 4 == 0, 5, shard_rows).collect()
         want = {(q, r, i, min(s, 2**63 - 1)) for q, r, i, s in brute_topk(rows, 5)}
         assert {tuple(r) for r in got} == want and len(got) == len(want)
@@ -117,3 +117,20 @@ def test_links_of_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(i, v, "own", 1) for i, v in rows], "vec_id long, embedding array<double>, row string, first int")
     got = sorted((tuple(r) for r in link_components(df, 0.95, window=8, block=4).collect()), key=str)
     assert got == want
+
+
+def test_regions_of_space():
+    rows = np.random.default_rng(5).normal(size=(4000, 6))
+    own = np.bincount(regions_of(rows, cut_space(rows, 8)), minlength=8)
+    assert len(own) == 8 and own.min() >= 499
+    assert set(regions_of(np.ones((9, 3)), cut_space(np.ones((9, 3)), 4))) == {0} and (regions_of(rows, []) == 0).all()
+
+
+def test_topk_of_clusters_and_many_equal_vectors(spark):
+    """A third of all rows are one vector; clusters let most regions be left out."""
+    rng = np.random.default_rng(6)
+    centres = rng.integers(-50, 50, (8, 6))
+    rows = [(i, (centres[i % 8] + rng.integers(-3, 4, 6)).tolist()) for i in range(400)] + [(400 + i, centres[0].tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, q array<long>").withColumn("region", F.lit(1)).withColumn("least", F.lit("x"))
+    got = {tuple(r) for r in exact_topk(df, F.col("vec_id") % 4 == 0, 5, 25).collect()}
+    assert got == brute_topk(rows, 5)
