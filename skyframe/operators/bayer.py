@@ -42,6 +42,10 @@ def demosaic(pixels: DataFrame, pattern: Column | str) -> DataFrame:
 
 
 def bayer_grayscale(pixels: DataFrame, pattern: Column | str) -> DataFrame:
-    """``pixels`` with v the equal-weight mean of the three demosaiced channels."""
+    """``pixels`` with v the equal-weight mean of the three demosaiced channels; a mosaic has one channel, more are an error."""
+    if "channel" in pixels.columns:
+        most = pixels.agg(F.max("channel")).first()[0]
+        if most:
+            raise FrameError(f"a single-channel mosaic is needed, not {most + 1} channels")
     grey = demosaic(pixels, pattern)
     return grey.withColumn("v", (F.col("r") + F.col("g") + F.col("b")) / 3).select(*pixels.columns)

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import FrameError
 
+#: Side of the square tiles that one task filters at a time.
+TILE = 256
+
 
 def pixels_from_arrays(frames: DataFrame) -> DataFrame:
     """(frame_id, y, x, v) of frames that hold their row-major samples in ``values``, with width and height.
 
-    A frame whose sample count isn't width * height (* channels, where there is such a column) is an error.
+    Where ``frames`` has channels, samples lie channel by channel at each place and rows have a
+    column ``channel`` before v. A frame whose sample count isn't width * height (* channels) is an error.
     """
-    channels = F.col("channels") if "channels" in frames.columns else F.lit(1)
+    many = "channels" in frames.columns
+    channels = F.col("channels") if many else F.lit(1)
     fits = F.size("values") == F.col("width") * F.col("height") * channels
     values = F.when(fits, F.col("values")).otherwise(F.raise_error(F.lit("pixel count does not match the geometry")).cast("array<double>"))
-    each = frames.select("frame_id", "width", F.posexplode(values).alias("i", "v"))
-    return each.select("frame_id", (F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), F.col("v").cast("double"))
+    each = frames.select("frame_id", "width", channels.alias("n"), F.posexplode(values).alias("i", "v")).withColumn("at", F.expr("i div n"))
+    place = [F.expr("at div width").cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x")]
+    return each.select("frame_id", *place, *([(F.col("i") % F.col("n")).cast("int").alias("channel")] if many else []), F.col("v").cast("double"))
 
 
 def linear_index(y: Column, x: Column, width: Column) -> Column:
@@ -76,35 +86,46 @@ def square_windows(peaks: DataFrame, pixels: DataFrame, radius: Column | int) ->
     return wide.join(there, on).drop("_f", "_py", "_px", "_y", "_x")
 
 
-def zero_sum_response(pixels: DataFrame, radius: int, sigma: Column | float = None) -> DataFrame:
+def _zero_sum(v: np.ndarray, sigma: float, missing: list[tuple[int, int]], reach: int) -> np.ndarray:
+    """Response of the inside of ``v``, a tile with a rim of ``reach``, of which ``missing`` (before, after; rows, then columns) lies outside the frame."""
+    v = np.pad(v, missing, mode="edge")
+    taps = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma))
+    taps /= taps.sum()
+    along = lambda a, weights, n: sum(w * a[k : k + n] for k, w in enumerate(weights))
+    h, w = v.shape[0] - 2 * reach, v.shape[1] - 2 * reach
+    both = [along(along(v, t, h).T, t, w).T for t in (taps, np.full(2 * reach + 1, 1 / (2 * reach + 1)))]
+    return both[0] - both[1]
+
+
+def zero_sum_response(pixels: DataFrame, radius: int, sigma: Column | float = None, tile: int = TILE) -> DataFrame:
     """``pixels`` with ``response``: a Gaussian of unit sum less its mean, over a square reaching 3 sigma, replicated at the borders.
 
-    The Gaussian and the mean are both separable, so rows then columns take one window each; the
-    work of a task is a row or a column. ``sigma`` may differ by frame (a column); ``radius`` is
-    the largest ceil(3 sigma). Frames must be dense.
+    One shuffle deals pixels to tiles, those within ``radius`` of a tile's border to its neighbours
+    too; a task filters a tile at a time, so its memory is a tile's whatever the frame. ``sigma``
+    may differ by frame (a column); ``radius``, below ``tile``, is the largest ceil(3 sigma).
+    Frames must be dense.
     """
+    if radius >= tile:
+        raise FrameError(f"a filter of radius {radius} needs tiles above it, not {tile}")
     sigma = sigma if isinstance(sigma, Column) else F.lit(float(sigma))
-    reach = F.ceil(3 * sigma)
-    taps = [F.when(F.lit(abs(k)) <= reach, F.exp(-(k * k) / (2 * sigma * sigma))).otherwise(0.0) for k in range(radius + 1)]
-    whole = sum((2 * t for t in taps[1:]), taps[0])
-
-    def along(df: DataFrame, by: str, line: str, pairs: list[tuple[str, str]]) -> DataFrame:
-        ordered = Window.partitionBy("frame_id", by).orderBy(line)
-        all_ = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        for c in dict.fromkeys(c for c, _ in pairs):
-            df = df.withColumns({f"_first_{c}": F.first(c).over(all_), f"_last_{c}": F.last(c).over(all_)})
-        out = {}
-        for c, kind in pairs:
-            sides = [F.coalesce(F.lag(c, k).over(ordered), F.col(f"_first_{c}")) + F.coalesce(F.lead(c, k).over(ordered), F.col(f"_last_{c}")) for k in range(1, radius + 1)]
-            if kind == "g":
-                out[f"_g{c}"] = sum((F.col(f"_t{k}") * s for k, s in enumerate(sides, 1)), F.col("_t0") * F.col(c)) / F.col("_whole")
-            else:
-                out[f"_b{c}"] = sum((F.when(F.lit(k) <= F.col("_reach"), s).otherwise(0.0) for k, s in enumerate(sides, 1)), F.col(c))
-        return df.withColumns(out).drop(*(f"_{e}_{c}" for e in ("first", "last") for c in dict.fromkeys(c for c, _ in pairs)))
-
     names = pixels.columns
-    df = pixels.withColumns({f"_t{k}": t for k, t in enumerate(taps)} | {"_whole": whole, "_reach": reach})
-    df = along(df, "y", "x", [("v", "g"), ("v", "b")])
-    df = along(df, "x", "y", [("_gv", "g"), ("_bv", "b")])
-    side = 2 * F.col("_reach") + 1
-    return df.select(*names, (F.col("_g_gv") - F.col("_b_bv") / (side * side)).alias("response"))
+    near = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile).cast("int") for d in (-radius, 0, radius)])))
+    dealt = pixels.withColumn("_sigma", sigma.cast("double")).withColumn("_ty", near("y")).withColumn("_tx", near("x")).where("_ty >= 0 and _tx >= 0")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.schema) + ", response double"
+
+    def filtered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        y, x = rows["y"].to_numpy("i8"), rows["x"].to_numpy("i8")
+        own = (y // tile == key[1]) & (x // tile == key[2])
+        if not own.any():
+            return rows.loc[own, names].assign(response=0.0)
+        reach = math.ceil(3 * float(rows["_sigma"].iloc[0]))
+        low, high = [a[own].min() for a in (y, x)], [a[own].max() + 1 for a in (y, x)]
+        first, last = [max(a.min(), lo - reach) for a, lo in zip((y, x), low, strict=True)], [min(a.max() + 1, hi + reach) for a, hi in zip((y, x), high, strict=True)]
+        here = (y >= first[0]) & (y < last[0]) & (x >= first[1]) & (x < last[1])
+        v = np.zeros((last[0] - first[0], last[1] - first[1]))
+        v[y[here] - first[0], x[here] - first[1]] = rows["v"].to_numpy("f8")[here]
+        missing = [(reach - (lo - f), reach - (la - hi)) for lo, f, la, hi in zip(low, first, last, high, strict=True)]
+        out = _zero_sum(v, float(rows["_sigma"].iloc[0]), missing, reach)
+        return rows.loc[own, names].assign(response=out[y[own] - low[0], x[own] - low[1]])
+
+    return dealt.groupBy("frame_id", "_ty", "_tx").applyInPandas(filtered, schema)

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MAD_TO_SIGMA, snr_weight
+from ..spool import as_table, save
 
 #: Rank error of the bracketing sketch is n / ACCURACY, well inside the two per cent around the middle that the bracket takes.
 ACCURACY = 1000
+#: Values of a group up to which one task may keep them all for a median.
+MAP_VALUES = 250_000
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
@@ -30,21 +33,28 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     return ranked.groupBy(*keys).agg(((first("(_n + 1) div 2") + first("(_n + 2) div 2")) / 2).alias(out))
 
 
-def median_and_mad(df: DataFrame, keys: list[str], value: str, large: bool = True) -> DataFrame:
-    """(keys, median, mad): median and median absolute deviation about it, unscaled. ``large`` picks :func:`exact_median`."""
-    clean = df.where(~F.isnan(value))
+def median_and_mad(df: DataFrame, keys: list[str], value: str, large: bool | None = None) -> DataFrame:
+    """(keys, median, mad): median and median absolute deviation about it, unscaled; NaN and null don't count.
+
+    ``df`` is read several times and so written as a table first, unless it is one. ``large`` picks
+    :func:`exact_median`; by default groups of more than MAP_VALUES values decide, as Spark's own median is
+    faster below.
+    """
+    clean = as_table(df, "values").where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, value)
+    if large is None:
+        large = (clean.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > MAP_VALUES
     median = (lambda d, v, o: exact_median(d, keys, v, o)) if large else (lambda d, v, o: d.groupBy(*keys).agg(F.median(v).alias(o)))
-    centre = median(clean, value, "median")
-    off = clean.select(*keys, value).join(centre, keys).withColumn("_off", F.abs(F.col(value) - F.col("median")))
+    centre = save(median(clean, value, "median"), "medians")
+    off = clean.join(centre, keys).withColumn("_off", F.abs(F.col(value) - F.col("median")))
     return centre.join(median(off, "_off", "mad"), keys)
 
 
-def robust_noise(df: DataFrame, keys: list[str], value: str, large: bool = True) -> DataFrame:
+def robust_noise(df: DataFrame, keys: list[str], value: str, large: bool | None = None) -> DataFrame:
     """(keys, median, noise): noise is 1.4826 times the MAD."""
     return median_and_mad(df, keys, value, large).select(*keys, "median", (MAD_TO_SIGMA * F.col("mad")).alias("noise"))
 
 
-def signal_to_noise(pixels: DataFrame, keys: list[str] | None = None, value: str = "v", large: bool = True) -> DataFrame:
+def signal_to_noise(pixels: DataFrame, keys: list[str] | None = None, value: str = "v", large: bool | None = None) -> DataFrame:
     """(keys, noise, weight) of every frame with pixels and noise above 0; weight is for comparing frames."""
     keys = keys or ["frame_id"]
     return robust_noise(pixels, keys, value, large).where("noise > 0").select(*keys, "noise", snr_weight(F.col("noise")).alias("weight"))

@@ -12,10 +12,10 @@ from ..config import DetectorConfig
 from ..functions.scalars import FWHM_PER_SIGMA, effective_fwhm, fit_shape, gaussian_flux, gaussian_seed, is_finite, measurement_radius
 from ..operators.fit import gaussian_fit
 from ..operators.grid import frames_of, local_maxima, require_single_channel, square_windows, zero_sum_response
-from ..operators.moments import star_moments
+from ..operators.moments import half_flux_radius_about, star_moments
 from ..operators.peaks import rank_peaks, separate
 from ..operators.stats import robust_noise
-from ..spool import save
+from ..spool import as_table, save
 
 #: Of the scale estimate: bright maxima are so many sigma above the median, windows reach so far, a body is above the background by so many sigma and has so many pixels, and its half-flux radius is above.
 BRIGHT_SIGMA, BOOT_RADIUS, BODY_SIGMA, BODY_PIXELS, LEAST_HFR = 10.0, 10, 3.0, 5, 0.3
@@ -41,11 +41,42 @@ def with_sharpness(windows: DataFrame, keys: list[str]) -> DataFrame:
     return windows.withColumn("sharpness", F.coalesce(F.when(centre > 0, near / F.when(centre > 0, centre)), F.lit(0.0)))
 
 
+def detection_level(median: Column, noise: Column, sigmas: float) -> Column:
+    """So many robust sigmas above the median."""
+    return median + sigmas * noise
+
+
+def inside_margin(y: Column, x: Column, height: Column, width: Column, margin: int) -> Column:
+    """Whether a place is ``margin`` or more from every border."""
+    return (x >= margin) & (x < width - margin) & (y >= margin) & (y < height - margin)
+
+
+def unsaturated(value: Column, level: float | None) -> Column:
+    """Whether a peak's pixel is below the saturation level, if there is one."""
+    return F.lit(True) if level is None else value < level
+
+
+def sharp_enough(sharpness: Column, low: float) -> Column:
+    return sharpness >= low
+
+
+def separation(fwhm: Column, given: float | None) -> Column:
+    """Least distance of two peaks: as given, else the FWHM."""
+    return fwhm if given is None else F.lit(float(given))
+
+
+def admissible_shape(fwhm: Column, eccentricity: Column, scale: Column, config: DetectorConfig) -> Column:
+    """Whether a fitted star's FWHM is near the frame's and it is round; not for null or NaN."""
+    near = is_finite(fwhm) & fwhm.between(config.min_fwhm_factor * scale, config.max_fwhm_factor * scale)
+    return F.coalesce(near & ~F.isnan(eccentricity) & (eccentricity <= config.roundness_limit), F.lit(False))
+
+
 def bright_windows(pixels: DataFrame) -> DataFrame:
     """Body samples of the bright maxima of raw pixels, which are read several times: frame_id, y, x (the peak), dy, dx, v, background."""
-    noise = robust_noise(pixels, ["frame_id"], "v").where("noise > 0")
+    pixels = as_table(pixels, "pixels")
+    noise = save(robust_noise(pixels, ["frame_id"], "v").where("noise > 0"), "noise")
     known = pixels.join(noise, "frame_id")
-    peaks = local_maxima(known, F.col("median") + BRIGHT_SIGMA * F.col("noise")).select("frame_id", "y", "x", "noise")
+    peaks = local_maxima(known, detection_level(F.col("median"), F.col("noise"), BRIGHT_SIGMA)).select("frame_id", "y", "x", "noise")
     windows = with_background(square_windows(peaks, pixels, BOOT_RADIUS), ["frame_id", "y", "x"])
     return windows.where(F.col("v") > F.col("background") + BODY_SIGMA * F.col("noise"))
 
@@ -71,9 +102,9 @@ def scale_of(frames: DataFrame, pixels: DataFrame, config: DetectorConfig) -> Da
 def response_peaks(pixels: DataFrame, threshold_sigma: float, sigma: Column, radius: int, keep: list[str]) -> DataFrame:
     """Local maxima of the zero-sum response above its median by ``threshold_sigma`` robust sigmas; frames without spread have none."""
     response = save(zero_sum_response(pixels, radius, sigma), "response")
-    noise = robust_noise(response, ["frame_id"], "response").where("noise > 0")
+    noise = save(robust_noise(response, ["frame_id"], "response").where("noise > 0"), "response-noise")
     known = response.join(noise, "frame_id")
-    peaks = local_maxima(known, F.col("median") + threshold_sigma * F.col("noise"), "response")
+    peaks = local_maxima(known, detection_level(F.col("median"), F.col("noise"), threshold_sigma), "response")
     return peaks.select("frame_id", "y", "x", "v", "response", *keep)
 
 
@@ -87,10 +118,10 @@ class MatchedFilterDetector:
         """Stars of each frame of dense single-channel ``pixels``: frame_id, rank, x, y, flux, hfr, fwhm, eccentricity.
 
         ``rank`` is the order of falling response among the frame's separated peaks. Scales,
-        response, peaks and their samples are written as tables, each read by what follows; ``pixels``
-        is read several times, so give a table.
+        response, peaks and their samples are written as tables, each read by what follows, and so
+        is ``pixels`` unless it is a saved table.
         """
-        config = self.config
+        config, pixels = self.config, as_table(pixels, "pixels")
         if frames is None:
             frames = frames_of(pixels)
         else:
@@ -102,20 +133,18 @@ class MatchedFilterDetector:
         known = pixels.join(scale.join(frames, "frame_id"), "frame_id")
         keep = ["fwhm", "width", "height"]
         peaks = response_peaks(known, config.threshold_sigma, F.col("fwhm") / FWHM_PER_SIGMA, radius, keep)
-        apart = F.lit(float(config.min_separation)) if config.min_separation is not None else F.col("fwhm")
+        apart = separation(F.col("fwhm"), config.min_separation)
         return self.measure(save(rank_peaks(separate(peaks, "response", apart), "response"), "peaks"), pixels)
 
     def measure(self, peaks: DataFrame, pixels: DataFrame) -> DataFrame:
         """Stars among ``peaks`` (frame_id, y, x, v, fwhm, width, height, rank): margin and saturation, windows, sharpness, moments, fit, shape."""
-        config, m = self.config, self.config.edge_margin
-        inside = (F.col("x") >= m) & (F.col("x") < F.col("width") - m) & (F.col("y") >= m) & (F.col("y") < F.col("height") - m)
-        peaks = peaks.where(inside)
-        if config.saturation_level is not None:
-            peaks = peaks.where(F.col("v") < config.saturation_level)
+        config = self.config
+        inside = inside_margin(F.col("y"), F.col("x"), F.col("height"), F.col("width"), config.edge_margin)
+        peaks = peaks.where(inside & unsaturated(F.col("v"), config.saturation_level))
         peaks = peaks.select("frame_id", "rank", "y", "x", F.col("v").alias("peak"), "fwhm")
         keys = ["frame_id", "rank"]
         windows = square_windows(peaks, pixels, measurement_radius(F.col("fwhm")))
-        windows = with_sharpness(with_background(windows, keys), keys).where(F.col("sharpness") >= config.sharpness_low)
+        windows = with_sharpness(with_background(windows, keys), keys).where(sharp_enough(F.col("sharpness"), config.sharpness_low))
         samples = windows.select(*keys, (F.col("x") + F.col("dx")).cast("double").alias("x"), (F.col("y") + F.col("dy")).cast("double").alias("y"), "v", "background", "peak", F.col("fwhm").alias("scale"))
         moments = star_moments(samples, keys)
         lists = samples.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "v")).alias("samples"), *[F.first(c).alias(c) for c in ("background", "peak", "scale")])
@@ -127,10 +156,11 @@ class MatchedFilterDetector:
         seeded = save(lists.join(moments, keys).withColumn("seed", seed), "seeded")
         fitted = gaussian_fit(seeded.select(*keys, "samples", "seed"), keys).where("fit is not null")
         fwhm, ecc = fit_shape(F.col("fit.sigma_x"), F.col("fit.sigma_y"))
-        stars = fitted.join(seeded.select(*keys, "scale", "hfr"), keys).withColumn("_fwhm", fwhm).withColumn("_ecc", ecc)
-        shaped = is_finite(F.col("_fwhm")) & F.col("_fwhm").between(config.min_fwhm_factor * F.col("scale"), config.max_fwhm_factor * F.col("scale"))
-        round_ = ~F.isnan("_ecc") & (F.col("_ecc") <= config.roundness_limit)
+        stars = fitted.join(seeded.select(*keys, "scale", "samples"), keys).withColumn("_fwhm", fwhm).withColumn("_ecc", ecc)
+        stars = save(stars.where(admissible_shape(F.col("_fwhm"), F.col("_ecc"), F.col("scale"), config)), "fitted")
+        # The half-flux radius is about the fitted centre, above the fitted background.
+        each = stars.select(*keys, F.col("fit.x").alias("cx"), F.col("fit.y").alias("cy"), F.col("fit.background").alias("background"), F.inline("samples"))
         flux = gaussian_flux(F.col("fit.amplitude"), F.col("fit.sigma_x"), F.col("fit.sigma_y"))
-        return stars.where(shaped & round_).select(
+        return stars.join(half_flux_radius_about(each, keys), keys).select(
             *keys, F.col("fit.x").alias("x"), F.col("fit.y").alias("y"), flux.alias("flux"), "hfr", F.col("_fwhm").alias("fwhm"), F.col("_ecc").alias("eccentricity")
         )

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DetectorConfig
-from .functions.scalars import FWHM_PER_SIGMA, gaussian_seed, linear
-from .operators.bayer import bayer_grayscale
+from .functions.scalars import FWHM_PER_SIGMA, effective_fwhm, fit_shape, gaussian_flux, gaussian_seed, gaussian_value, linear, measurement_radius, reported_hfr, rms
+from .operators.bayer import PATTERNS, bayer_grayscale
 from .operators.field import star_field
 from .operators.fit import gaussian_fit
-from .operators.grid import crop, frames_of, linear_index, local_maxima, square_windows, zero_sum_response
-from .operators.moments import star_moments
+from .operators.grid import crop, frames_of, linear_index, local_maxima, pixels_from_arrays, square_windows, zero_sum_response
+from .operators.moments import half_flux_radius_about, star_moments
 from .operators.peaks import matched, rank_peaks, separate
 from .operators.stats import robust_noise, signal_to_noise
-from .plans.detect import MatchedFilterDetector, estimate_fwhm, with_background, with_sharpness
+from .ordering import number_in_order, running_sum
+from .plans.detect import MatchedFilterDetector, admissible_shape, detection_level, estimate_fwhm, inside_margin, separation, sharp_enough, unsaturated, with_background, with_sharpness
+from .sources.fits import decode_files, detection_pixels, frames_and_errors, linear_pixels
+from .sources.synth import fits_file
 from .spool import save
 
 FWHM, SIGMA, RADIUS = 3.0, 3.0 / FWHM_PER_SIGMA, 4
@@ -31,29 +36,38 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` as frames: a label is a frame, its vectors in order of vec_id are the rows."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    y = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    placed = rows.select(F.col("label").alias("frame_id"), y.alias("y"), "embedding")
-    return placed.select("frame_id", "y", F.posexplode("embedding").alias("x", "v")).withColumn("v", F.col("v").cast("double"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("frame_id"), "vec_id", "embedding")
+    rows = rows.withColumn("one", F.lit(1).cast("long")).withColumn("bucket", F.floor(F.col("vec_id") / 4096))
+    placed = running_sum(rows, "one", ["frame_id"], "bucket", ["vec_id"], "row")
+    return placed.select("frame_id", F.col("row").cast("int").alias("y"), F.posexplode("embedding").alias("x", "v")).withColumn("v", F.col("v").cast("double"))
+
+
+#: Planted frames are square, hold nine stars, and have noise of so many whole levels around 200.
+SIDE, STARS, LEVELS = 64, 9, 17
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three planted stars for each frame, from ``part``: frame_id, x, y, peak."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey between 1 and 30")
-    k = F.floor((F.col("p_partkey") - 1) / 10)
-    return part.select(
-        (F.col("p_partkey") % 10).cast("int").alias("frame_id"), (14 + 18 * k).cast("int").alias("x"), (14 + F.col("p_partkey") % 7).cast("int").alias("y"), (1000 + F.col("p_retailprice")).alias("peak")
-    )
+    """A planted star for every row of ``part``, nine to a frame, in cells of 20 pixels: frame_id, x, y, peak."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("k", (F.col("p_partkey") - 1) % STARS)
+    x, y = 12 + 20 * (F.col("k") % 3) + F.col("p_partkey") % 5 - 2, 12 + 20 * F.floor(F.col("k") / 3) + F.col("p_partkey") % 3 - 1
+    return part.select(F.floor((F.col("p_partkey") - 1) / STARS).cast("int").alias("frame_id"), x.cast("int").alias("x"), y.cast("int").alias("y"), (1000 + F.col("p_retailprice")).alias("peak"))
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid frames at level 200 with little noise and the catalogue's stars of sigma 2; a star adds to the pixels within 12 of it."""
-    base = grid(spark, sf_dir).withColumn("v", 200 + 8 * F.col("v"))
-    near = F.explode(F.sequence(F.lit(-12), F.lit(12)))
-    light = catalogue(spark, sf_dir).withColumn("dy", near).withColumn("dx", near)
-    light = light.select("frame_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), (F.col("peak") * F.exp(-(F.col("dx") ** 2 + F.col("dy") ** 2) / 8)).alias("light"))
-    light = light.groupBy("frame_id", "y", "x").agg(F.sum("light").alias("light"))
-    return base.join(light, ["frame_id", "y", "x"], "left").select("frame_id", "y", "x", (F.col("v") + F.coalesce("light", F.lit(0.0))).alias("v"))
+    """Frames at level 200 with whole-numbered noise and the catalogue's stars of sigma 2; a star adds to the pixels within 12 of it."""
+    frames = catalogue(spark, sf_dir).groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", "peak")).alias("stars"))  # nine at most
+    frames = frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame_id")  # a row becomes 4096
+    i = F.col("i").cast("long")
+    pixels = frames.select("frame_id", "stars", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("i"))
+    pixels = pixels.select("frame_id", "stars", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).cast("int").alias("x"), (F.col("frame_id").cast("long") * SIDE * SIDE + i).alias("n"))
+    mixed = lambda x: (x * 1103515245 + 12345) % 2147483648
+    noise = F.floor(mixed(mixed(F.col("n"))) / 65536) % LEVELS - LEVELS // 2
+
+    def add(total, star):
+        dx, dy = F.col("x") - star["x"], F.col("y") - star["y"]
+        return total + F.when((F.abs(dx) <= 12) & (F.abs(dy) <= 12), star["peak"] * F.exp(-(dx * dx + dy * dy) / 8.0)).otherwise(0.0)
+
+    return pixels.select("frame_id", "y", "x", (200.0 + noise + F.aggregate("stars", F.lit(0.0), add)).alias("v"))
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -94,8 +108,8 @@ def event_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def frame_rank_by_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = signal_to_noise(grid(spark, sf_dir))
-    # One row a frame; a rank over all frames is one ordered list.
-    return rounded(scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("weight"), "frame_id"))), "weight").select("frame_id", "weight", "rank")
+    ranked = number_in_order(scored.withColumn("below", -F.col("weight")), ["below", "frame_id"], "place", "ranked-frames")
+    return rounded(ranked.withColumn("rank", (F.col("place") + 1).cast("int")), "weight").select("frame_id", "weight", "rank")
 
 
 @_query
@@ -121,7 +135,7 @@ def zero_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def detection_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = robust_noise(zero_sum_response(grid(spark, sf_dir), RADIUS, SIGMA), ["frame_id"], "response")
-    return noise.where("noise > 0").select("frame_id", F.round(F.col("median") + 5 * F.col("noise"), 6).alias("threshold"))
+    return noise.where("noise > 0").select("frame_id", F.round(detection_level(F.col("median"), F.col("noise"), 5.0), 6).alias("threshold"))
 
 
 @_query
@@ -137,8 +151,8 @@ def separate_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def edge_saturation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = peaks(spark, sf_dir).join(frames_of(grid(spark, sf_dir)), "frame_id")
-    inside = F.col("x").between(4, F.col("width") - 5) & F.col("y").between(4, F.col("height") - 5)
-    return known.where(inside & (F.col("v") < 0.4)).select("frame_id", "y", "x", "v")
+    inside = inside_margin(F.col("y"), F.col("x"), F.col("height"), F.col("width"), DetectorConfig().edge_margin)
+    return known.where(inside & unsaturated(F.col("v"), 0.4)).select("frame_id", "y", "x", "v")
 
 
 @_query
@@ -155,7 +169,7 @@ def local_background(spark: SparkSession, sf_dir: str) -> DataFrame:
 def peak_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["frame_id", "y", "x"]
     sharp = with_sharpness(windows(spark, sf_dir), keys).groupBy(*keys).agg(F.first("sharpness").alias("sharpness"))
-    return rounded(sharp, "sharpness").where("sharpness >= 0.2")
+    return rounded(sharp, "sharpness").where(sharp_enough(F.col("sharpness"), DetectorConfig().sharpness_low))
 
 
 @_query
@@ -168,6 +182,13 @@ def half_flux_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(star_moments(samples(spark, sf_dir), STAR).select(*STAR, "hfr"), "hfr", digits=5)
 
 
+@_query
+def hfr_about_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The half-flux radius about the planted centres, above the level 200 and, so that some have no flux, above one that rises with the peak."""
+    each = samples(spark, sf_dir).withColumns({"cx": F.col("px"), "cy": F.col("py")}).withColumn("background", F.when(F.col("px") % 2 == 0, 200.0).otherwise(200.0 + F.col("py") * 5))
+    return rounded(half_flux_radius_about(each, STAR), "hfr", digits=5)
+
+
 @_query
 def gaussian_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = star_moments(samples(spark, sf_dir), STAR)
@@ -175,6 +196,120 @@ def gaussian_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*STAR, F.round(sx, 5).alias("sigma_x"), F.round(sy, 5).alias("sigma_y"))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet")
+
+
+@_query
+def seed_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds, their angle included, from made-up moments of ``part``."""
+    mxx, myy, mxy = F.col("p_size") / 5, F.col("p_partkey") % 11 / 3, (F.col("p_partkey") % 5 - 2).cast("double")
+    sx, sy, theta = gaussian_seed(mxx, myy, mxy)
+    return parts(spark, sf_dir).select("p_partkey", F.round(sx, 6).alias("sigma_x"), F.round(sy, 6).alias("sigma_y"), F.round(theta, 6).alias("theta"))
+
+
+@_query
+def fit_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FWHM, eccentricity and flux of made-up fits, and whether they are stars at the frame's scale; no FWHM where the larger sigma is 0."""
+    sx, sy = F.col("p_size") % 9 / 2 - 1, F.col("p_partkey") % 7 / 2 - 1
+    fwhm, ecc = fit_shape(sx, sy)
+    star = admissible_shape(fwhm, ecc, F.col("p_size") / 8, DetectorConfig())
+    shapes = parts(spark, sf_dir).select("p_partkey", fwhm.alias("fwhm"), F.coalesce(ecc, F.lit(-1.0)).alias("eccentricity"), gaussian_flux(F.col("p_retailprice"), sx, sy).alias("flux"), star.alias("is_star"))
+    return rounded(shapes.where("fwhm is not null"), "fwhm", "eccentricity", "flux", digits=5)
+
+
+@_query
+def measurement_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effective FWHM (none known for every fifth part), radius of measurement and least separation."""
+    known = F.when(F.col("p_size") % 5 != 0, F.col("p_size") / 8)
+    scale = parts(spark, sf_dir).select("p_partkey", effective_fwhm(known).alias("fwhm"))
+    return scale.select("p_partkey", "fwhm", measurement_radius(F.col("fwhm")).alias("radius"), separation(F.col("fwhm"), None).alias("separation"), separation(F.col("fwhm"), 2.5).alias("given"))
+
+
+@_query
+def gaussian_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = F.struct(F.col("p_retailprice").alias("amplitude"), F.lit(3.0).alias("x"), F.lit(4.0).alias("y"), (1 + F.col("p_size") % 4).alias("sigma_x"), (1 + F.col("p_size") % 3).alias("sigma_y"), (F.col("p_partkey") % 7 / 4).alias("theta"), F.lit(200.0).alias("background"))
+    each = parts(spark, sf_dir).select("p_partkey", "p_size", fit.alias("fit"))
+    return each.select("p_partkey", F.round(gaussian_value(F.col("fit"), F.col("p_size") % 8, F.col("p_partkey") % 9), 5).alias("value"))
+
+
+@_query
+def rms_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts(spark, sf_dir).groupBy("p_brand").agg(F.round(rms(F.col("p_retailprice") - 1000), 5).alias("rms"))
+
+
+@_query
+def hfr_of_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/night/G252_"), F.col("p_partkey"), F.when(F.col("p_size") % 3 == 0, "").otherwise("_H"), F.col("p_size"), F.lit("."), F.col("p_partkey") % 100, F.when(F.col("p_size") % 4 == 0, ".fit").otherwise(".fits"))
+    return parts(spark, sf_dir).select("p_partkey", F.coalesce(reported_hfr(path), F.lit(-1.0)).alias("hfr"))
+
+
+@_query
+def buffer_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as frames of 4 x 4 places and 4 channels."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return pixels_from_arrays(rows.select(F.col("vec_id").alias("frame_id"), F.lit(4).alias("width"), F.lit(4).alias("height"), F.lit(4).alias("channels"), F.col("embedding").alias("values")))
+
+
+#: Of a vector's file: bits by vec_id, fault by vec_id mod 13, cards by vec_id mod 4, mosaic by vec_id mod 5.
+BITS = (8, 16, 32, 64, -32, -64)
+
+
+def fits_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a FITS file of 8 x 8 pixels for every vector, in all sample formats, with scales, mosaics and faults."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, files = [], []
+            for n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bits, v = BITS[n % 6], np.array(v, "f4").astype("f8").reshape(8, 8)
+                cards: dict = [{}, {"BZERO": 32768, "BSCALE": 1}, {"BSCALE": 0.5}, {"BZERO": "'100'", "BSCALE": "2.5E0"}][n % 4]
+                if n % 5 < 2:
+                    cards = cards | {"BAYERPAT": f"'{PATTERNS[n // 5 % 4]:<8}'"}
+                fault = n % 13
+                cards |= {2: {"BITPIX": None}, 3: {"NAXIS2": 0}, 5: {"BAYERPAT": "'GBRG    '"}}.get(fault, {})
+                content = fits_file(v if bits < 0 else np.floor(64 * v) % 200, bits, 40 if fault == 1 else None, **cards)
+                if fault in (4, 6):
+                    content = fits_file(v[:0], 8, NAXIS=0, NAXIS1=None, NAXIS2=None) + (content if fault == 6 else b"")
+                names.append(f"{n}.fits")
+                files.append(content)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(files, pa.binary())], names=["path", "content"])
+
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").mapInArrow(rows, "path string, content binary")
+
+
+def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return save(decode_files(fits_files(spark, sf_dir)), "decoded")
+
+
+@_query
+def fits_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(linear_pixels(decoded(spark, sf_dir)).drop("bayerpat"), "v")
+
+
+@_query
+def fits_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames_and_errors(decoded(spark, sf_dir))[1]
+
+
+@_query
+def fits_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = frames_and_errors(decoded(spark, sf_dir))[0]
+    return frames.select("frame_id", "width", "height", "channels", "is_normalized", F.coalesce("bayerpat", F.lit("none")).alias("bayerpat"))
+
+
+@_query
+def fits_detection_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(detection_pixels(decoded(spark, sf_dir)), "v")
+
+
+@_query
+def bayer_gray_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label by another pattern."""
+    pattern = F.get(F.array(*map(F.lit, PATTERNS)), F.col("frame_id") % 4)
+    return rounded(bayer_grayscale(grid(spark, sf_dir), pattern), "v")
+
+
 @_query
 def estimate_fwhm_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(estimate_fwhm(planted(spark, sf_dir)), "fwhm", digits=5)
@@ -187,9 +322,9 @@ def bayer_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def star_field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items stand in for stars; customers without any still count."""
+    """Line items stand in for stars; frames without any still count."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    stars = items.select((F.col("l_suppkey") % 50).cast("int").alias("frame_id"), F.col("l_quantity").alias("fwhm"), F.col("l_discount").alias("hfr"), F.col("l_tax").alias("eccentricity")).where("fwhm > 25")
+    stars = items.select((F.col("l_suppkey") % 50).cast("int").alias("frame_id"), F.col("l_quantity").alias("fwhm"), F.col("l_discount").alias("hfr"), F.col("l_tax").alias("eccentricity"))
     frames = spark.range(60).select(F.col("id").cast("int").alias("frame_id"))
     return rounded(star_field(frames, stars), "median_fwhm", "median_hfr", "median_eccentricity")
 
@@ -230,13 +365,19 @@ _GRID = """grid AS (
 )"""
 _SNR = """med AS (SELECT {key}, median(v) AS m FROM {of} GROUP BY {key}),
 mad AS (SELECT {key}, 1.4826 * median(abs(v - m)) AS noise FROM {of} JOIN med USING ({key}) GROUP BY {key})"""
-_PLANTED = """cat AS (
-  SELECT (p_partkey % 10)::INTEGER AS frame_id, (14 + 18 * ((p_partkey - 1) // 10))::INTEGER AS x, (14 + p_partkey % 7)::INTEGER AS y, 1000 + p_retailprice AS peak
-  FROM part WHERE p_partkey BETWEEN 1 AND 30
+_PLANTED = f"""cat AS (
+  SELECT ((p_partkey - 1) // {STARS})::INTEGER AS frame_id, (12 + 20 * ((p_partkey - 1) % {STARS} % 3) + p_partkey % 5 - 2)::INTEGER AS x,
+         (12 + 20 * ((p_partkey - 1) % {STARS} // 3) + p_partkey % 3 - 1)::INTEGER AS y, 1000 + p_retailprice AS peak
+  FROM part
+), dark AS (
+  SELECT frame_id, (i // {SIDE})::INTEGER AS y, (i % {SIDE})::INTEGER AS x, frame_id::BIGINT * {SIDE * SIDE} + i AS n
+  FROM (SELECT DISTINCT frame_id FROM cat), range({SIDE * SIDE}) t(i)
+), light AS (
+  SELECT c.frame_id, c.y + dy AS y, c.x + dx AS x, sum(peak * exp(-(dx * dx + dy * dy) / 8.0)) AS light
+  FROM cat c, range(-12, 13) a(dy), range(-12, 13) b(dx) GROUP BY 1, 2, 3
 ), planted AS (
-  SELECT g.frame_id, g.y, g.x, 200 + 8 * g.v + coalesce((SELECT sum(peak * exp(-((g.x - c.x) ** 2 + (g.y - c.y) ** 2) / 8.0)) FROM cat c
-    WHERE c.frame_id = g.frame_id AND abs(g.x - c.x) <= 12 AND abs(g.y - c.y) <= 12), 0) AS v
-  FROM grid g
+  SELECT d.frame_id, d.y, d.x, 200.0::DOUBLE + (((n * 1103515245 + 12345) % 2147483648 * 1103515245 + 12345) % 2147483648 // 65536) % {LEVELS} - {LEVELS // 2} + coalesce(light, 0) AS v
+  FROM dark d LEFT JOIN light USING (frame_id, y, x)
 )"""
 _PEAKS = """peaks AS (
   SELECT * FROM {of} p WHERE v > {level} AND NOT EXISTS (
@@ -312,18 +453,26 @@ _sql(
   round({FWHM_PER_SIGMA!r} * sqrt(greatest((mxx + myy) / 2, 0)), 4) AS fwhm,
   round(CASE WHEN (mxx + myy) / 2 + d <= 0 THEN 0 ELSE sqrt(greatest(0, 1 - ((mxx + myy) / 2 - d) / ((mxx + myy) / 2 + d))) END, 4) AS eccentricity
 FROM (SELECT *, sqrt(((mxx - myy) / 2) ** 2 + mxy ** 2) AS d FROM mom)""",
-    _GRID, _PLANTED, _SAMPLES, _MOMENTS,
+    _PLANTED, _SAMPLES, _MOMENTS,
 )
-_sql("half_flux_radius", "SELECT frame_id, py, px, round(hfr, 5) AS hfr FROM hf", _GRID, _PLANTED, _SAMPLES, _MOMENTS, _HFR)
+_sql(
+    "hfr_about_centre",
+    "SELECT frame_id, py, px, round(CASE WHEN flux > 0 THEN hfr ELSE 0 END, 5) AS hfr FROM hf",
+    _PLANTED,
+    "s AS (SELECT frame_id, py, px, y, x, w - CASE WHEN px % 2 = 0 THEN 0 ELSE py * 5 END AS w FROM (SELECT c.frame_id, c.y AS py, c.x AS px, p.y, p.x, p.v - 200.0 AS w FROM cat c JOIN planted p ON p.frame_id = c.frame_id AND abs(p.y - c.y) <= 7 AND abs(p.x - c.x) <= 7))",
+    "c1 AS (SELECT frame_id, py, px, sum(w) AS flux, px::DOUBLE AS cx, py::DOUBLE AS cy FROM s GROUP BY frame_id, py, px)",
+    _HFR.replace("AS hfr\n", "AS hfr, any_value(flux) AS flux\n"),
+)
+_sql("half_flux_radius", "SELECT frame_id, py, px, round(hfr, 5) AS hfr FROM hf", _PLANTED, _SAMPLES, _MOMENTS, _HFR)
 _sql(
     "gaussian_seeds",
     "SELECT frame_id, py, px, round(sqrt(greatest((mxx + myy) / 2 + d, 1e-6)), 5) AS sigma_x, round(sqrt(greatest((mxx + myy) / 2 - d, 1e-6)), 5) AS sigma_y FROM (SELECT *, sqrt(((mxx - myy) / 2) ** 2 + mxy ** 2) AS d FROM mom)",
-    _GRID, _PLANTED, _SAMPLES, _MOMENTS,
+    _PLANTED, _SAMPLES, _MOMENTS,
 )
 _sql(
     "estimate_fwhm_planted",
     "SELECT frame_id, round(median(2 * hfr), 5) AS fwhm FROM hf WHERE isfinite(hfr) AND hfr > 0.3 GROUP BY frame_id",
-    _GRID, _PLANTED, _SNR.format(key="frame_id", of="planted"),
+    _PLANTED, _SNR.format(key="frame_id", of="planted"),
     "lit AS (SELECT p.*, m + 10 * noise AS level, noise FROM planted p JOIN med USING (frame_id) JOIN mad USING (frame_id) WHERE noise > 0)",
     _PEAKS.format(of="lit", level="p.level"),
     """w0 AS (SELECT k.frame_id, k.y AS py, k.x AS px, k.noise, p.y, p.x, p.v FROM peaks k JOIN planted p ON p.frame_id = k.frame_id AND abs(p.y - k.y) <= 10 AND abs(p.x - k.x) <= 10),
@@ -352,10 +501,65 @@ _sql(
     "star_field_summary",
     """SELECT f.frame_id, count(fwhm) AS count, round(median(fwhm), 6) AS median_fwhm, round(median(hfr), 6) AS median_hfr, round(median(ecc), 6) AS median_eccentricity
 FROM (SELECT range::INTEGER AS frame_id FROM range(60)) f LEFT JOIN (
-  SELECT (l_suppkey % 50)::INTEGER AS frame_id, l_quantity AS fwhm, l_discount AS hfr, l_tax AS ecc FROM lineitem WHERE l_quantity > 25) USING (frame_id) GROUP BY 1""",
+  SELECT (l_suppkey % 50)::INTEGER AS frame_id, l_quantity AS fwhm, l_discount AS hfr, l_tax AS ecc FROM lineitem) USING (frame_id) GROUP BY 1""",
 )
 _sql(
     "match_expected",
     "SELECT frame_id, x, y FROM cat c WHERE EXISTS (SELECT 1 FROM peaks p WHERE p.frame_id = c.frame_id AND abs(p.x - c.x) < 1 AND abs(p.y - c.y) < 1)",
-    _GRID, _PLANTED, _PEAKS.format(of="planted", level=600),
+    _PLANTED, _PEAKS.format(of="planted", level=600),
 )
+_AXES = "p_size / 5 AS mxx, p_partkey % 11 / 3 AS myy, (p_partkey % 5 - 2)::DOUBLE AS mxy"
+_sql(
+    "seed_axes",
+    f"""SELECT p_partkey, round(sqrt(greatest(m + d, 1e-6)), 6) AS sigma_x, round(sqrt(greatest(m - d, 1e-6)), 6) AS sigma_y, round(atan2(2 * mxy, mxx - myy) / 2, 6) AS theta
+FROM (SELECT *, (mxx + myy) / 2 AS m, sqrt(((mxx - myy) / 2) ** 2 + mxy ** 2) AS d FROM (SELECT p_partkey, {_AXES} FROM part))""",
+)
+_sql(
+    "fit_shapes",
+    f"""SELECT p_partkey, round(fwhm, 5) AS fwhm, round(ecc, 5) AS eccentricity, round(flux, 5) AS flux, fwhm BETWEEN 0.5 * scale AND 2 * scale AND ecc <= 0.6 AS is_star FROM (
+  SELECT p_partkey, {FWHM_PER_SIGMA!r} * sqrt(a * b) AS fwhm, sqrt(greatest(0, 1 - (b / a) ** 2)) AS ecc, 2 * pi() * p_retailprice * a * b AS flux, p_size / 8 AS scale FROM (
+    SELECT *, greatest(abs(sx), abs(sy)) AS a, least(abs(sx), abs(sy)) AS b FROM (SELECT *, p_size % 9 / 2 - 1 AS sx, p_partkey % 7 / 2 - 1 AS sy FROM part)) WHERE a > 0)""",
+)
+_sql(
+    "measurement_scales",
+    """SELECT p_partkey, fwhm, greatest(3, round(1.5 * fwhm)::INTEGER) AS radius, fwhm AS separation, 2.5::DOUBLE AS given
+FROM (SELECT p_partkey, greatest(1, CASE WHEN p_size % 5 = 0 THEN 3 ELSE p_size / 8 END)::DOUBLE AS fwhm FROM part)""",
+)
+_sql(
+    "gaussian_values",
+    """SELECT p_partkey, round(200 + p_retailprice * exp(-0.5 * (((dx * cos(t) + dy * sin(t)) / sx) ** 2 + ((dy * cos(t) - dx * sin(t)) / sy) ** 2)), 5) AS value
+FROM (SELECT *, p_size % 8 - 3 AS dx, p_partkey % 9 - 4 AS dy, 1 + p_size % 4 AS sx, 1 + p_size % 3 AS sy, p_partkey % 7 / 4 AS t FROM part)""",
+)
+_sql("rms_residual", "SELECT p_brand, round(sqrt(avg((p_retailprice - 1000) ** 2)), 5) AS rms FROM part GROUP BY p_brand")
+_sql("hfr_of_file_names", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN -1.0::DOUBLE ELSE (p_size::VARCHAR || '.' || (p_partkey % 100)::VARCHAR)::DOUBLE END AS hfr FROM part")
+_sql("buffer_pixels", "SELECT vec_id AS frame_id, (i // 16)::INTEGER AS y, (i // 4 % 4)::INTEGER AS x, (i % 4)::INTEGER AS channel, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i)")
+_FITS = f"""f AS (
+  SELECT *, vec_id::VARCHAR || '.fits' AS frame_id, vec_id % 13 AS fault, CASE WHEN vec_id % 5 < 2 THEN ['{"', '".join(PATTERNS)}'][vec_id // 5 % 4 + 1] END AS pattern FROM embeddings
+), good AS (SELECT * FROM f WHERE fault NOT IN (1, 2, 3, 4, 5)),
+p AS (
+  SELECT frame_id, pattern, (i // 8)::INTEGER AS y, (i % 8)::INTEGER AS x,
+    CASE vec_id % 4 WHEN 1 THEN 32768 ELSE 0 END + CASE vec_id % 4 WHEN 2 THEN 0.5::DOUBLE WHEN 3 THEN 2.5::DOUBLE ELSE 1 END
+    * CASE WHEN vec_id % 6 >= 4 THEN embedding[i + 1]::DOUBLE ELSE (floor(64 * embedding[i + 1]::DOUBLE)::BIGINT % 200 + 200) % 200 END AS v
+  FROM good, range(64) t(i)
+)"""
+_sql("fits_pixels", "SELECT frame_id, y, x, round(v, 6) AS v FROM p", _FITS)
+_sql("fits_frames", "SELECT frame_id, 8 AS width, 8 AS height, 1 AS channels, false AS is_normalized, coalesce(pattern, 'none') AS bayerpat FROM good", _FITS)
+_sql(
+    "fits_errors",
+    """SELECT frame_id, CASE fault WHEN 1 THEN 'image data is shorter than its geometry' WHEN 2 THEN 'missing or unsupported BITPIX' WHEN 3 THEN 'missing or empty image geometry'
+  WHEN 4 THEN 'FITS file contains no image data' ELSE 'unsupported Bayer pattern: GBRG' END AS message FROM f WHERE fault IN (1, 2, 3, 4, 5)""",
+    _FITS,
+)
+
+
+def _grey(of: str) -> str:
+    """SQL of the grey value of the mosaics in ``of`` (frame_id, y, x, pattern, v): own samples, else nearest ones by their weights."""
+    letter = lambda t: f"substr({t}.pattern, (1 + 2 * ({t}.y % 2) + {t}.x % 2)::INTEGER, 1)"
+    channel = lambda c: f"CASE WHEN any_value({letter('p')}) = '{c}' THEN any_value(p.v) ELSE sum(w * q.v) FILTER ({letter('q')} = '{c}') / sum(w) FILTER ({letter('q')} = '{c}') END"
+    return f"""SELECT p.frame_id, p.y, p.x, round(({channel("R")} + {channel("G")} + {channel("B")}) / 3, 6) AS v
+FROM {of} p JOIN (VALUES (-1, -1, 1.0::DOUBLE), (-1, 0, 2), (-1, 1, 1), (0, -1, 2), (0, 0, 4), (0, 1, 2), (1, -1, 1), (1, 0, 2), (1, 1, 1)) k(dy, dx, w) ON true
+JOIN {of} q ON q.frame_id = p.frame_id AND q.y = p.y + k.dy AND q.x = p.x + k.dx GROUP BY p.frame_id, p.y, p.x"""
+
+
+_sql("fits_detection_pixels", f"SELECT frame_id, y, x, round(v, 6) AS v FROM p WHERE pattern IS NULL UNION ALL {_grey('m')}", _FITS, "m AS (SELECT * FROM p WHERE pattern IS NOT NULL)")
+_sql("bayer_gray_patterns", _grey("m"), _GRID, f"m AS (SELECT *, ['{"', '".join(PATTERNS)}'][frame_id % 4 + 1] AS pattern FROM grid)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from ..operators.bayer import PATTERNS, bayer_grayscale
 
 #: Fixed values of the format: block and card sizes, and the sample formats by BITPIX.
 BLOCK, CARD = 2880, 80
+_NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[EDed][+-]?[0-9]+)?")
 FORMATS = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 
 DECODED = "frame_id string, width int, height int, bayerpat string, message string, rows array<struct<y:int,v:array<double>>>"
@@ -39,10 +41,8 @@ def parse_header(block: bytes) -> tuple[dict[str, str], int]:
 
 def number(header: dict[str, str], key: str) -> float | None:
     """A whole or decimal keyword value; None where it is missing or anything else, such as a quoted number."""
-    try:
-        return float(header[key].replace("D", "E"))
-    except (KeyError, ValueError):
-        return None
+    value = header.get(key, "")
+    return float(value.upper().replace("D", "E")) if _NUMBER.fullmatch(value) else None
 
 
 def _whole(header: dict[str, str], key: str, missing: int = 0) -> int:

@@ -50,3 +50,13 @@ def add_noise(pixels: DataFrame, seed: int, amplitude: float, width: int, height
 
     table = pixels.sparkSession.createDataFrame(pd.DataFrame({"y": (i // width).astype("i4"), "x": (i % width).astype("i4"), "_n": values}))
     return pixels.join(table, ["y", "x"]).withColumn("v", F.col("v") + F.col("_n")).select(*pixels.columns)
+
+
+def fits_file(values: np.ndarray, bitpix: int, cut: int | None = None, **cards: object) -> bytes:
+    """A FITS file of one image: a header of 80-character cards, then big-endian samples, both padded to 2880 bytes; a card given as None is left out, ``cut`` shortens the data."""
+    from .fits import BLOCK, CARD, FORMATS
+
+    known = {"SIMPLE": "T", "BITPIX": bitpix, "NAXIS": 2, "NAXIS1": values.shape[1], "NAXIS2": values.shape[0], **cards}
+    text = "".join(f"{k:<8}= {v!s:>20}".ljust(CARD) for k, v in known.items() if v is not None) + "END".ljust(CARD)
+    data = values.astype(FORMATS[bitpix]).tobytes()
+    return text.ljust(-(-len(text) // BLOCK) * BLOCK).encode() + data.ljust(-(-len(data) // BLOCK) * BLOCK, b"\0")[:cut]

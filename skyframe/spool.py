@@ -39,6 +39,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def as_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself where :func:`save` returned it, else saved: for what is read several times."""
+    return df if hasattr(df, "saved_path") else save(df, name)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`save` returned and that nothing reads any more."""
     for df in tables:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,74 @@ def test_constants():
     from skyframe.functions.scalars import FWHM_PER_SIGMA
 
     assert math.isclose(FWHM_PER_SIGMA, 2.354820045, rel_tol=1e-9)
+
+
+def brute_hfr(x, y, w, cx, cy):
+    """The radius about (cx, cy) at which the flux summed outwards first reaches a half."""
+    order = sorted((math.hypot(a - cx, b - cy), b, a, c) for a, b, c in zip(x, y, w, strict=True))
+    half, total, before = sum(w) / 2, 0.0, 0.0
+    for r, _, _, c in order:
+        if total + c >= half:
+            return before + ((half - total) / c if c > 0 else 0) * (r - before)
+        total, before = total + c, r
+    return before
+
+
+def test_hfr_is_about_the_fitted_centre_and_background(spark):
+    """A star with a fainter neighbour, whose light moves the centroid and lifts the window's median: every step by numpy."""
+    from skyframe.functions.scalars import FWHM_PER_SIGMA
+    from skyframe.operators.fit import fit_gaussians
+
+    side, x0 = 60, np.arange(60)
+    pixels = add_star(add_star(flat(spark, "pair", side, side, 200), 30, 30, 4000, 2), 36, 31, 700, 1.5)
+    pixels = save(add_noise(pixels, 7, 6, side, side), "pair")
+    found = MatchedFilterDetector(DetectorConfig(expected_fwhm=4.7, roundness_limit=0.95)).detect(pixels).toPandas()
+    star = found[(found.x - 30).abs() < 1].iloc[0]
+    v = np.zeros((side, side))
+    for r in pixels.collect():
+        v[r.y, r.x] = r.v
+    radius = max(3, math.floor(1.5 * 4.7 + 0.5))
+    py, px = np.unravel_index(v.argmax(), v.shape)
+    y, x = (a.ravel() for a in np.mgrid[py - radius : py + radius + 1, px - radius : px + radius + 1])
+    value = v[y, x]
+    background = np.median(value)
+    w = value - background
+    cx, cy = (w @ x) / w.sum(), (w @ y) / w.sum()
+    mxx, myy, mxy = (w @ ((x - cx) ** 2)) / w.sum(), (w @ ((y - cy) ** 2)) / w.sum(), (w @ ((x - cx) * (y - cy))) / w.sum()
+    mean, d = (mxx + myy) / 2, math.hypot((mxx - myy) / 2, mxy)
+    seed = np.array([[v[py, px] - background, cx, cy, math.sqrt(max(mean + d, 1e-6)), math.sqrt(max(mean - d, 1e-6)), math.atan2(2 * mxy, mxx - myy) / 2, background]])
+    p, good = fit_gaussians(x[None].astype(float), y[None].astype(float), value[None], np.ones((1, len(x))), seed)
+    assert good[0] and (star.x, star.y) == pytest.approx((p[0, 1], p[0, 2]), abs=1e-4)
+    assert star.fwhm == pytest.approx(FWHM_PER_SIGMA * math.sqrt(abs(p[0, 3] * p[0, 4])), abs=1e-4)
+    assert star.hfr == pytest.approx(brute_hfr(x, y, value - p[0, 6], p[0, 1], p[0, 2]), abs=1e-4)
+    assert abs(star.hfr - brute_hfr(x, y, w, cx, cy)) > 0.02
+
+
+def test_response_is_the_same_whatever_the_tiles(spark):
+    from skyframe.operators.grid import zero_sum_response
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(37, 29))
+    pixels = save(spark.createDataFrame([("a", y, x, float(v[y, x]), "own") for y in range(37) for x in range(29)], "frame_id string, y int, x int, v double, keep string"), "tiles")
+    sigma, reach = 1.3, 4
+    k = np.exp(-np.add.outer(np.arange(-reach, reach + 1) ** 2, np.arange(-reach, reach + 1) ** 2) / (2 * sigma**2))
+    k = k / k.sum() - 1 / k.size
+    wide = np.pad(v, reach, mode="edge")
+    want = sum(k[a, b] * wide[a : a + 37, b : b + 29] for a in range(9) for b in range(9))
+    for tile in (5, 8, 16, 256):
+        got = zero_sum_response(pixels, 4, sigma, tile).collect()
+        assert len(got) == v.size and {r.keep for r in got} == {"own"}
+        assert max(abs(r.response - want[r.y, r.x]) for r in got) < 1e-12
+    with pytest.raises(FrameError):
+        zero_sum_response(pixels, 6, 2.0, 6)
+
+
+def test_mosaics_have_one_channel(spark):
+    from skyframe.operators.bayer import bayer_grayscale
+    from skyframe.operators.grid import pixels_from_arrays
+
+    frames = spark.createDataFrame([("a", 2, 2, 3, [float(i) for i in range(12)])], "frame_id string, width int, height int, channels int, values array<double>")
+    rows = {(r.y, r.x, r.channel): r.v for r in pixels_from_arrays(frames).collect()}
+    assert rows == {(i // 6, i // 3 % 2, i % 3): float(i) for i in range(12)}
+    with pytest.raises(FrameError, match="3 channels"):
+        bayer_grayscale(pixels_from_arrays(frames), "RGGB")
