@@ -1,11 +1,12 @@
-"""Shared pieces: words, distributed running sums and numbering."""
+"""Shared pieces: words and row numbers; running sums, numbering and tables are the library's."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..spool import save
+from ..ordering import number_in_order, running_sum, unused  # noqa: F401
+from ..spool import save  # noqa: F401
 
 #: A word: a run of bytes that are no ASCII white space. ``bytes.split()`` cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,14 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def unused(name: str, *frames: DataFrame) -> str:
-    """``name``, made longer until none of ``frames`` has such a column (names are compared without case)."""
-    taken = {c.lower() for df in frames for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def with_row_numbers(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``docs`` as a table with a number of each row of its own, and that column's name; doc_id may be null or repeat."""
     row = unused("row_number_of_its_own", docs)
@@ -35,34 +28,3 @@ def word_count(text: Column) -> Column:
     # A leading or trailing separator leaves one empty piece each; an empty text is one empty piece.
     size = F.size(pieces)
     return (size - F.when(F.element_at(pieces, 1) == "", 1).otherwise(0) - F.when((size > 1) & (F.element_at(pieces, -1) == ""), 1).otherwise(0)).cast("long")
-
-
-def running_sum(df: DataFrame, value: str, groups: list[str], bucket: str, order: list[str], out: str) -> DataFrame:
-    """Sum of ``value`` over the rows before each row of its group, in order of (bucket, order).
-
-    No task gets more than the rows of one bucket of one group: sums inside a bucket are added to
-    the sums of the group's earlier buckets, of which there is one row a bucket. ``groups`` and
-    ``bucket`` hold no nulls. ``df`` is used twice, so it should be a table or cheap to compute.
-    """
-    total, start = unused("total_of_bucket", df), unused("start_of_bucket", df)
-    before = lambda *keys: Window.partitionBy(*keys)
-    inside = before(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    across = before(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    sums = df.groupBy(*groups, bucket).agg(F.sum(value).alias(total))
-    starts = sums.withColumn(start, F.coalesce(F.sum(total).over(across), zero)).drop(total)
-    placed = df.withColumn(out, F.coalesce(F.sum(value).over(inside), zero)).join(starts, [*groups, bucket])
-    return placed.withColumn(out, (F.col(out) + F.col(start)).cast("long")).drop(start)
-
-
-def number_in_order(df: DataFrame, order: list[str], out: str, name: str) -> DataFrame:
-    """Numbers 0, 1, 2, ... in the order of the given columns, which should tell all rows apart.
-
-    Rows are dealt by range, so equal leading keys spread; the number of rows before each range
-    partition (one row a partition) is added to the place inside it.
-    """
-    part, one = unused("part_of_range", df), unused("one_each", df)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = save(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), name)
-    numbered = running_sum(dealt.withColumn(one, F.lit(1).cast("long")), one, [], part, order, out)
-    return numbered.drop(part, one)
