@@ -20,7 +20,7 @@ how often each task met them, and the next round starts from there (iterative pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from math import log2, log10
@@ -76,17 +76,26 @@ def coded_texts(docs: DataFrame) -> DataFrame:
     return told.mapInArrow(rows, "row long, doc_id long, tokens array<long>")
 
 
-def _runs(column: pa.ListArray, size: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Tokens of an Arrow column of lists in runs of ``size``: code, the one before, the one two places back, and place of the document. Before a text stands its end."""
+def _runs(column: pa.ListArray, size: int = STEP, ids: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple]:
+    """Tokens of an Arrow column of lists in runs of ``size``: code, the one before, the one two places back, and place of the document. Before a text stands its end.
+
+    With ``ids``, which is asked once for each run and then carried on, each of the three is a pair of codes and their ids.
+    """
     end = token_code(END)
     flat, lengths = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
     doc = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    if ids is not None:
+        end_id, known = int(ids(np.array([end], "i8"))[0]), np.empty(len(flat), "i8")
     for at in range(0, len(flat), size):
         own = slice(at, at + size)
         index = np.arange(at, min(at + size, len(flat)))
-        back = [np.where(place[own] >= k, flat[np.maximum(index - k, 0)], end) for k in (1, 2)]
-        yield flat[own], *back, doc[own]
+        back, inside = [np.maximum(index - k, 0) for k in (1, 2)], [place[own] >= k for k in (1, 2)]
+        codes = [flat[own], *(np.where(ok, flat[i], end) for ok, i in zip(inside, back, strict=True))]
+        if ids is not None:
+            known[own] = ids(codes[0])
+            codes = list(zip(codes, [known[own], *(np.where(ok, known[i], end_id) for ok, i in zip(inside, back, strict=True))], strict=True))
+        yield *codes, doc[own]
 
 
 def _hashed(x: np.ndarray, rows: int) -> np.ndarray:
@@ -127,23 +136,23 @@ class Model:
         half = self.rows // 2
         return np.where((ids >= 0) & (ids < half), ids, half + _hashed(codes, half))
 
-    def features(self, first: np.ndarray, second: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Active weight rows (tokens, features) of the class softmax and of the leaf softmax."""
+    def features(self, first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Active weight rows (tokens, features) of the class softmax and of the leaf softmax; words come as codes and ids."""
         n = self.rows
-        a, b = self._row(first, self.ids(first)), self._row(second, self.ids(second))
-        both = _hashed(first.astype("u8") * np.uint64(31) + second.astype("u8"), n)
+        a, b = self._row(*first), self._row(*second)
+        both = _hashed(first[0].astype("u8") * np.uint64(31) + second[0].astype("u8"), n)
         one = np.stack([np.zeros_like(a), 1 + a, 1 + n + b, 1 + 2 * n + both], axis=1)
         two = np.stack([cls, CLASSES + _hashed(a * CLASSES + cls, 2 * n), CLASSES + 2 * n + _hashed(b * CLASSES + cls, n)], axis=1)
         return one, two
 
-    def log_chances(self, codes: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of class times leaf over the leaf's words, still without the word's own count, and ids."""
-        ids = self.ids(codes)
+    def log_chances(self, word: tuple[np.ndarray, np.ndarray], first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """log10 of class times leaf over the leaf's words, still without the word's own count; words come as codes and ids."""
+        codes, ids = word
         cls, leaf = self.places(codes, ids)
         one, two = self.features(first, second, cls)
         own = np.arange(len(codes))
         chance = log_softmax(self.one, one)[own, cls] + log_softmax(self.two, two)[own, leaf]
-        return chance / np.log(10) - self.log_unit[cls * LEAVES + leaf], ids
+        return chance / np.log(10) - self.log_unit[cls * LEAVES + leaf]
 
 
 def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -164,14 +173,19 @@ def slopes(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[n
     """(touched rows, how often, gradient of the summed log chance of ``target`` by each of them)."""
     off = -np.exp(log_softmax(weights, rows))
     off[np.arange(len(target)), target] += 1
-    flat = rows.ravel(order="F")
+    # A row that is active for all tokens gets the plain sum.
+    common = [k for k in range(rows.shape[1]) if (rows[:, k] == rows[0, k]).all()]
+    flat = np.delete(rows, common, axis=1).ravel(order="F")
     count = np.bincount(flat, minlength=len(weights))
+    np.add.at(count, rows[0, common], len(rows))
     touched = np.flatnonzero(count)
     out = np.empty((off.shape[1], len(touched)), "f4")
     repeated = np.empty(len(flat))
-    for column, own in zip(out, off.T, strict=True):
+    for column, own in zip(out, np.ascontiguousarray(off.T), strict=True):
         repeated.reshape(-1, len(own))[:] = own
         column[:] = np.bincount(flat, repeated, len(weights))[touched]
+    for k in common:
+        out[:, np.searchsorted(touched, rows[0, k])] += off.sum(axis=0)
     return touched, count[touched], out.T
 
 
@@ -289,8 +303,8 @@ def train(tokens: DataFrame, held_words: int = HELD_WORDS, rounds: int = ROUNDS,
             power = [np.full(w.shape, 1e-4, "f4") for w in weights]
             met = [np.zeros(len(w), "i8") for w in weights]
             for batch in batches:
-                for code, first, second, _ in _runs(batch.column(0)):
-                    cls, leaf = start.places(code, start.ids(code))
+                for word, first, second, _ in _runs(batch.column(0), ids=start.ids):
+                    cls, leaf = start.places(*word)
                     for k, (active, target) in enumerate(zip(start.features(first, second, cls), (cls, leaf), strict=True)):
                         _updated(weights[k], power[k], met[k], active, target, rate)
             for k in range(2):
@@ -323,8 +337,8 @@ def score(tokens: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             row, size = batch.column(0).to_numpy(), batch.num_rows
             known, logs, own = (np.zeros(size) for _ in range(3))
             rare = []
-            for code, first, second, doc in _runs(batch.column(2)):
-                chance, ids = model.log_chances(code, first, second)
+            for word, first, second, doc in _runs(batch.column(2), ids=model.ids):
+                chance, (code, ids) = model.log_chances(word, first, second), word
                 held = ids >= 0
                 known += np.bincount(doc[held], minlength=size)
                 logs += np.bincount(doc[held], model.log_count[ids[held]], size)

@@ -31,12 +31,16 @@ def test_runs_against_a_loop():
         for i, c in enumerate(t):
             want.append((c, t[i - 1] if i else code("\n"), t[i - 2] if i > 1 else code("\n"), d))
     assert list(zip(*map(np.ndarray.tolist, got), strict=True)) == want
+    ids = lambda x: x % 1000
+    for size in (2, 100):
+        pairs = [[np.concatenate([run[j][i] for run in lm._runs(column, size, ids)]) for i in (0, 1)] for j in range(3)]
+        assert all((ids(c) == i).all() and c.tolist() == [w[j] for w in want] for j, (c, i) in enumerate(pairs))
 
 
 def test_gradient_is_the_difference_quotient():
     rng = np.random.default_rng(1)
     weights = rng.normal(size=(9, lm.LEAVES))
-    rows, target = rng.integers(0, 9, (50, 3)), rng.integers(0, lm.LEAVES, 50)
+    rows, target = np.column_stack([np.full(50, 2), rng.integers(0, 9, (50, 3))]), rng.integers(0, lm.LEAVES, 50)
     value = lambda w: lm.log_softmax(w, rows)[np.arange(50), target].sum()
     touched, count, slope = lm.slopes(weights, rows, target)
     assert count.sum() == rows.size
@@ -55,11 +59,12 @@ def test_chances_sum_to_one(spark):
     n = lm.CLASSES * lm.LEAVES
     for before, second in (("red", "\n"), ("lamp", "green"), ("zebra", "zebra")):
         words = np.array(list(known), "i8")
-        chance, ids = model.log_chances(words, np.full(len(words), code(before)), np.full(len(words), code(second)))
+        told = lambda w, k: (np.full(k, code(w)), np.full(k, model.ids(np.array([code(w)]))[0]))
+        chance = model.log_chances((words, model.ids(words)), told(before, len(words)), told(second, len(words)))
         total = (10**chance * (np.array([known[w] for w in words.tolist()]) + 1)).sum()
         # One unseen word of each leaf: its share is 1 of the leaf's words.
         cls, leaf = np.repeat(np.arange(lm.CLASSES), lm.LEAVES), np.tile(np.arange(lm.LEAVES), lm.CLASSES)
-        one, two = model.features(np.full(n, code(before)), np.full(n, code(second)), cls)
+        one, two = model.features(told(before, n), told(second, n), cls)
         both = lm.log_softmax(model.one, one)[np.arange(n), cls] + lm.log_softmax(model.two, two)[np.arange(n), leaf]
         assert total + (np.exp(both) / 10**model.log_unit).sum() == pytest.approx(1, abs=1e-5)
         # Every word that is counted is one of its leaf's words.
