@@ -1,5 +1,6 @@
 """Operators on documents: awkward rows, empty tables, and brute force on small fixtures."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -231,3 +232,68 @@ def test_stages_decide_by_row(spark, awkward):
     labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
     left = [(r.doc_id, r.text) for r in keep_good(docs, labels).collect() if r.doc_id is None or r.doc_id == 500]
     assert sorted(left, key=str) == sorted([(500, a), (None, a)], key=str)
+
+
+def test_shards_of_all_documents_against_python(spark):
+    """The query's sizes and checksums, and the permutation by Python's own arithmetic over the row numbers it reports."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    from skyframe.llm.sharding import op2_shard_feistel
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op2_shard_feistel(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(docs) and {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
+    assert all((r.size, r.text_crc32) == (len(docs[r.doc_id].encode()) + 16, zlib.crc32(docs[r.doc_id].encode())) for r in rows)
+    assert sorted(r.row_number for r in rows) == sorted(r.position for r in rows) == list(range(len(rows)))
+    assert all((r.shard, r.slot) == (r.position % 40, r.position // 40) for r in rows)
+    counts = Counter(r.shard for r in rows)
+    assert len(counts) == 40 and max(counts.values()) - min(counts.values()) <= 1
+    n, seed = len(rows), 42
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    half = {(x, r): h for x, r, h in spark.range(max(a, b)).select("id", F.explode(F.array(*map(F.lit, range(6)))).alias("r")).select("id", "r", F.xxhash64("id", "r", F.lit(seed))).collect()}
+
+    def walk(x):
+        while True:
+            left, right = divmod(x, b)
+            for r in range(6):
+                if r % 2 == 0:
+                    left = (left + half[right, r]) % a
+                else:
+                    right = (right + half[left, r]) % b
+            x = left * b + right
+            if x < n:
+                return x
+
+    assert {r.row_number: r.position for r in rows} == {i: walk(i) for i in range(n)}
+
+
+def brute_features(text):
+    t = text.encode()
+    ws, lines = t.split(), [x for x in t.split(b"\n") if x.strip()]
+    upper = sum(65 <= c <= 90 for c in t)
+    return {
+        "words": np.log1p(len(ws)), "lines": np.log1p(len(lines)), "upper": upper / len(t), "distinct_words": len(set(ws)) / len(ws), "top_word": max(map(ws.count, ws)) / len(ws),
+        "distinct_trigrams": len({tuple(ws[i : i + 3]) for i in range(len(ws) - 2)}) / (len(ws) - 2), "short_words": sum(len(w) <= 3 for w in ws) / len(ws), "distinct_lines": len(set(lines)) / len(lines),
+        "repeated_line_bytes": sum(len(x) for i, x in enumerate(lines) if x in lines[:i]) / len(t), "capital_words": sum(65 <= w[0] <= 90 for w in ws) / len(ws), "upper_words": sum(w.isupper() for w in ws) / len(ws),
+    }
+
+
+def test_statistics_and_trees_against_plain_walks():
+    for text in (AWKWARD[0][1], "One TWO two\nOne TWO two\n\n a b!! é", LONG[:3000]):
+        got = dict(zip(FEATURES, features(text.encode()), strict=True))
+        for name, want in brute_features(text).items():
+            assert got[name] == pytest.approx(want), name
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 4)).astype("f4")
+    model = fit_trees(x, (x[:, 0] * x[:, 1] > 0).astype("f8"), trees=7, depth=3)
+    for row, score in zip(x[:100], model.score(x[:100]), strict=True):
+        total = model.prior
+        for t in range(7):
+            node = 0
+            while node < 7:
+                node = 2 * node + (2 if row[model.feature[t, node]] > model.threshold[t, node] else 1)
+            total += model.leaf[t, node - 7]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
