@@ -57,17 +57,23 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames at level 200 with whole-numbered noise and the catalogue's stars of sigma 2; a star adds to the pixels within 12 of it."""
     frames = catalogue(spark, sf_dir).groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", "peak")).alias("stars"))  # nine at most
     frames = frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame_id")  # a row becomes 4096
-    i = F.col("i").cast("long")
-    pixels = frames.select("frame_id", "stars", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("i"))
-    pixels = pixels.select("frame_id", "stars", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).cast("int").alias("x"), (F.col("frame_id").cast("long") * SIDE * SIDE + i).alias("n"))
-    mixed = lambda x: (x * 1103515245 + 12345) % 2147483648
-    noise = F.floor(mixed(mixed(F.col("n"))) / 65536) % LEVELS - LEVELS // 2
+    y, x = (a.ravel() for a in np.mgrid[:SIDE, :SIDE])
 
-    def add(total, star):
-        dx, dy = F.col("x") - star["x"], F.col("y") - star["y"]
-        return total + F.when((F.abs(dx) <= 12) & (F.abs(dy) <= 12), star["peak"] * F.exp(-(dx * dx + dy * dy) / 8.0)).otherwise(0.0)
-
-    return pixels.select("frame_id", "y", "x", (200.0 + noise + F.aggregate("stars", F.lit(0.0), add)).alias("v"))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixed = lambda n: (n * 1103515245 + 12345) % 2147483648
+        for batch in batches:
+            for frame, stars in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = np.int64(frame) * SIDE * SIDE + np.arange(SIDE * SIDE)
+                light = np.zeros(SIDE * SIDE)
+                for star in stars:
+                    dx, dy = x - star["x"], y - star["y"]
+                    near = (abs(dx) <= 12) & (abs(dy) <= 12)
+                    light[near] += star["peak"] * np.exp(-(dx * dx + dy * dy)[near] / 8.0)
+                v = 200.0 + mixed(mixed(n)) // 65536 % LEVELS - LEVELS // 2 + light
+                columns = [pa.array(np.full(SIDE * SIDE, frame), pa.int32()), pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(v)]
+                yield pa.RecordBatch.from_arrays(columns, names=["frame_id", "y", "x", "v"])
+
+    return frames.select("frame_id", "stars").mapInArrow(rows, "frame_id int, y int, x int, v double")
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
