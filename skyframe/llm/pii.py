@@ -11,7 +11,7 @@ of high-confidence patterns are spans that the strict patterns missed.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -162,15 +162,16 @@ def _bits(grams: Iterator[str]) -> np.ndarray:
 def occurrences(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """(gram, total): how often each sequence of tokens in ``grams`` (distinct) occurs in the texts, in one pass whatever their number.
 
-    Tasks hold a filter of fixed size, which lets a few other sequences through; the join with
-    ``grams`` leaves them out.
+    Tasks hold a filter of fixed size of the sequences and their beginnings, which lets a few
+    others through; the join with ``grams`` leaves them out.
     """
     wanted = np.zeros(FILTER_BITS // 8, "u1")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_pylist()
-            found = np.unique(np.concatenate([_bits(own), _bits(g.split(" ")[0] for g in own)]))
+            begins = {" ".join(g.split(" ")[:k]) for g in own for k in (1, 2)}
+            found = np.unique(np.concatenate([_bits(own), _bits(begins)]))
             yield pa.RecordBatch.from_arrays([pa.array(found)], names=["bit"])
 
     filled = grams.select("gram").mapInArrow(places, "bit long").groupBy(F.expr("bit div 8 AS byte")).agg(F.expr("bit_or(shiftleft(1, cast(bit % 8 AS int))) AS bits"))
@@ -186,19 +187,25 @@ def occurrences(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                texts = [tokens(x or "") for x in batch.column(0).slice(at, 500).to_pylist()]
-                distinct = list(set().union(*texts))
-                heads = {w for w, ok in zip(distinct, wanted[_bits(distinct)], strict=True) if ok}
-                longer: Counter = Counter()
-                for own in texts:
-                    hits = [i for i, w in enumerate(own) if w in heads]
-                    counts.update(own[i] for i in hits)
-                    longer.update((own[i], own[i + 1]) for i in hits if i + 1 < len(own))
-                    longer.update((own[i], own[i + 1], own[i + 2]) for i in hits if i + 2 < len(own))
-                names = list(map(" ".join, longer))
-                for name, n, ok in zip(names, longer.values(), wanted[_bits(names)], strict=True):
-                    if ok:
-                        counts[name] += n
+                numbers: defaultdict = defaultdict()
+                numbers.default_factory = numbers.__len__
+                parts = []
+                for own in map(tokens, (x or "" for x in batch.column(0).slice(at, 500).to_pylist())):
+                    parts += [np.fromiter(map(numbers.__getitem__, own), "i8", len(own)), np.array([-1, -1, -1])]
+                ids, words = np.concatenate(parts), list(numbers)
+                sequences = words
+                # Each step lengthens the sequences that are wanted so far, or begin a wanted one, by a token.
+                codes, ends = ids[ids >= 0], np.flatnonzero(ids >= 0)
+                for length in (1, 2, 3):
+                    n = np.bincount(codes, minlength=len(sequences)).tolist()
+                    ok = wanted[_bits(sequences)] == 1
+                    for k in np.flatnonzero(ok).tolist():
+                        counts[sequences[k]] += n[k]
+                    if length < 3:
+                        on = ok[codes] & (ids[ends + 1] >= 0)
+                        codes, ends = codes[on], ends[on] + 1
+                        both, codes = np.unique(codes * len(numbers) + ids[ends], return_inverse=True)
+                        sequences = [f"{sequences[i]} {words[j]}" for i, j in zip((both // max(len(numbers), 1)).tolist(), (both % max(len(numbers), 1)).tolist(), strict=True)]
                 if len(counts) > COUNTER:
                     yield told()
                     counts.clear()
