@@ -22,6 +22,26 @@ def with_row_numbers(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     return save(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
+#: A key of over one in so many rows is hot: there are fewer such keys than this, whatever the input.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, info: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """``rows`` with the columns of ``info`` (one row a key, with its number of rows in ``copies``), nulls where there are none.
+
+    Hot keys, of which there are fewer than HOT by count, are broadcast and rows without a key
+    stay where they are, so that only rows of other keys are shuffled. Both are tables: they are
+    read several times.
+    """
+    total = info.agg(F.sum(copies)).first()[0] or 0
+    hot, cold = (info.where(is_hot).drop(copies) for is_hot in (F.col(copies) * HOT > total, F.col(copies) * HOT <= total))
+    without = F.lit(False)
+    for key in keys:
+        without |= F.col(key).isNull()
+    others = rows.where(~without).join(F.broadcast(hot), keys, "left_anti").join(cold, keys, "left")
+    return rows.join(F.broadcast(hot), keys).unionByName(others).unionByName(rows.where(without), allowMissingColumns=True)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null has none."""
     pieces = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..spool import discard
-from .common import number_in_order, save, table
+from .common import join_counted, number_in_order, save, table
 from .components import connected_components
 from .simhash import _spanning
 
@@ -42,6 +42,21 @@ def _unit(values: list | None) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
+def _units(embeddings: np.ndarray) -> np.ndarray:
+    """Vectors of one dimension, which all take part, over their lengths in doubles."""
+    x = np.stack(embeddings).astype("f8")
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _by_dim(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each dimension of a column of vectors that take part, its places and unit vectors."""
+    vectors, dims = column.to_numpy(zero_copy_only=False), column.value_lengths().to_numpy()
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        yield dim, at, _units(vectors[at])
+
+
 @lru_cache(maxsize=8)
 def _planes(seed: int, dim: int, passes: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((passes * BITS, dim))
@@ -66,11 +81,10 @@ def _means(values: DataFrame) -> dict[int, np.ndarray]:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for batch in batches:
-            for value in batch.column(0):
-                x = _unit(value.as_py())
-                own = total.setdefault(len(x), [0, np.zeros(len(x))])
-                own[0] += 1
-                own[1] += x
+            for dim, _, x in _by_dim(batch.column(0)):
+                own = total.setdefault(dim, [0, np.zeros(dim)])
+                own[0] += len(x)
+                own[1] += x.sum(axis=0)
         counts, vectors = [n for n, _ in total.values()], [x.tolist() for _, x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64()), pa.array(vectors, pa.list_(pa.float64()))], names=["n", "x"])
 
@@ -86,14 +100,14 @@ def _keyed(values: DataFrame, passes: int, seed: int, means: dict[int, np.ndarra
     """first, dim and the passes' sort keys of ``values`` (first, embedding): the sides of planes through the mean."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 1 << np.arange(BITS - 1, -1, -1, dtype="i8")
         for batch in batches:
-            dims, keys = [], []
-            for value in batch.column(1):
-                x = _unit(value.as_py())
-                bits = (_planes(seed, len(x), passes) @ (x - means[len(x)]) > 0).reshape(passes, BITS)
-                dims.append(len(x))
-                keys.append((bits @ (1 << np.arange(BITS - 1, -1, -1, dtype="i8"))).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["first", "dim", "keys"])
+            dims, keys = np.zeros(batch.num_rows, "i4"), np.zeros((batch.num_rows, passes), "i8")
+            for dim, at, x in _by_dim(batch.column(1)):
+                dims[at] = dim
+                keys[at] = ((x - means[dim]) @ _planes(seed, dim, passes).T > 0).reshape(-1, passes, BITS) @ powers
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, passes, dtype="i4")), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims), lists], names=["first", "dim", "keys"])
 
     return values.select("first", "embedding").mapInArrow(rows, "first long, dim int, keys array<long>")
 
@@ -126,10 +140,6 @@ def _chance(x: np.ndarray, keys: np.ndarray, before: np.ndarray, after: np.ndarr
     return np.clip(1 - lost, 0, 1 - 1e-12)
 
 
-def _units(embeddings: pd.Series) -> np.ndarray:
-    return np.array([_unit(list(x)) for x in embeddings])
-
-
 def _round(values: DataFrame, threshold: float, window: int, block: int, seed: int) -> DataFrame:
     """One round of passes over ``values`` (first, embedding) as a table: links (u, v), and rows with v null and, as ``missed``, the log of the chance that a pass missed a link of u just at the threshold."""
     passes, means = passes_for(values.count(), threshold, window), _means(values)
@@ -140,16 +150,21 @@ def _round(values: DataFrame, threshold: float, window: int, block: int, seed: i
     blocks = F.array_compact(F.array(home, F.when(inside >= block - window, home + 1), F.when((inside < window) & (home > 0), home - 1)))
     windows = sorted_.select("first", "dim", "pass", "key", "place", F.explode(blocks).alias("block")).join(values, "first")
 
+    # Of the rows from a window's start on, those up to ``window`` places after each.
+    band = np.tril(np.triu(np.ones((window, 2 * window), bool), 1), window)
+
     def neighbours(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("place", ignore_index=True)
         own = (part["place"] // block == key[0]).to_numpy()
         ids, keys, us, vs, seen, missed = part["first"].to_numpy("i8"), part["key"].to_numpy("i8"), [], [], [], []
         for (dim, turn), at in part.groupby(["dim", "pass"]).indices.items():
-            x, mine = _units(part["embedding"].iloc[at]), own[at]
-            for k in range(1, min(window, len(at) - 1) + 1):
-                hit = np.flatnonzero((np.einsum("ij,ij->i", x[:-k], x[k:]) >= threshold) & mine[k:])
-                us.append(ids[at[hit]])
-                vs.append(ids[at[hit + k]])
+            x, mine = _units(part["embedding"].to_numpy()[at]), own[at]
+            for s in range(0, len(at), window):
+                ahead = x[s : s + 2 * window]
+                hit = (x[s : s + window] @ ahead.T >= threshold) & mine[s : s + 2 * window]
+                i, j = np.nonzero(hit & band[: len(hit), : len(ahead)])
+                us.append(ids[at[s + i]])
+                vs.append(ids[at[s + j]])
             before, after = _shared(keys[at], window)
             planes = _planes(seed, int(dim), passes)[turn * BITS : (turn + 1) * BITS]
             chance = _chance(x[mine], keys[at[mine]], before[mine], after[mine], planes, means[int(dim)], threshold)
@@ -158,8 +173,10 @@ def _round(values: DataFrame, threshold: float, window: int, block: int, seed: i
         u, v = (np.concatenate(c) if c else np.zeros(0, "i8") for c in (us, vs))
         # A forest with the same components is enough here.
         names, places = np.unique(np.concatenate([u, v]), return_inverse=True)
-        left, right = places[: len(u)], places[len(u) :]
-        tree = _spanning(((int(a), right[i : i + 1]) for i, a in enumerate(left)), len(names))
+        order = np.argsort(places[: len(u)], kind="stable")
+        left, right = places[: len(u)][order], places[len(u) :][order]
+        starts = np.flatnonzero(np.diff(left, prepend=-1))
+        tree = _spanning(zip(left[starts].tolist(), np.split(right, starts[1:]), strict=True) if len(u) else iter(()), len(names))
         links = pd.DataFrame({"u": names[[i for i, _ in tree]], "v": names[[j for _, j in tree]]}, dtype="Int64").assign(missed=0.0)
         chances = pd.DataFrame({"u": pd.array(np.concatenate(seen), "Int64"), "v": pd.array([None] * sum(map(len, seen)), "Int64"), "missed": np.concatenate(missed)})
         return pd.concat([links, chances], ignore_index=True)
@@ -217,7 +234,7 @@ def link_components(vectors: DataFrame, threshold: float = 0.95, window: int = W
         out = []
         for (_, i, j), at in part.groupby(["component", "i", "j"]).indices.items():
             own = part.iloc[at]
-            x, copies, side = _units(own["embedding"]), own["copies"].to_numpy("i8"), own["b"].to_numpy()
+            x, copies, side = _units(own["embedding"].to_numpy()), own["copies"].to_numpy("i8"), own["b"].to_numpy()
             link = x @ x.T >= threshold
             np.fill_diagonal(link, False)
             if i != j:
@@ -229,8 +246,8 @@ def link_components(vectors: DataFrame, threshold: float = 0.95, window: int = W
     smallest = parts.join(classes.select("first", "smallest"), "first").groupBy("component").agg(F.min("smallest").alias("least"))
     info = classes.join(links, "first", "left").join(parts.join(smallest, "component"), "first", "left")
     least = F.when(F.col("component").isNull(), F.col("smallest")).otherwise(F.col("least"))
-    info = info.select("dim", "sign", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), least.alias("component_id"), F.lit(True).alias("there"))
-    out = rows.select("vec_id", "dim", "sign").join(save(info, "vector-info"), ["dim", "sign"], "left")
+    info = info.select("dim", "sign", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), least.alias("component_id"), F.lit(True).alias("there"))
+    out = join_counted(rows.select("vec_id", "dim", "sign"), save(info, "vector-info"), ["dim", "sign"], "copies")
     component = F.when(F.col("there"), F.col("component_id")).otherwise(F.col("vec_id"))
     kept = component.isNull() | F.coalesce(component == F.col("vec_id"), F.lit(False))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
