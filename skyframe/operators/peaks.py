@@ -7,36 +7,59 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ordering import unused
+from ..spool import discard, save
+
 
 def rank_peaks(peaks: DataFrame, value: str, out: str = "rank") -> DataFrame:
     """Places 1, 2, ... by falling value within each frame; ties by row, then column."""
     return peaks.withColumn(out, F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc(value), "y", "x")))
 
 
-def separate(peaks: DataFrame, value: str, distance: Column | float) -> DataFrame:
-    """Walk each frame's peaks by falling value and keep those with no kept one nearer than ``distance``.
+def separate(peaks: DataFrame, value: str, distance: Column | float, tile: int = 64) -> DataFrame:
+    """Walk each frame's peaks by falling value and keep those with no kept one nearer than ``distance``, which is one value a frame.
 
-    One group is the peaks of one frame, which its pixels bound; kept peaks are looked up in cells
-    of the distance's size, so the walk is near linear. Other columns are kept.
+    Ties go by row, then column. Rounds of tiles, ``tile`` distances wide, with rims a distance
+    wide: a tile walks its peaks and decides those whose stronger neighbours are all decided; the
+    next round's tiles lie half a tile further, so what a border left open is inside. The
+    strongest open peak is always decided, so rounds end. A task holds the peaks of tiles, which
+    their pixels bound, never a frame's. Other columns are kept.
     """
+    names, kept, far = peaks.columns, unused("is_kept", peaks), unused("separation_of_frame", peaks)
     distance = distance if isinstance(distance, Column) else F.lit(float(distance))
-    given = peaks.withColumn("_d", distance.cast("double"))
-    names = peaks.columns
+    ty, tx, home = (unused(c, peaks) for c in ("tile_row", "tile_column", "is_home"))
+    live, turn = peaks.withColumn(far, distance.cast("double")).withColumn(kept, F.lit(False)), 0
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in live.schema)
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([value, "y", "x"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        limit = float(rows["_d"].iloc[0])
-        size, cells, keep = max(limit, 1.0), {}, np.zeros(len(rows), bool)
+        limit = float(rows[far].iloc[0])
+        size, cells = max(limit, 1.0), {}
+        sure, own, there = rows[kept].to_numpy(bool), rows[home].to_numpy(bool), np.ones(len(rows), bool)
         for i, (y, x) in enumerate(rows[["y", "x"]].to_numpy("i8").tolist()):
             by, bx = int(y // size), int(x // size)
-            near = (p for cy in (by - 1, by, by + 1) for cx in (bx - 1, bx, bx + 1) for p in cells.get((cy, cx), ()))
-            if all((y - py) ** 2 + (x - px) ** 2 >= limit * limit for py, px in near):
-                keep[i] = True
-                cells.setdefault((by, bx), []).append((y, x))
-        return rows.loc[keep, names]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in peaks.schema)
-    return given.groupBy("frame_id").applyInPandas(walk, schema)
+            if not sure[i]:
+                near = (k for cy in (by - 1, by, by + 1) for cx in (bx - 1, bx, bx + 1) for py, px, k in cells.get((cy, cx), ()) if (y - py) ** 2 + (x - px) ** 2 < limit * limit)
+                states = {bool(sure[k]) for k in near}
+                there[i] = True not in states
+                sure[i] = own[i] and not states
+            if there[i]:
+                cells.setdefault((by, bx), []).append((y, x, i))
+        rows[kept] = sure
+        return rows.loc[there & own, [*names, far, kept]]
+
+    while True:
+        side, reach = tile * F.greatest(F.col(far), F.lit(1.0)), F.greatest(F.col(far), F.lit(0.0))
+        start = (turn % 2) * side / 2
+        at = lambda c, off=0: F.floor((F.col(c) + start + off) / side).cast("long")  # noqa: B023, E731
+        dealt = live.withColumn(ty, F.explode(F.sequence(at("y", -reach), at("y", reach)))).withColumn(tx, F.explode(F.sequence(at("x", -reach), at("x", reach))))
+        dealt = dealt.withColumn(home, (F.col(ty) == at("y")) & (F.col(tx) == at("x")))
+        past, live = live, save(dealt.groupBy("frame_id", ty, tx).applyInPandas(walk, schema), "separated")
+        if turn:
+            discard(past)
+        if not live.where(~F.col(kept)).limit(1).count():
+            return live.select(*names)
+        turn += 1
 
 
 def matched(expected: DataFrame, stars: DataFrame, tolerance: float = 1.0) -> DataFrame:

@@ -98,7 +98,19 @@ def test_separation_against_brute_force(spark, peaks, distance):
         if all((y - b) ** 2 + (x - a) ** 2 >= distance**2 for b, a, _ in kept):
             kept.append((y, x, v))
     df = spark.createDataFrame([("a", y, x, float(v)) for y, x, v in peaks], PIXELS)
-    assert {(r.y, r.x, int(r.v)) for r in separate(df, "v", distance).collect()} == set(kept)
+    for tile in (1, 64):  # tiles as wide as the distance leave chains to later rounds
+        found = separate(df.withColumn("tile_row", F.lit("own")), "v", distance, tile)
+        assert sorted((r.y, r.x, int(r.v)) for r in found.collect()) == sorted(kept)
+        assert found.columns == [*df.columns, "tile_row"]
+
+
+def test_separation_along_a_chain(spark):
+    """Every peak hangs on the one before it; repeated rows and frames of their own distance."""
+    rows = [(f, 0, 2 * k, 1000.0 - k) for f in ("a", "b") for k in range(40)] + [("a", 0, 0, 1000.0)]
+    df = spark.createDataFrame(rows, PIXELS)
+    found = separate(df, "v", F.when(F.col("frame_id") == "a", 3.0).otherwise(0.0), 1).collect()
+    assert sorted((r.frame_id, r.x) for r in found) == [("a", 4 * k) for k in range(20)] + [("b", 2 * k) for k in range(40)]
+    assert separate(df.limit(0), "v", 3.0).count() == 0
 
 
 def test_zero_sum_vanishes_on_flats_and_ramps(spark):
