@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, table, with_row_numbers
+from .common import join_counted, save, table, with_row_numbers
 from .components import connected_components
 
 RADIUS = 4
@@ -133,11 +133,11 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     nulls alone has a null component_id.
     """
     prints = save(fingerprints(docs), "simhash-prints")
-    firsts = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    firsts = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "simhash-distinct")
     parts = connected_components(near_pairs(firsts.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = firsts.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return prints.join(save(named.join(smallest, "component").select("fp", "component_id"), "simhash-named"), "fp")
+    return join_counted(prints, save(named.join(smallest, "component").select("fp", "copies", "component_id"), "simhash-named"), ["fp"], "copies")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
