@@ -6,12 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import FrameError
 
 _own_folder: list[str] = []
+_noting: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +39,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_path = path
+    for tables in _noting:
+        tables.append(out)
     return out
 
 
@@ -50,3 +55,13 @@ def discard(*tables: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.saved_path)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def noted() -> Iterator[list[DataFrame]]:
+    """A list of the tables that :func:`save` returns meanwhile."""
+    _noting.append([])
+    try:
+        yield _noting[-1]
+    finally:
+        _noting.pop()
