@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from skyframe.llm.common import save, table
@@ -10,28 +13,61 @@ from skyframe.llm.packing import pack_documents
 from skyframe.llm.quality import keep_good
 from skyframe.llm.secret_scan import redact
 from skyframe.llm.simhash import keep_first
+from skyframe.spool import discard, noted
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Tables that results of stages are computed from and that no later stage has freed yet.
+_behind: list[DataFrame] = []
+
+
+def _free(spark: SparkSession, *read: DataFrame) -> None:
+    """Delete the tables that stages left behind, but for those that ``read`` still reads."""
+    files = [file for df in read for file in df.inputFiles()] if _behind else []
+    still = [df for df in _behind if any(f"/{df.saved_path.rsplit('/', 1)[1]}/" in file for file in files)]
+    discard(*(df for df in _behind if df not in still and df.sparkSession.sparkContext is spark.sparkContext))
+    _behind[:] = still
+
+
+def _stage(work: Stage) -> Stage:
+    """``work`` as a stage, which first frees what earlier stages left: their results are written before the next stage is called."""
+
+    @wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _free(spark, docs)
+        with noted() as tables:
+            out = work(spark, docs, sf_dir)
+        _behind.extend(tables)
+        return out
+
+    return stage
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from the labels of documents that are still here, doesn't reject."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
     return keep_first(docs)
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets replaced in their texts."""
     return redact(docs)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mix_documents(docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with the sequences that they are packed into."""
     return pack_documents(docs)
@@ -44,8 +80,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each one's result is a table that the next one reads."""
+    """All stages over the documents of ``sf_dir``; each one's result is a table that the next one reads, freed once that one's is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, save(stage(spark, docs, sf_dir), f"stage-{name}")
+        _free(spark, docs)
+        if hasattr(before, "saved_path"):
+            discard(before)
     return docs
