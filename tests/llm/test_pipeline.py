@@ -21,6 +21,9 @@ def test_stages(spark):
         assert name == "packing" or docs.columns == columns
         ids = left
     run = corpus_pipeline.run(spark, DIR).drop("sequence_id", "offset")
+    from skyframe.spool import shared_dir
+
+    assert not corpus_pipeline._behind and not [f for f in os.listdir(shared_dir(spark)) if f.startswith(("stage-quality", "stage-mixing", "simhash-docs", "secret-docs", "pieces"))]
     assert run.exceptAll(docs.drop("sequence_id", "offset")).count() == 0 and run.count() == docs.count()
 
 
