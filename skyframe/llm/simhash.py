@@ -92,7 +92,8 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     tables = F.explode(F.arrays_zip(F.array(*map(F.lit, range(len(masks)))).alias("t"), F.array(*map(F.lit, masks)).alias("m")))
     keyed = fps.select("fp", tables.alias("x")).select("fp", F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"))
     shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = save(keyed.join(shared, ["t", "key"]), "simhash-buckets")
+    # Both sides grow with the fingerprints, so neither is broadcast.
+    members = save(keyed.hint("merge").join(shared, ["t", "key"]), "simhash-buckets")
     # Fingerprints alone with one other in their bucket, as in most buckets, need no Python.
     two = members.where("n = 2").groupBy("t", "key").agg(F.min("fp").alias("u"), F.max("fp").alias("v"))
     two = two.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).select("u", "v")
