@@ -13,32 +13,17 @@ from skyframe.llm.packing import pack_documents
 from skyframe.llm.quality import keep_good
 from skyframe.llm.secret_scan import redact
 from skyframe.llm.simhash import keep_first
-from skyframe.spool import discard, noted
+from skyframe.spool import discard, sweep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Tables that results of stages are computed from and that no later stage has freed yet.
-_behind: list[DataFrame] = []
-
-
-def _free(spark: SparkSession, *read: DataFrame) -> None:
-    """Delete the tables that stages left behind, but for those that ``read`` still reads."""
-    files = [file for df in read for file in df.inputFiles()] if _behind else []
-    still = [df for df in _behind if any(f"/{df.saved_path.rsplit('/', 1)[1]}/" in file for file in files)]
-    discard(*(df for df in _behind if df not in still and df.sparkSession.sparkContext is spark.sparkContext))
-    _behind[:] = still
-
-
 def _stage(work: Stage) -> Stage:
-    """``work`` as a stage, which first frees what earlier stages left: their results are written before the next stage is called."""
+    """``work`` as a stage, which first frees the tables of earlier ones that nothing reads any more: those behind results that were written and dropped."""
 
     @wraps(work)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _free(spark, docs)
-        with noted() as tables:
-            out = work(spark, docs, sf_dir)
-        _behind.extend(tables)
-        return out
+        sweep(spark)
+        return work(spark, docs, sf_dir)
 
     return stage
 
@@ -84,7 +69,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         before, docs = docs, save(stage(spark, docs, sf_dir), f"stage-{name}")
-        _free(spark, docs)
         if hasattr(before, "saved_path"):
             discard(before)
+    del before
+    sweep(spark)
     return docs

@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import FrameError
 
+#: Files of a shuffle go when the execution that made them ends, not when the driver happens to collect its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_folder: list[str] = []
-_noting: list[list[DataFrame]] = []
+_lock = threading.RLock()
+#: Of each table that save() wrote: the session's context and a JVM weak reference to what plans read it by.
+_tables: dict[str, tuple[object, JavaObject]] = {}
+#: Sessions that write tables just now, how many at once, and what FREE_SHUFFLES was before.
+_writing: dict[int, list] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,20 +37,53 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local["):
         raise FrameError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="skyframe-"))
-        atexit.register(shutil.rmtree, _own_folder[0], True)
+    with _lock:
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="skyframe-"))
+            atexit.register(shutil.rmtree, _own_folder[0], True)
     return _own_folder[0]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    with _lock:
+        state = _writing.setdefault(id(spark), [0, None])
+        if not state[0]:
+            state[1] = spark.conf.get(FREE_SHUFFLES, None)
+            spark.conf.set(FREE_SHUFFLES, "true")
+        state[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            state[0] -= 1
+            if not state[0]:
+                if state[1] is None:
+                    spark.conf.unset(FREE_SHUFFLES)
+                else:
+                    spark.conf.set(FREE_SHUFFLES, state[1])
+                _writing.pop(id(spark))
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here and nothing is computed twice."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends here and nothing is computed twice.
+
+    The table stays until :func:`discard`, or until :func:`sweep` finds that no plan reads it any more.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    with _freeing_shuffles(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
-    for tables in _noting:
-        tables.append(out)
+    relation = out._jdf.queryExecution().analyzed().relation()
+    with _lock:
+        _tables[path] = (spark.sparkContext, spark.sparkContext._jvm.java.lang.ref.WeakReference(relation))
     return out
 
 
@@ -49,19 +92,33 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return df if hasattr(df, "saved_path") else save(df, name)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    with _lock:
+        _tables.pop(path, None)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`save` returned and that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.saved_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(df.sparkSession, df.saved_path)
 
 
-@contextmanager
-def noted() -> Iterator[list[DataFrame]]:
-    """A list of the tables that :func:`save` returns meanwhile."""
-    _noting.append([])
-    try:
-        yield _noting[-1]
-    finally:
-        _noting.pop()
+def sweep(spark: SparkSession) -> None:
+    """Delete the saved tables that no DataFrame reads any more, neither one that :func:`save` returned nor one made from it, in whatever thread.
+
+    Every plan that reads a table holds its relation in the JVM; once that is garbage, so is the table.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    with _lock:
+        gone = [path for path, (context, relation) in _tables.items() if context is spark.sparkContext and relation.get() is None]
+    for path in gone:
+        _delete(spark, path)
+
+
+def saved_tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables that are still there."""
+    with _lock:
+        return [path for path, (context, _) in _tables.items() if context is spark.sparkContext]
