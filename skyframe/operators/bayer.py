@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import FrameError
+from ..quarantine import Quarantine, set_aside
 
 #: The mosaics that are known, read row by row from the top left 2 x 2.
 PATTERNS = ("BGGR", "RGBG", "GRBG", "RGGB")
@@ -16,6 +17,12 @@ def check_pattern(pattern: str | None) -> None:
         raise FrameError(f"unsupported Bayer pattern: {pattern}")
 
 
+def known_patterns(frames: DataFrame, quarantine: Quarantine | None = None) -> DataFrame:
+    """``frames`` whose ``bayerpat`` is null or a mosaic that is known; the others go to ``quarantine`` or raise."""
+    unknown = F.col("bayerpat").isNotNull() & ~F.col("bayerpat").isin(*PATTERNS)
+    return set_aside(frames, F.when(unknown, F.concat(F.lit("unsupported Bayer pattern: "), F.col("bayerpat"))), "mosaic", quarantine)
+
+
 def _is(channel: str, pattern: Column) -> Column:
     place = 1 + 2 * (F.col("y") % 2) + F.col("x") % 2
     return F.substr(pattern, place.cast("int"), F.lit(1)) == channel

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,30 +25,60 @@ def gaussian(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, n
     return ae + p[:, 6:7], slopes
 
 
-def fit_gaussians(x: np.ndarray, y: np.ndarray, v: np.ndarray, weight: np.ndarray, start: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Levenberg-Marquardt for many windows at once: parameters (n, 7) and whether each is a physical Gaussian.
+@dataclass
+class Fits:
+    """Fits of many windows: parameters (n, 7), which are physical, and what shows that they are minima."""
+
+    parameters: np.ndarray
+    good: np.ndarray
+    cost: np.ndarray
+    slope: np.ndarray
+    curvature: np.ndarray
+    steps: np.ndarray
+
+
+def _solved(hess: np.ndarray, grad: np.ndarray) -> np.ndarray:
+    """Solutions of many systems; only those that are singular take the pseudo-inverse."""
+    try:
+        return np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:
+        out = np.zeros_like(grad)
+        fine = np.isfinite(hess).all(axis=(1, 2)) & np.isfinite(grad).all(axis=1)
+        fine[fine] = np.linalg.matrix_rank(hess[fine]) == hess.shape[1]
+        sick = ~fine & np.isfinite(hess).all(axis=(1, 2))
+        try:
+            out[fine] = np.linalg.solve(hess[fine], grad[fine][:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:  # singular to the solver though of full rank by its singular values
+            sick |= fine
+        out[sick] = np.einsum("nab,nb->na", np.linalg.pinv(hess[sick]), grad[sick])
+        return out
+
+
+def fit_gaussians(x: np.ndarray, y: np.ndarray, v: np.ndarray, weight: np.ndarray, start: np.ndarray, steps: int = 60) -> Fits:
+    """Levenberg-Marquardt for many windows at once.
 
     ``weight`` is 0 for places that a window doesn't have. A fit is physical if its numbers are
-    finite, its amplitude is positive and neither sigma is 0.
+    finite, its amplitude is positive and neither sigma is 0. ``slope`` is the largest cosine
+    between the residuals and a derivative of the model, 0 at a minimum; ``curvature`` the least
+    eigenvalue of the derivatives' products, each derivative at unit length, positive where the
+    minimum is one point.
     """
     p, damp = start.astype("f8").copy(), np.full(len(start), 1e-3)
-    value, slope = gaussian(p, x, y)
-    cost = (weight * (v - value) ** 2).sum(axis=1)
-    live = np.isfinite(cost)
+    with np.errstate(all="ignore"):
+        value, slope = gaussian(p, x, y)
+        cost = (weight * (v - value) ** 2).sum(axis=1)
+    live, taken = np.isfinite(cost), np.zeros(len(start), "i8")
     for _ in range(steps):
         if not live.any():
             break
         i = np.flatnonzero(live)
         w, off = weight[i], v[i] - value[i]
-        hess = np.einsum("nsa,ns,nsb->nab", slope[i], w, slope[i])
-        grad = np.einsum("nsa,ns->na", slope[i], w * off)
+        weighted = slope[i] * w[:, :, None]
+        hess = np.matmul(weighted.transpose(0, 2, 1), slope[i])
+        grad = np.matmul(weighted.transpose(0, 2, 1), off[:, :, None])[:, :, 0]
         scale = np.einsum("naa->na", hess)
         hess[:, range(7), range(7)] += damp[i, None] * np.maximum(scale, 1e-12)
-        try:
-            step = np.linalg.solve(hess, grad[:, :, None])[:, :, 0]
-        except np.linalg.LinAlgError:
-            step = np.einsum("nab,nb->na", np.linalg.pinv(hess), grad)
-        tried = p[i] + step
+        tried = p[i] + _solved(hess, grad)
         with np.errstate(all="ignore"):
             new_value, new_slope = gaussian(tried, x[i], y[i])
             new_cost = (w * (v[i] - new_value) ** 2).sum(axis=1)
@@ -57,10 +88,21 @@ def fit_gaussians(x: np.ndarray, y: np.ndarray, v: np.ndarray, weight: np.ndarra
         p[up], value[up], slope[up], cost[up] = tried[better], new_value[better], new_slope[better], new_cost[better]
         damp[up] = np.maximum(damp[up] / 10, 1e-12)
         damp[i[~better]] *= 10
+        taken[i] += 1
         live[i[done]] = False
         live[i] &= damp[i] < 1e10
     good = np.isfinite(p).all(axis=1) & (p[:, 0] > 0) & (p[:, 3] != 0) & (p[:, 4] != 0)
-    return p, good
+    with np.errstate(all="ignore"):
+        root = np.sqrt(weight)[:, :, None]
+        unit = slope * root
+        unit /= np.sqrt((unit**2).sum(axis=1, keepdims=True))
+        residual = (root[:, :, 0] * (v - value)) / np.sqrt(cost)[:, None]
+        cosines = np.abs(np.matmul(unit.transpose(0, 2, 1), residual[:, :, None])[:, :, 0]).max(axis=1)
+        products = np.matmul(unit.transpose(0, 2, 1), unit)
+        whole = np.isfinite(products).all(axis=(1, 2))
+        least = np.full(len(p), np.nan)
+        least[whole] = np.linalg.eigvalsh(products[whole])[:, 0]
+    return Fits(p, good, cost, np.where(cost > 0, cosines, 0.0), least, taken)
 
 
 def gaussian_fit(windows: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,8 +127,8 @@ def gaussian_fit(windows: DataFrame, keys: list[str]) -> DataFrame:
                         out[i, : len(own)] = [s[name] for s in own]
                     w[i, : len(own)] = 1
                 start = np.array([[s[c] for c in PARAMETERS] for s in seeds], "f8").reshape(n, 7)
-                p, good = fit_gaussians(x, y, v, w, start)
-                fits = [dict(zip(PARAMETERS, row, strict=True)) if ok else None for row, ok in zip(p.tolist(), good, strict=True)]
+                found = fit_gaussians(x, y, v, w, start)
+                fits = [dict(zip(PARAMETERS, row, strict=True)) if ok else None for row, ok in zip(found.parameters.tolist(), found.good, strict=True)]
                 kind = pa.struct([(c, pa.float64()) for c in PARAMETERS])
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(keys))] + [pa.array(fits, kind)], names=[*keys, "fit"])
 

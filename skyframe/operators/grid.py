@@ -1,31 +1,30 @@
-"""Pixels as rows: building, cropping, stencils and square windows."""
+"""Pixels as rows: building, cropping, local maxima and square windows."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import FrameError
+from ..quarantine import Quarantine, set_aside
+
 
-#: Side of the square tiles that one task filters at a time.
-TILE = 256
+def sound_frames(frames: DataFrame, quarantine: Quarantine | None = None) -> DataFrame:
+    """``frames`` (width, height, values, maybe channels) whose sample count is width * height (* channels); the others go to ``quarantine`` or raise."""
+    channels = F.col("channels") if "channels" in frames.columns else F.lit(1)
+    fits = (F.size("values") == F.col("width").cast("long") * F.col("height") * channels) & (F.col("width") > 0) & (F.col("height") > 0)
+    return set_aside(frames, F.when(~F.coalesce(fits, F.lit(False)), F.lit("pixel count does not match the geometry")), "buffer", quarantine)
 
 
-def pixels_from_arrays(frames: DataFrame) -> DataFrame:
+def pixels_from_arrays(frames: DataFrame, quarantine: Quarantine | None = None) -> DataFrame:
     """(frame_id, y, x, v) of frames that hold their row-major samples in ``values``, with width and height.
 
     Where ``frames`` has channels, samples lie channel by channel at each place and rows have a
-    column ``channel`` before v. A frame whose sample count isn't width * height (* channels) is an error.
+    column ``channel`` before v. A frame whose sample count isn't width * height (* channels) goes
+    to ``quarantine``, or is an error.
     """
     many = "channels" in frames.columns
     channels = F.col("channels") if many else F.lit(1)
-    fits = F.size("values") == F.col("width") * F.col("height") * channels
-    values = F.when(fits, F.col("values")).otherwise(F.raise_error(F.lit("pixel count does not match the geometry")).cast("array<double>"))
-    each = frames.select("frame_id", "width", channels.alias("n"), F.posexplode(values).alias("i", "v")).withColumn("at", F.expr("i div n"))
+    each = sound_frames(frames, quarantine).select("frame_id", "width", channels.alias("n"), F.posexplode("values").alias("i", "v")).withColumn("at", F.expr("i div n"))
     place = [F.expr("at div width").cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x")]
     return each.select("frame_id", *place, *([(F.col("i") % F.col("n")).cast("int").alias("channel")] if many else []), F.col("v").cast("double"))
 
@@ -45,10 +44,10 @@ def frames_of(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("frame_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")).withColumn("channels", F.lit(1))
 
 
-def require_single_channel(frames: DataFrame) -> None:
-    found = frames.where("channels != 1").select("channels").first()
-    if found:
-        raise FrameError(f"a single-channel frame is needed, not {found[0]} channels")
+def require_single_channel(frames: DataFrame, quarantine: Quarantine | None = None) -> DataFrame:
+    """``frames`` of one channel; the others go to ``quarantine`` or raise."""
+    message = F.concat(F.lit("a single-channel frame is needed, not "), F.col("channels").cast("string"), F.lit(" channels"))
+    return set_aside(frames, F.when(F.col("channels") != 1, message), "channels", quarantine)
 
 
 def local_maxima(pixels: DataFrame, threshold: Column, value: str = "v") -> DataFrame:
@@ -84,48 +83,3 @@ def square_windows(peaks: DataFrame, pixels: DataFrame, radius: Column | int) ->
     there = pixels.select(F.col("frame_id").alias("_f"), F.col("y").alias("_py"), F.col("x").alias("_px"), F.col("v").alias("v"))
     on = (F.col("frame_id") == F.col("_f")) & (F.col("_y") == F.col("_py")) & (F.col("_x") == F.col("_px"))
     return wide.join(there, on).drop("_f", "_py", "_px", "_y", "_x")
-
-
-def _zero_sum(v: np.ndarray, sigma: float, missing: list[tuple[int, int]], reach: int) -> np.ndarray:
-    """Response of the inside of ``v``, a tile with a rim of ``reach``, of which ``missing`` (before, after; rows, then columns) lies outside the frame."""
-    v = np.pad(v, missing, mode="edge")
-    taps = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma))
-    taps /= taps.sum()
-    along = lambda a, weights, n: sum(w * a[k : k + n] for k, w in enumerate(weights))
-    h, w = v.shape[0] - 2 * reach, v.shape[1] - 2 * reach
-    both = [along(along(v, t, h).T, t, w).T for t in (taps, np.full(2 * reach + 1, 1 / (2 * reach + 1)))]
-    return both[0] - both[1]
-
-
-def zero_sum_response(pixels: DataFrame, radius: int, sigma: Column | float = None, tile: int = TILE) -> DataFrame:
-    """``pixels`` with ``response``: a Gaussian of unit sum less its mean, over a square reaching 3 sigma, replicated at the borders.
-
-    One shuffle deals pixels to tiles, those within ``radius`` of a tile's border to its neighbours
-    too; a task filters a tile at a time, so its memory is a tile's whatever the frame. ``sigma``
-    may differ by frame (a column); ``radius``, below ``tile``, is the largest ceil(3 sigma).
-    Frames must be dense.
-    """
-    if radius >= tile:
-        raise FrameError(f"a filter of radius {radius} needs tiles above it, not {tile}")
-    sigma = sigma if isinstance(sigma, Column) else F.lit(float(sigma))
-    names = pixels.columns
-    near = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile).cast("int") for d in (-radius, 0, radius)])))
-    dealt = pixels.withColumn("_sigma", sigma.cast("double")).withColumn("_ty", near("y")).withColumn("_tx", near("x")).where("_ty >= 0 and _tx >= 0")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.schema) + ", response double"
-
-    def filtered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        y, x = rows["y"].to_numpy("i8"), rows["x"].to_numpy("i8")
-        own = (y // tile == key[1]) & (x // tile == key[2])
-        if not own.any():
-            return rows.loc[own, names].assign(response=0.0)
-        reach = math.ceil(3 * float(rows["_sigma"].iloc[0]))
-        low, high = [a[own].min() for a in (y, x)], [a[own].max() + 1 for a in (y, x)]
-        first, last = [max(a.min(), lo - reach) for a, lo in zip((y, x), low, strict=True)], [min(a.max() + 1, hi + reach) for a, hi in zip((y, x), high, strict=True)]
-        here = (y >= first[0]) & (y < last[0]) & (x >= first[1]) & (x < last[1])
-        v = np.zeros((last[0] - first[0], last[1] - first[1]))
-        v[y[here] - first[0], x[here] - first[1]] = rows["v"].to_numpy("f8")[here]
-        missing = [(reach - (lo - f), reach - (la - hi)) for lo, f, la, hi in zip(low, first, last, high, strict=True)]
-        out = _zero_sum(v, float(rows["_sigma"].iloc[0]), missing, reach)
-        return rows.loc[own, names].assign(response=out[y[own] - low[0], x[own] - low[1]])
-
-    return dealt.groupBy("frame_id", "_ty", "_tx").applyInPandas(filtered, schema)

@@ -2,63 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MAD_TO_SIGMA, snr_weight
-from ..spool import as_table, save
-
-#: Rank error of the bracketing sketch is n / ACCURACY, well inside the two per cent around the middle that the bracket takes.
-ACCURACY = 1000
-#: Values of a group up to which one task may keep them all for a median.
-MAP_VALUES = 250_000
+from ..spool import as_table
+from .selection import select_middles
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
-    """(keys, out): the exact median of each group, the mean of the middle two for even counts; NaN and null don't count.
-
-    For groups of many millions of different values, of which Spark's own median would keep a map
-    in one task: a sketch brackets the middle, equal values inside the bracket are counted where
-    they are, and only their counts are ordered. A group without values has no row.
-    """
-    df = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, value)
-    sketch = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(F.lit(0.49), F.lit(0.51)), ACCURACY).alias("_q"), F.count("*").alias("_n"))
-    brackets = sketch.select(*keys, F.get("_q", F.lit(0)).alias("_low"), F.get("_q", F.lit(1)).alias("_high"), "_n")
-    near = df.join(brackets, keys).where(F.col(value) <= F.col("_high"))
-    # Everything below the bracket counts as one value, null.
-    kept = near.groupBy(*keys, "_n", F.when(F.col(value) >= F.col("_low"), F.col(value)).alias("_v")).agg(F.count("*").alias("_c"))
-    up_to = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v")))
-    ranked = kept.withColumn("_up", up_to).where("_v is not null")
-    first = lambda k: F.min(F.when(F.col("_up") >= F.expr(k), F.col("_v")))
-    return ranked.groupBy(*keys).agg(((first("(_n + 1) div 2") + first("(_n + 2) div 2")) / 2).alias(out))
+    """(keys, out): the exact median of each group, the mean of the middle two for even counts; NaN and null don't count, a group without values has no row."""
+    return select_middles(as_table(df.select(*keys, value), "values"), keys, value, out)
 
 
-def median_and_mad(df: DataFrame, keys: list[str], value: str, large: bool | None = None) -> DataFrame:
+def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, median, mad): median and median absolute deviation about it, unscaled; NaN and null don't count.
 
-    ``large`` picks :func:`exact_median`, which reads its input, so written as a table first unless it is one,
-    several times; by default groups of more than MAP_VALUES values decide. Smaller groups are
-    sorted as arrays: one shuffle for both numbers.
+    Both by radix selection: counts of leading bits meet, values don't, whatever the size of a group.
     """
-    clean = as_table(df, "values").where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, value)
-    if large is None:
-        large = (clean.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > MAP_VALUES
-    if large:
-        centre = save(exact_median(clean, keys, value, "median"), "medians")
-        off = clean.join(centre, keys).withColumn("_off", F.abs(F.col(value) - F.col("median")))
-        return centre.join(exact_median(off, keys, "_off", "mad"), keys)
-    middle = lambda a: F.expr(f"({a}[(size({a}) - 1) div 2] + {a}[size({a}) div 2]) / 2")
-    sorted_ = clean.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_v")).withColumn("median", middle("_v"))
-    off = sorted_.select(*keys, "median", F.sort_array(F.transform("_v", lambda v: F.abs(v - F.col("median")))).alias("_off"))
-    return off.select(*keys, "median", middle("_off").alias("mad"))
+    values = as_table(df, "values")
+    centre = select_middles(values, keys, value, "median")
+    same = F.lit(True)
+    for key in keys:
+        same &= F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
+    off = values.select(*keys, value).alias("a").join(centre.alias("b"), same).select(*[f"a.{k}" for k in keys], f"a.{value}", "b.median")
+    mad = select_middles(off, keys, value, "mad", about="median")
+    return centre.alias("a").join(mad.alias("b"), same).select(*[f"a.{k}" for k in keys], "a.median", "b.mad")
 
 
-def robust_noise(df: DataFrame, keys: list[str], value: str, large: bool | None = None) -> DataFrame:
+def robust_noise(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, median, noise): noise is 1.4826 times the MAD."""
-    return median_and_mad(df, keys, value, large).select(*keys, "median", (MAD_TO_SIGMA * F.col("mad")).alias("noise"))
+    return median_and_mad(df, keys, value).select(*keys, "median", (MAD_TO_SIGMA * F.col("mad")).alias("noise"))
 
 
-def signal_to_noise(pixels: DataFrame, keys: list[str] | None = None, value: str = "v", large: bool | None = None) -> DataFrame:
+def signal_to_noise(pixels: DataFrame, keys: list[str] | None = None, value: str = "v") -> DataFrame:
     """(keys, noise, weight) of every frame with pixels and noise above 0; weight is for comparing frames."""
     keys = keys or ["frame_id"]
-    return robust_noise(pixels, keys, value, large).where("noise > 0").select(*keys, "noise", snr_weight(F.col("noise")).alias("weight"))
+    return robust_noise(pixels, keys, value).where("noise > 0").select(*keys, "noise", snr_weight(F.col("noise")).alias("weight"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,13 +9,16 @@ from pyspark.sql import functions as F
 
 from ..config import DetectorConfig
 from ..functions.scalars import FWHM_PER_SIGMA, effective_fwhm, fit_shape, gaussian_flux, gaussian_seed, is_finite, measurement_radius
-from ..operators.fit import gaussian_fit
-from ..operators.grid import frames_of, local_maxima, require_single_channel, square_windows, zero_sum_response
-from ..operators.moments import half_flux_radius_about, star_moments
+from ..operators.bands import COLUMNS, WINDOW, band_noise, bands_of_pixels, peaks_with_windows, with_response
+from ..operators.cutouts import CERTIFICATE, fitted, measured
+from ..operators.fit import PARAMETERS
+from ..operators.grid import frames_of, require_single_channel
 from ..operators.peaks import rank_peaks, separate
-from ..operators.stats import robust_noise
+from ..quarantine import Quarantine, set_aside
 from ..spool import as_table, save
 
+#: Columns of a window.
+WINDOW_COLUMNS = tuple(c.split()[0] for c in WINDOW.split(", "))
 #: Of the scale estimate: bright maxima are so many sigma above the median, windows reach so far, a body is above the background by so many sigma and has so many pixels, and its half-flux radius is above.
 BRIGHT_SIGMA, BOOT_RADIUS, BODY_SIGMA, BODY_PIXELS, LEAST_HFR = 10.0, 10, 3.0, 5, 0.3
 
@@ -24,7 +26,7 @@ BRIGHT_SIGMA, BOOT_RADIUS, BODY_SIGMA, BODY_PIXELS, LEAST_HFR = 10.0, 10, 3.0, 5
 class StarDetecting(Protocol):
     """Anything that finds the stars of frames."""
 
-    def detect(self, pixels: DataFrame, frames: DataFrame | None = None) -> DataFrame: ...
+    def detect(self, pixels: DataFrame, frames: DataFrame | None = None, quarantine: Quarantine | None = None) -> DataFrame: ...
 
 
 def with_background(windows: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,41 +73,64 @@ def admissible_shape(fwhm: Column, eccentricity: Column, scale: Column, config:
     return F.coalesce(near & ~F.isnan(eccentricity) & (eccentricity <= config.roundness_limit), F.lit(False))
 
 
-def bright_windows(pixels: DataFrame) -> DataFrame:
-    """Body samples of the bright maxima of raw pixels, which are read several times: frame_id, y, x (the peak), dy, dx, v, background."""
-    pixels = as_table(pixels, "pixels")
-    noise = save(robust_noise(pixels, ["frame_id"], "v").where("noise > 0"), "noise")
-    known = pixels.join(noise, "frame_id")
-    peaks = local_maxima(known, detection_level(F.col("median"), F.col("noise"), BRIGHT_SIGMA)).select("frame_id", "y", "x", "noise")
-    windows = with_background(square_windows(peaks, pixels, BOOT_RADIUS), ["frame_id", "y", "x"])
-    return windows.where(F.col("v") > F.col("background") + BODY_SIGMA * F.col("noise"))
+def as_bands(frames: DataFrame) -> DataFrame:
+    """Bands as they are; dense pixels that are rows as bands, a table."""
+    return frames if "y_end" in frames.columns else save(bands_of_pixels(frames, frames_of(frames)), "bands")
 
 
-def estimate_fwhm(pixels: DataFrame) -> DataFrame:
-    """(frame_id, fwhm): the median of twice the half-flux radius of each frame's bright maxima; frames without any have no row."""
-    body = bright_windows(pixels)
-    keys = ["frame_id", "py", "px"]
-    samples = body.select("frame_id", F.col("y").alias("py"), F.col("x").alias("px"), (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "v", "background")
-    samples = samples.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_n") >= BODY_PIXELS)
-    sizes = star_moments(samples, keys).where(is_finite(F.col("hfr")) & (F.col("hfr") > LEAST_HFR))
+def bright_peaks(bands: DataFrame) -> DataFrame:
+    """The bright maxima of raw bands, a table, with the windows around them and their frame's ``noise``."""
+    noise = save(band_noise(bands).where("noise > 0"), "noise")
+    level = detection_level(F.col("median"), F.col("noise"), BRIGHT_SIGMA)
+    return peaks_with_windows(bands.select(*COLUMNS).join(noise, "frame_id"), level, BOOT_RADIUS)
+
+
+def estimate_fwhm(frames: DataFrame) -> DataFrame:
+    """(frame_id, fwhm): the median of twice the half-flux radius of each frame's bright maxima, of bands or pixels; frames without any have no row."""
+    peaks = bright_peaks(as_table(as_bands(frames), "bands")).withColumn("body", BODY_SIGMA * F.col("noise"))
+    sizes = measured(peaks, "body").where((F.col("body_pixels") >= BODY_PIXELS) & is_finite(F.col("hfr")) & (F.col("hfr") > LEAST_HFR))
     return sizes.groupBy("frame_id").agg(F.median(2 * F.col("hfr")).alias("fwhm"))
 
 
-def scale_of(frames: DataFrame, pixels: DataFrame, config: DetectorConfig) -> DataFrame:
-    """(frame_id, fwhm) of every frame: as configured, else estimated, else 3; at least 1. Only an estimate reads the pixels."""
+def scale_of(bands: DataFrame, config: DetectorConfig) -> DataFrame:
+    """(frame_id, fwhm) of every frame: as configured, else estimated, else 3; at least 1. Only an estimate reads the samples."""
+    frames = bands.where("y = 0").select("frame_id")
     if config.expected_fwhm is not None:
-        return frames.select("frame_id").withColumn("fwhm", effective_fwhm(config.expected_fwhm))
-    found = estimate_fwhm(pixels).withColumnRenamed("fwhm", "_found")
-    return frames.select("frame_id").join(found, "frame_id", "left").select("frame_id", effective_fwhm(F.col("_found")).alias("fwhm"))
+        return frames.withColumn("fwhm", effective_fwhm(config.expected_fwhm))
+    found = estimate_fwhm(bands).withColumnRenamed("fwhm", "_found")
+    return frames.join(found, "frame_id", "left").select("frame_id", effective_fwhm(F.col("_found")).alias("fwhm"))
+
+
+def rim_needed(fwhm: Column) -> Column:
+    """Rows that a band must have beyond its own for the filter, its maxima and the windows at this scale."""
+    return F.greatest(F.ceil(3 * fwhm / FWHM_PER_SIGMA).cast("int") + 1, measurement_radius(fwhm))
+
 
+def with_rims(bands: DataFrame, quarantine: Quarantine | None) -> DataFrame:
+    """``bands`` (with fwhm) of the frames all of whose bands have the rims that their scale needs; the others go to ``quarantine`` or raise."""
+    below = F.size("v") / F.col("width") - F.col("top") - (F.col("y_end") - F.col("y"))
+    need = rim_needed(F.col("fwhm"))
+    short = (F.col("top") < F.least(need, F.col("y"))) | (below < F.least(need, F.col("height") - F.col("y_end")))
+    bad = bands.where(short).select("frame_id").distinct()
+    if not bad.limit(1).count():
+        return bands
+    set_aside(bad, F.lit("its stars need wider rims than its bands have"), "rims", quarantine)
+    return bands.join(bad, "frame_id", "left_anti")
 
-def response_peaks(pixels: DataFrame, threshold_sigma: float, sigma: Column, radius: int, keep: list[str]) -> DataFrame:
-    """Local maxima of the zero-sum response above its median by ``threshold_sigma`` robust sigmas; frames without spread have none."""
-    response = save(zero_sum_response(pixels, radius, sigma), "response")
-    noise = save(robust_noise(response, ["frame_id"], "response").where("noise > 0"), "response-noise")
-    known = response.join(noise, "frame_id")
-    peaks = local_maxima(known, detection_level(F.col("median"), F.col("noise"), threshold_sigma), "response")
-    return peaks.select("frame_id", "y", "x", "v", "response", *keep)
+
+def response_peaks(bands: DataFrame, config: DetectorConfig) -> DataFrame:
+    """Local maxima of the zero-sum response of ``bands`` (with fwhm) above its median by robust sigmas, with windows of the raw samples; frames without spread have none."""
+    response = save(with_response(bands, F.col("fwhm") / FWHM_PER_SIGMA), "response")
+    noise = save(band_noise(response, "response", "response_top").where("noise > 0"), "response-noise")
+    level = detection_level(F.col("median"), F.col("noise"), config.threshold_sigma)
+    return peaks_with_windows(response.join(noise, "frame_id"), level, measurement_radius(F.col("fwhm")), "response", "response_top")
+
+
+def seeds(amplitude: Column) -> dict[str, Column]:
+    """Columns seed_<parameter> to start a fit from, of moments and a background."""
+    sx, sy, theta = gaussian_seed(F.col("mxx"), F.col("myy"), F.col("mxy"))
+    values = (amplitude, F.col("x"), F.col("y"), sx, sy, theta, F.col("background"))
+    return {f"seed_{c}": e for c, e in zip(PARAMETERS, values, strict=True)}
 
 
 class MatchedFilterDetector:
@@ -114,53 +139,42 @@ class MatchedFilterDetector:
     def __init__(self, config: DetectorConfig | None = None):
         self.config = config or DetectorConfig()
 
-    def detect(self, pixels: DataFrame, frames: DataFrame | None = None) -> DataFrame:
-        """Stars of each frame of dense single-channel ``pixels``: frame_id, rank, x, y, flux, hfr, fwhm, eccentricity.
+    def detect(self, pixels: DataFrame, frames: DataFrame | None = None, quarantine: Quarantine | None = None) -> DataFrame:
+        """Stars of each frame of ``pixels`` (bands, or dense single-channel pixels that are rows): frame_id, rank, x, y, flux, hfr, fwhm, eccentricity.
 
-        ``rank`` is the order of falling response among the frame's separated peaks. Scales,
-        response, peaks and their samples are written as tables, each read by what follows, and so
-        is ``pixels`` unless it is a saved table.
+        ``rank`` is the order of falling response among the frame's separated peaks. Frames of more
+        channels, and those whose bands have too narrow rims, go to ``quarantine`` or raise. Scales,
+        response and peaks are written as tables, each read by what follows, and so are the bands
+        unless they are a saved table.
         """
-        config, pixels = self.config, as_table(pixels, "pixels")
-        if frames is None:
-            frames = frames_of(pixels)
-        else:
-            require_single_channel(frames)
-        frames = frames.where("width > 0 and height > 0").select("frame_id", "width", "height")
-        scale = save(scale_of(frames, pixels, config), "scale")
-        widest = config.expected_fwhm if config.expected_fwhm is not None else scale.agg(F.max("fwhm")).first()[0]
-        radius = math.ceil(3 * max(widest or 1.0, 1.0) / FWHM_PER_SIGMA)
-        known = pixels.join(scale.join(frames, "frame_id"), "frame_id")
-        keep = ["fwhm", "width", "height"]
-        peaks = response_peaks(known, config.threshold_sigma, F.col("fwhm") / FWHM_PER_SIGMA, radius, keep)
-        apart = separation(F.col("fwhm"), config.min_separation)
-        return self.measure(save(rank_peaks(separate(peaks, "response", apart), "response"), "peaks"), pixels)
-
-    def measure(self, peaks: DataFrame, pixels: DataFrame) -> DataFrame:
-        """Stars among ``peaks`` (frame_id, y, x, v, fwhm, width, height, rank): margin and saturation, windows, sharpness, moments, fit, shape."""
         config = self.config
-        inside = inside_margin(F.col("y"), F.col("x"), F.col("height"), F.col("width"), config.edge_margin)
-        peaks = peaks.where(inside & unsaturated(F.col("v"), config.saturation_level))
-        peaks = peaks.select("frame_id", "rank", "y", "x", F.col("v").alias("peak"), "fwhm")
-        keys = ["frame_id", "rank"]
-        windows = square_windows(peaks, pixels, measurement_radius(F.col("fwhm")))
-        windows = with_sharpness(with_background(windows, keys), keys).where(sharp_enough(F.col("sharpness"), config.sharpness_low))
-        samples = windows.select(*keys, (F.col("x") + F.col("dx")).cast("double").alias("x"), (F.col("y") + F.col("dy")).cast("double").alias("y"), "v", "background", "peak", F.col("fwhm").alias("scale"))
-        moments = star_moments(samples, keys)
-        lists = samples.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "v")).alias("samples"), *[F.first(c).alias(c) for c in ("background", "peak", "scale")])
-        sx, sy, theta = gaussian_seed(F.col("mxx"), F.col("myy"), F.col("mxy"))
-        seed = F.struct(
-            (F.col("peak") - F.col("background")).alias("amplitude"), F.col("x").alias("x"), F.col("y").alias("y"),
-            sx.alias("sigma_x"), sy.alias("sigma_y"), theta.alias("theta"), F.col("background").alias("background"),
+        if frames is not None:
+            pixels = pixels.join(require_single_channel(frames, quarantine).select("frame_id"), "frame_id", "left_semi")
+        bands = as_table(as_bands(pixels), "bands")
+        scale = save(scale_of(bands, config), "scale")
+        known = with_rims(bands.select(*COLUMNS).join(scale, "frame_id"), quarantine)
+        peaks = save(response_peaks(known, config).withColumnsRenamed({"height_of_peak": "response"}), "peaks")
+        slim = peaks.select("frame_id", F.col("peak_y").alias("y"), F.col("peak_x").alias("x"), "response", "fwhm")
+        apart = separate(slim, "response", separation(F.col("fwhm"), config.min_separation))
+        ranked = save(rank_peaks(apart, "response"), "ranks").select("frame_id", F.col("y").alias("peak_y"), F.col("x").alias("peak_x"), "rank")
+        return self.measure(peaks.join(ranked, ["frame_id", "peak_y", "peak_x"]))
+
+    def measure(self, peaks: DataFrame) -> DataFrame:
+        """Stars among ``peaks`` (with windows, rank, fwhm and the frame's width and height): margin and saturation, sharpness, moments, fit, shape."""
+        return self.certified(peaks).select("frame_id", "rank", "x", "y", "flux", "hfr", "fwhm", "eccentricity")
+
+    def certified(self, peaks: DataFrame) -> DataFrame:
+        """:meth:`measure` with all parameters of the fits and their certificates."""
+        config = self.config
+        inside = inside_margin(F.col("peak_y"), F.col("peak_x"), F.col("height"), F.col("width"), config.edge_margin)
+        some = measured(peaks.where(inside & unsaturated(F.col("peak"), config.saturation_level)))
+        some = some.where(sharp_enough(F.col("sharpness"), config.sharpness_low) & F.col("flux").isNotNull())
+        fits = fitted(some.withColumns(seeds(F.col("peak") - F.col("background"))))
+        fwhm, ecc = fit_shape(F.col("fit_sigma_x"), F.col("fit_sigma_y"))
+        stars = fits.where("fit_x is not null").withColumn("star_fwhm", fwhm).withColumn("star_ecc", ecc)
+        stars = stars.where(admissible_shape(F.col("star_fwhm"), F.col("star_ecc"), F.col("fwhm"), config))
+        flux = gaussian_flux(F.col("fit_amplitude"), F.col("fit_sigma_x"), F.col("fit_sigma_y"))
+        return stars.select(
+            "frame_id", "rank", F.col("fit_x").alias("x"), F.col("fit_y").alias("y"), flux.alias("flux"), F.col("fit_hfr").alias("hfr"), F.col("star_fwhm").alias("fwhm"), F.col("star_ecc").alias("eccentricity"),
+            *WINDOW_COLUMNS, *[f"fit_{c}" for c in PARAMETERS], *CERTIFICATE, "steps",
         )
-        seeded = save(lists.join(moments, keys).withColumn("seed", seed), "seeded")
-        fitted = gaussian_fit(seeded.select(*keys, "samples", "seed"), keys).where("fit is not null")
-        fwhm, ecc = fit_shape(F.col("fit.sigma_x"), F.col("fit.sigma_y"))
-        stars = fitted.join(seeded.select(*keys, "scale", "samples"), keys).withColumn("_fwhm", fwhm).withColumn("_ecc", ecc)
-        stars = save(stars.where(admissible_shape(F.col("_fwhm"), F.col("_ecc"), F.col("scale"), config)), "fitted")
-        # The half-flux radius is about the fitted centre, above the fitted background.
-        each = stars.select(*keys, F.col("fit.x").alias("cx"), F.col("fit.y").alias("cy"), F.col("fit.background").alias("background"), F.inline("samples"))
-        flux = gaussian_flux(F.col("fit.amplitude"), F.col("fit.sigma_x"), F.col("fit.sigma_y"))
-        return stars.join(half_flux_radius_about(each, keys), keys).select(
-            *keys, F.col("fit.x").alias("x"), F.col("fit.y").alias("y"), flux.alias("flux"), "hfr", F.col("_fwhm").alias("fwhm"), F.col("_ecc").alias("eccentricity")
-        )

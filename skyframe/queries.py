@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DetectorConfig
-from .functions.scalars import FWHM_PER_SIGMA, effective_fwhm, fit_shape, gaussian_flux, gaussian_seed, gaussian_value, linear, measurement_radius, reported_hfr, rms
-from .operators.bayer import PATTERNS, bayer_grayscale
+from .functions.scalars import FWHM_PER_SIGMA, effective_fwhm, fit_shape, gaussian_flux, gaussian_seed, gaussian_value, linear, measurement_radius, reported_hfr, rms, snr_weight
+from .operators.bands import band_noise, bands_of_arrays, bands_of_rows, crop_bands, peaks_with_windows, pixels_of, windows_at, with_response
+from .operators.bayer import PATTERNS, bayer_grayscale, known_patterns
+from .operators.cutouts import CERTIFICATE, fitted, measured, with_half_flux_radius
 from .operators.field import star_field
-from .operators.fit import gaussian_fit
-from .operators.grid import crop, frames_of, linear_index, local_maxima, pixels_from_arrays, square_windows, zero_sum_response
-from .operators.moments import half_flux_radius_about, star_moments
+from .operators.fit import PARAMETERS
+from .operators.grid import crop, frames_of, linear_index, local_maxima, pixels_from_arrays, require_single_channel, sound_frames, square_windows
+from .operators.moments import star_moments
 from .operators.peaks import matched, rank_peaks, separate
-from .operators.stats import robust_noise, signal_to_noise
+from .operators.stats import signal_to_noise
 from .ordering import number_in_order, running_sum
-from .plans.detect import MatchedFilterDetector, admissible_shape, detection_level, estimate_fwhm, inside_margin, separation, sharp_enough, unsaturated, with_background, with_sharpness
+from .plans.detect import MatchedFilterDetector, admissible_shape, detection_level, estimate_fwhm, inside_margin, seeds, separation, sharp_enough, unsaturated, with_background, with_sharpness
+from .quarantine import Quarantine
 from .sources.fits import decode_files, detection_pixels, frames_and_errors, linear_pixels
+from .sources.fits_source import read_bands, write_files
 from .sources.synth import fits_file
-from .spool import save
+from .spool import new_path, save
 
 FWHM, SIGMA, RADIUS = 3.0, 3.0 / FWHM_PER_SIGMA, 4
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,12 +39,24 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``embeddings`` as frames: a label is a frame, its vectors in order of vec_id are the rows."""
+def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as frames: a label is a frame, its vectors in order of vec_id are the rows (frame_id, y, v)."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("frame_id"), "vec_id", "embedding")
     rows = rows.withColumn("one", F.lit(1).cast("long")).withColumn("bucket", F.floor(F.col("vec_id") / 4096))
     placed = running_sum(rows, "one", ["frame_id"], "bucket", ["vec_id"], "row")
-    return placed.select("frame_id", F.col("row").cast("int").alias("y"), F.posexplode("embedding").alias("x", "v")).withColumn("v", F.col("v").cast("double"))
+    return placed.select("frame_id", F.col("row").cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames' pixels as rows."""
+    return grid_rows(spark, sf_dir).select("frame_id", "y", F.posexplode("v").alias("x", "v"))
+
+
+def grid_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames as bands of 64 rows or more, so that most have several, with rims of 8."""
+    rows = save(grid_rows(spark, sf_dir), "grid-rows")
+    frames = rows.groupBy("frame_id").agg((F.max("y") + 1).alias("height"), F.max(F.size("v")).alias("width"))
+    return save(bands_of_rows(rows, frames, 8, 80 * 64), "grid-bands")
 
 
 #: Planted frames are square, hold nine stars, and have noise of so many whole levels around 200.
@@ -48,13 +65,13 @@ SIDE, STARS, LEVELS = 64, 9, 17
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A planted star for every row of ``part``, nine to a frame, in cells of 20 pixels: frame_id, x, y, peak."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("k", (F.col("p_partkey") - 1) % STARS)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("k", F.col("p_partkey") % STARS)
     x, y = 12 + 20 * (F.col("k") % 3) + F.col("p_partkey") % 5 - 2, 12 + 20 * F.floor(F.col("k") / 3) + F.col("p_partkey") % 3 - 1
-    return part.select(F.floor((F.col("p_partkey") - 1) / STARS).cast("int").alias("frame_id"), x.cast("int").alias("x"), y.cast("int").alias("y"), (1000 + F.col("p_retailprice")).alias("peak"))
+    return part.select(F.floor(F.col("p_partkey") / STARS).cast("int").alias("frame_id"), x.cast("int").alias("x"), y.cast("int").alias("y"), (1000 + F.col("p_retailprice")).alias("peak"))
 
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames at level 200 with whole-numbered noise and the catalogue's stars of sigma 2; a star adds to the pixels within 12 of it."""
+def planted_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames, each one band, at level 200 with whole-numbered noise and the catalogue's stars of sigma 2; a star adds to the pixels within 12 of it."""
     frames = catalogue(spark, sf_dir).groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", "peak")).alias("stars"))  # nine at most
     frames = frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame_id")  # a row becomes 4096
     y, x = (a.ravel() for a in np.mgrid[:SIDE, :SIDE])
@@ -70,10 +87,25 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
                     near = (abs(dx) <= 12) & (abs(dy) <= 12)
                     light[near] += star["peak"] * np.exp(-(dx * dx + dy * dy)[near] / 8.0)
                 v = 200.0 + mixed(mixed(n)) // 65536 % LEVELS - LEVELS // 2 + light
-                columns = [pa.array(np.full(SIDE * SIDE, frame), pa.int32()), pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(v)]
-                yield pa.RecordBatch.from_arrays(columns, names=["frame_id", "y", "x", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([frame], pa.int32()), pa.array([v], pa.list_(pa.float64()))], names=["frame_id", "values"])
+
+    made = frames.select("frame_id", "stars").mapInArrow(rows, "frame_id int, values array<double>")
+    return bands_of_arrays(made.select("frame_id", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), "values"))
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted frames' pixels as rows."""
+    return pixels_of(planted_bands(spark, sf_dir))
+
+
+def windows_of_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows around the planted stars with background 200."""
+    bands = save(planted_bands(spark, sf_dir), "planted")
+    return windows_at(bands, catalogue(spark, sf_dir).select("frame_id", "y", "x"), 7).withColumn("background", F.lit(200.0))
 
-    return frames.select("frame_id", "stars").mapInArrow(rows, "frame_id int, y int, x int, v double")
+
+def of_star(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select("frame_id", F.col("peak_y").alias("py"), F.col("peak_x").alias("px"), *columns)
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -102,7 +134,8 @@ STAR = ["frame_id", "py", "px"]
 
 @_query
 def frame_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signal_to_noise(grid(spark, sf_dir)), "noise", "weight")
+    scored = band_noise(grid_bands(spark, sf_dir)).where("noise > 0").select("frame_id", "noise", snr_weight(F.col("noise")).alias("weight"))
+    return rounded(scored, "noise", "weight")
 
 
 @_query
@@ -135,15 +168,27 @@ def linear_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def zero_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(zero_sum_response(grid(spark, sf_dir), RADIUS, SIGMA), "response").drop("v")
+    return rounded(pixels_of(with_response(grid_bands(spark, sf_dir), SIGMA), "response", "response_top"), "response")
 
 
 @_query
 def detection_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    noise = robust_noise(zero_sum_response(grid(spark, sf_dir), RADIUS, SIGMA), ["frame_id"], "response")
+    noise = band_noise(save(with_response(grid_bands(spark, sf_dir), SIGMA), "response"), "response", "response_top")
     return noise.where("noise > 0").select("frame_id", F.round(detection_level(F.col("median"), F.col("noise"), 5.0), 6).alias("threshold"))
 
 
+@_query
+def band_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local maxima of the grid's bands with their windows' sharpness and background."""
+    found = measured(peaks_with_windows(grid_bands(spark, sf_dir), F.lit(0.25), 3))
+    return rounded(found.select("frame_id", F.col("peak_y").alias("y"), F.col("peak_x").alias("x"), F.col("peak").alias("v"), "background", "sharpness"), "background", "sharpness")
+
+
+@_query
+def crop_of_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crop_bands(grid_bands(spark, sf_dir), 10, 5, 20, 15)
+
+
 @_query
 def local_maxima_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks(spark, sf_dir)
@@ -191,8 +236,8 @@ def half_flux_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def hfr_about_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The half-flux radius about the planted centres, above the level 200 and, so that some have no flux, above one that rises with the peak."""
-    each = samples(spark, sf_dir).withColumns({"cx": F.col("px"), "cy": F.col("py")}).withColumn("background", F.when(F.col("px") % 2 == 0, 200.0).otherwise(200.0 + F.col("py") * 5))
-    return rounded(half_flux_radius_about(each, STAR), "hfr", digits=5)
+    each = windows_of_stars(spark, sf_dir).withColumn("background", F.when(F.col("peak_x") % 2 == 0, 200.0).otherwise(200.0 + F.col("peak_y") * 5))
+    return rounded(of_star(with_half_flux_radius(each, "peak_x", "peak_y", "background"), "hfr"), "hfr", digits=5)
 
 
 @_query
@@ -284,6 +329,17 @@ def fits_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").mapInArrow(rows, "path string, content binary")
 
 
+def base_name() -> Column:
+    return F.substring_index("frame_id", "/", -1)
+
+
+def fits_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files in a folder, read by the data source."""
+    folder = new_path(spark, "fits")
+    write_files(fits_files(spark, sf_dir), folder)
+    return read_bands(spark, folder)
+
+
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return save(decode_files(fits_files(spark, sf_dir)), "decoded")
 
@@ -318,7 +374,7 @@ def bayer_gray_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def estimate_fwhm_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(estimate_fwhm(planted(spark, sf_dir)), "fwhm", digits=5)
+    return rounded(estimate_fwhm(save(planted_bands(spark, sf_dir), "planted")), "fwhm", digits=5)
 
 
 @_query
@@ -341,28 +397,95 @@ def match_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched(catalogue(spark, sf_dir).drop("peak"), found)
 
 
+def fits_of_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits of the planted stars, started from their moments."""
+    found = measured(windows_of_stars(spark, sf_dir).withColumnRenamed("background", "level"), background_of="level").where("flux is not null")
+    return fitted(found.withColumn("background", F.lit(200.0)).withColumns(seeds(F.lit(1500.0))))
+
+
 @_query
 def gaussian_fit_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = samples(spark, sf_dir)
-    found = star_moments(each, STAR)
-    sx, sy, theta = gaussian_seed(F.col("mxx"), F.col("myy"), F.col("mxy"))
-    seed = F.struct(F.lit(1500.0).alias("amplitude"), F.col("x"), F.col("y"), sx.alias("sigma_x"), sy.alias("sigma_y"), theta.alias("theta"), F.lit(200.0).alias("background"))
-    lists = each.groupBy(*STAR).agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "v")).alias("samples"))
-    fits = gaussian_fit(lists.join(found.withColumn("seed", seed), STAR), STAR).where("fit is not null")
-    return fits.select(*STAR, *[F.round(f"fit.{c}", 3).alias(c) for c in ("amplitude", "x", "y", "background")])
+    fits = fits_of_stars(spark, sf_dir).where("fit_x is not null")
+    return of_star(fits, *[F.round(f"fit_{c}", 3).alias(c) for c in ("amplitude", "x", "y", "background")])
+
+
+def residuals(fits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, cost, slope): from the windows and the parameters alone, in Spark's own expressions, the squared residuals and the largest of their derivatives by a parameter, as the cosine between residuals and model derivative."""
+    each = fits.select(*keys, "w_y", "w_x", "w_cols", F.struct(*[F.col(f"fit_{c}").alias(c) for c in PARAMETERS]).alias("fit"), F.posexplode("samples").alias("i", "v"))
+    x, y = F.col("w_x") + F.col("i") % F.col("w_cols"), F.col("w_y") + F.expr("i div w_cols")
+    fit = F.col("fit")
+    dx, dy, c, s = x - fit["x"], y - fit["y"], F.cos(fit["theta"]), F.sin(fit["theta"])
+    u, t = dx * c + dy * s, dy * c - dx * s
+    sx, sy = fit["sigma_x"], fit["sigma_y"]
+    e = F.exp(-(u * u / (sx * sx) + t * t / (sy * sy)) / 2)
+    ae = fit["amplitude"] * e
+    du, dt = ae * u / (sx * sx), ae * t / (sy * sy)
+    slopes = (e, du * c - dt * s, du * s + dt * c, du * u / sx, dt * t / sy, dt * u - du * t, F.lit(1.0))
+    off = F.col("v") - gaussian_value(fit, x, y)
+    sums = each.groupBy(*keys).agg(F.sum(off * off).alias("cost"), *[F.sum(off * d).alias(f"d{k}") for k, d in enumerate(slopes)], *[F.sum(d * d).alias(f"n{k}") for k, d in enumerate(slopes)])
+    cosines = [F.abs(F.col(f"d{k}")) / F.sqrt(F.col("cost") * F.col(f"n{k}")) for k in range(7)]
+    return sums.select(*keys, "cost", F.greatest(*cosines).alias("slope"))
+
+
+@_query
+def gaussian_fit_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every planted star, whether its fit is a minimum (no slope of the squared residuals left, as Spark finds again from samples and parameters; curvature in every direction) and where it is, rounded."""
+    fits = save(of_star(fits_of_stars(spark, sf_dir), "w_y", "w_x", "w_cols", "samples", *[f"fit_{c}" for c in PARAMETERS], *CERTIFICATE).withColumnsRenamed({c: f"fit_{c}" for c in CERTIFICATE}), "fits")
+    found = fits.join(residuals(fits.where("fit_x is not null"), STAR), STAR, "left")
+    minimum = (F.col("slope") < 1e-3) & (F.col("fit_slope") < 1e-3) & (F.abs(F.col("cost") - F.col("fit_cost")) <= 1e-6 * F.col("cost")) & (F.col("fit_curvature") > 1e-4)
+    return found.select(*STAR, F.coalesce(minimum, F.lit(False)).alias("is_minimum"), F.round("fit_x").cast("int").alias("x"), F.round("fit_y").cast("int").alias("y"))
 
 
 @_query
 def detect_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = MatchedFilterDetector(DetectorConfig()).detect(save(planted(spark, sf_dir), "planted"))
+    found = MatchedFilterDetector(DetectorConfig()).detect(save(planted_bands(spark, sf_dir), "planted"))
     return rounded(found, "x", "y", "flux", "hfr", "fwhm", "eccentricity", digits=3)
 
 
+@_query
+def detected_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detected star where it is, rounded, and whether size, shape and flux are those that were planted; the SQL has the catalogue."""
+    found = MatchedFilterDetector(DetectorConfig()).detect(save(planted_bands(spark, sf_dir), "planted"))
+    at = found.select("frame_id", F.round("x").cast("int").alias("x"), F.round("y").cast("int").alias("y"), "flux", "fwhm", "eccentricity")
+    stars = at.join(catalogue(spark, sf_dir), ["frame_id", "x", "y"], "left")
+    near = lambda c, value, part: F.abs(F.col(c) / value - 1) < part
+    good = near("fwhm", 2 * FWHM_PER_SIGMA, 0.15) & (F.col("eccentricity") < 0.5) & near("flux", 8 * math.pi * F.col("peak"), 0.15)
+    return stars.select("frame_id", "x", "y", F.coalesce(good, F.lit(False)).alias("as_planted"))
+
+
 @_query
 def detected_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = save(planted(spark, sf_dir), "planted")
-    found = MatchedFilterDetector(DetectorConfig(expected_fwhm=4.7)).detect(pixels)
-    return rounded(star_field(frames_of(pixels), found), "median_fwhm", "median_hfr", "median_eccentricity", digits=3)
+    bands = save(planted_bands(spark, sf_dir), "planted")
+    found = MatchedFilterDetector(DetectorConfig(expected_fwhm=4.7)).detect(bands)
+    return rounded(star_field(bands, found), "median_fwhm", "median_hfr", "median_eccentricity", digits=3)
+
+
+@_query
+def fits_source_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of :func:`fits_files`, written as files and read as bands."""
+    bands = fits_bands(spark, sf_dir).where("message is null")
+    return rounded(pixels_of(bands).withColumn("frame_id", base_name()), "v")
+
+
+@_query
+def fits_source_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(crop_bands(fits_bands(spark, sf_dir).where("message is null"), 2, 3, 4, 2).withColumn("frame_id", base_name()), "v")
+
+
+@_query
+def quarantined_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that four stages set aside: files, buffers, channels and mosaics, each with faults of its own; the other frames' noise is still measured."""
+    quarantine = Quarantine()
+    quarantine.add("decode", fits_bands(spark, sf_dir).where("message is not null").select(base_name().alias("frame_id"), "message"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    n = F.col("vec_id")
+    pattern = F.when(n % 5 == 4, "GBRG").when(n % 5 < 2, F.get(F.array(*map(F.lit, PATTERNS)), (n % 4).cast("int")))
+    frames = rows.select(n.alias("frame_id"), F.when(n % 7 == 3, 9).when(n % 7 == 4, 0).otherwise(8).alias("width"), F.lit(8).alias("height"), F.when(n % 11 == 5, 3).otherwise(1).alias("channels"), pattern.alias("bayerpat"), F.when(n % 17 != 2, F.col("embedding")).alias("values"))
+    single = require_single_channel(frames, quarantine).drop("channels")
+    sound = known_patterns(sound_frames(single, quarantine), quarantine)
+    kept = band_noise(bands_of_arrays(sound.select("frame_id", "width", "height", "values")))
+    told = kept.select(F.col("frame_id").cast("string").alias("frame_id"), F.lit("measured").alias("stage"), F.lit("").alias("message"))
+    return quarantine.rows(spark).unionByName(told)
 
 
 _GRID = """grid AS (
@@ -372,8 +495,8 @@ _GRID = """grid AS (
 _SNR = """med AS (SELECT {key}, median(v) AS m FROM {of} GROUP BY {key}),
 mad AS (SELECT {key}, 1.4826 * median(abs(v - m)) AS noise FROM {of} JOIN med USING ({key}) GROUP BY {key})"""
 _PLANTED = f"""cat AS (
-  SELECT ((p_partkey - 1) // {STARS})::INTEGER AS frame_id, (12 + 20 * ((p_partkey - 1) % {STARS} % 3) + p_partkey % 5 - 2)::INTEGER AS x,
-         (12 + 20 * ((p_partkey - 1) % {STARS} // 3) + p_partkey % 3 - 1)::INTEGER AS y, 1000 + p_retailprice AS peak
+  SELECT (p_partkey // {STARS})::INTEGER AS frame_id, (12 + 20 * (p_partkey % {STARS} % 3) + p_partkey % 5 - 2)::INTEGER AS x,
+         (12 + 20 * (p_partkey % {STARS} // 3) + p_partkey % 3 - 1)::INTEGER AS y, 1000 + p_retailprice AS peak
   FROM part
 ), dark AS (
   SELECT frame_id, (i // {SIDE})::INTEGER AS y, (i % {SIDE})::INTEGER AS x, frame_id::BIGINT * {SIDE * SIDE} + i AS n
@@ -443,6 +566,18 @@ _sql("zero_sum", "SELECT frame_id, y, x, round(v, 6) AS response FROM resp", _GR
 _sql("detection_threshold", "SELECT frame_id, round(m + 5 * noise, 6) AS threshold FROM mad JOIN med USING (frame_id) WHERE noise > 0", _GRID, _RESPONSE, _SNR.format(key="frame_id", of="resp"))
 _sql("local_maxima_grid", "SELECT * FROM peaks", _GRID, _grid_peaks)
 _sql("separate_peaks", "SELECT frame_id, y, x, v, row_number() OVER (PARTITION BY frame_id ORDER BY v DESC, y, x)::INTEGER AS rank FROM kept", _GRID, _grid_peaks, _KEPT.format(d2=9))
+_sql("crop_of_bands", "SELECT frame_id, y - 5 AS y, x - 10 AS x, v FROM grid WHERE x BETWEEN 10 AND 29 AND y BETWEEN 5 AND 19", _GRID)
+_sql(
+    "band_maxima",
+    """SELECT frame_id, y, x, v, round(background, 6) AS background, round(CASE WHEN c > 0 AND n IS NOT NULL THEN n / c ELSE 0 END, 6) AS sharpness FROM (
+  SELECT frame_id, y, x, max(pv) AS v, any_value(background) AS background, avg(v - background) FILTER (greatest(abs(dy), abs(dx)) = 1) AS n, max(v - background) FILTER (dy = 0 AND dx = 0) AS c
+  FROM win JOIN bg USING (frame_id, y, x) GROUP BY ALL)""",
+    _GRID, _grid_peaks,
+    """win AS (SELECT k.frame_id, k.y, k.x, k.v AS pv, g.y - k.y AS dy, g.x - k.x AS dx, g.v FROM peaks k JOIN grid g ON g.frame_id = k.frame_id AND abs(g.y - k.y) <= 3 AND abs(g.x - k.x) <= 3),
+bg AS (SELECT frame_id, y, x, median(v) AS background FROM win GROUP BY ALL)""",
+)
+_sql("gaussian_fit_certified", "SELECT frame_id, y AS py, x AS px, true AS is_minimum, x, y FROM cat", _PLANTED)
+_sql("detected_planted", "SELECT frame_id, x, y, true AS as_planted FROM cat", _PLANTED)
 _sql("edge_saturation_filter", "SELECT p.* FROM peaks p JOIN (SELECT frame_id, max(x) AS mx, max(y) AS my FROM grid GROUP BY 1) USING (frame_id) WHERE x BETWEEN 4 AND mx - 4 AND y BETWEEN 4 AND my - 4 AND v < 0.4", _GRID, _grid_peaks)
 _sql("peak_window_samples", "SELECT * FROM win", *_keep8)
 _sql("local_background", "SELECT * FROM bg", *_keep8)
@@ -549,6 +684,18 @@ p AS (
   FROM good, range(64) t(i)
 )"""
 _sql("fits_pixels", "SELECT frame_id, y, x, round(v, 6) AS v FROM p", _FITS)
+_sql("fits_source_pixels", "SELECT frame_id, y, x, round(v, 6) AS v FROM p", _FITS)
+_sql("fits_source_crop", "SELECT frame_id, y - 3 AS y, x - 2 AS x, round(v, 6) AS v FROM p WHERE x BETWEEN 2 AND 5 AND y BETWEEN 3 AND 4", _FITS)
+_sql(
+    "quarantined_frames",
+    """SELECT frame_id, 'decode' AS stage, CASE fault WHEN 1 THEN 'image data is shorter than its geometry' WHEN 2 THEN 'missing or unsupported BITPIX' WHEN 3 THEN 'missing or empty image geometry'
+  WHEN 4 THEN 'FITS file contains no image data' ELSE 'unsupported Bayer pattern: GBRG' END AS message FROM f WHERE fault IN (1, 2, 3, 4, 5)
+UNION ALL SELECT vec_id::VARCHAR, 'channels', 'a single-channel frame is needed, not 3 channels' FROM embeddings WHERE vec_id % 11 = 5
+UNION ALL SELECT vec_id::VARCHAR, 'buffer', 'pixel count does not match the geometry' FROM embeddings WHERE vec_id % 11 != 5 AND (vec_id % 7 IN (3, 4) OR vec_id % 17 = 2)
+UNION ALL SELECT vec_id::VARCHAR, 'mosaic', 'unsupported Bayer pattern: GBRG' FROM embeddings WHERE vec_id % 11 != 5 AND vec_id % 7 NOT IN (3, 4) AND vec_id % 17 != 2 AND vec_id % 5 = 4
+UNION ALL SELECT vec_id::VARCHAR, 'measured', '' FROM embeddings WHERE vec_id % 11 != 5 AND vec_id % 7 NOT IN (3, 4) AND vec_id % 17 != 2 AND vec_id % 5 != 4""",
+    _FITS,
+)
 _sql("fits_frames", "SELECT frame_id, 8 AS width, 8 AS height, 1 AS channels, false AS is_normalized, coalesce(pattern, 'none') AS bayerpat FROM good", _FITS)
 _sql(
     "fits_errors",

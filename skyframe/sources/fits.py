@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -15,19 +17,20 @@ from ..operators.bayer import PATTERNS, bayer_grayscale
 #: Fixed values of the format: block and card sizes, and the sample formats by BITPIX.
 BLOCK, CARD = 2880, 80
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[EDed][+-]?[0-9]+)?")
+#: No file is longer, and no header has more axes, whatever its numbers say.
+MOST, MOST_AXES = 2**40, 999
 FORMATS = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 
 DECODED = "frame_id string, width int, height int, bayerpat string, message string, rows array<struct<y:int,v:array<double>>>"
 
 
-def parse_header(block: bytes) -> tuple[dict[str, str], int]:
-    """Keyword values as written (strings keep their quotes) and the length of a header that starts a block, 0 if it has no END."""
-    header: dict[str, str] = {}
+def parse_cards(block: bytes, header: dict[str, str]) -> bool:
+    """Add the keyword values of a header block as written (strings keep their quotes); whether the header ends in it."""
     for at in range(0, len(block) - CARD + 1, CARD):
         card = block[at : at + CARD].decode("latin-1")
         key, value = card[:8].strip(), card[8:]
         if key == "END":
-            return header, -(-(at + CARD) // BLOCK) * BLOCK
+            return True
         if value.startswith("= "):
             text = value[2:].strip()
             if text.startswith("'"):
@@ -36,7 +39,7 @@ def parse_header(block: bytes) -> tuple[dict[str, str], int]:
             else:
                 text = text.split("/", 1)[0].strip()
             header.setdefault(key, text)
-    return header, 0
+    return False
 
 
 def number(header: dict[str, str], key: str) -> float | None:
@@ -46,52 +49,76 @@ def number(header: dict[str, str], key: str) -> float | None:
 
 
 def _whole(header: dict[str, str], key: str, missing: int = 0) -> int:
+    """A keyword value as a whole number, ``missing`` where it is none; nothing in a file is longer than MOST."""
     value = number(header, key)
-    return int(value) if value is not None else missing
+    return int(max(-MOST, min(MOST, value))) if value is not None else missing
 
 
-def image_unit(content: bytes) -> tuple[dict[str, str], bytes] | None:
-    """Header and data of the first unit that has data."""
+@dataclass(frozen=True)
+class Image:
+    """A file's image: its size, where its samples begin, and how they become linear values."""
+
+    width: int
+    height: int
+    bitpix: int
+    zero: float
+    scale: float
+    pattern: str | None
+    offset: int
+
+    @property
+    def row_bytes(self) -> int:
+        return self.width * abs(self.bitpix) // 8
+
+    def linear(self, data: bytes) -> np.ndarray:
+        """Linear values of whole rows of samples, row after row."""
+        return self.zero + self.scale * np.frombuffer(data, FORMATS[self.bitpix]).astype("f8")
+
+
+def find_image(read: Callable[[int, int], bytes], size: int) -> Image:
+    """The image of a file of ``size`` bytes, of which ``read(offset, length)`` gets header blocks only; ValueError says what is wrong with it."""
     at = 0
-    while at < len(content):
-        header, size = parse_header(content[at:])
-        if not size:
-            return None
-        axes = [_whole(header, f"NAXIS{k}") for k in range(1, _whole(header, "NAXIS") + 1)]
-        samples = int(np.prod([max(0, a) for a in axes], dtype="i8")) if axes else 0
+    while at < size:
+        header: dict[str, str] = {}
+        while True:
+            block = read(at, min(BLOCK, size - at))
+            at += BLOCK
+            if parse_cards(block, header):
+                break
+            if len(block) < BLOCK or at >= size:
+                raise ValueError("FITS file contains no image data")
+        axes = [_whole(header, f"NAXIS{k}") for k in range(1, min(_whole(header, "NAXIS"), MOST_AXES) + 1)]
+        samples = prod(max(0, a) for a in axes) if axes else 0
         length = abs(_whole(header, "BITPIX", 8)) // 8 * (samples + _whole(header, "PCOUNT")) * max(1, _whole(header, "GCOUNT", 1))
-        data = content[at + size : at + size + -(-length // BLOCK) * BLOCK]
         # A unit with axes that are no size is still the image: its geometry is then the error.
-        if data or (axes and at + size < len(content)):
-            return header, data or content[at + size :]
-        at += size + len(data)
-    return None
+        if at < size and (length > 0 or axes):
+            return _image(header, at, min(size - at, -(-length // BLOCK) * BLOCK if length > 0 else size))
+    raise ValueError("FITS file contains no image data")
 
 
-def decode(content: bytes) -> tuple[int, int, str | None, np.ndarray]:
-    """Width, height, mosaic and linear samples of a file's image, one plane; ValueError says what is wrong with it."""
-    unit = image_unit(content)
-    if unit is None:
-        raise ValueError("FITS file contains no image data")
-    header, data = unit
+def _image(header: dict[str, str], offset: int, available: int) -> Image:
     bitpix = number(header, "BITPIX")
     if bitpix not in FORMATS:
         raise ValueError("missing or unsupported BITPIX")
-    width, height = number(header, "NAXIS1") or 0, number(header, "NAXIS2") or 0
-    if width <= 0 or height <= 0:
+    width, height = number(header, "NAXIS1") or 0.0, number(header, "NAXIS2") or 0.0
+    if not (0 < width <= MOST and 0 < height <= MOST):
         raise ValueError("missing or empty image geometry")
-    width, height, kind = int(width), int(height), np.dtype(FORMATS[int(bitpix)])
-    size = width * height * kind.itemsize
-    if len(data) < size:
+    if available < int(width) * int(height) * abs(int(bitpix)) // 8:
         raise ValueError("image data is shorter than its geometry")
-    stored = np.frombuffer(data, kind, width * height).astype("f8")
     zero, scale = number(header, "BZERO") or 0.0, number(header, "BSCALE")
-    values = zero + (1.0 if scale is None else scale) * stored
     pattern = header.get("BAYERPAT", "")
     pattern = pattern[1:-1].rstrip() if pattern.startswith("'") else None
     if pattern is not None and pattern not in PATTERNS:
         raise ValueError(f"unsupported Bayer pattern: {pattern}")
-    return width, height, pattern, values.reshape(height, width)
+    return Image(int(width), int(height), int(bitpix), zero, 1.0 if scale is None else scale, pattern, offset)
+
+
+def decode(content: bytes | None) -> tuple[int, int, str | None, np.ndarray]:
+    """Width, height, mosaic and linear samples of a file's image, one plane; ValueError says what is wrong with it."""
+    view = memoryview(content or b"")
+    image = find_image(lambda at, n: bytes(view[at : at + n]), len(view))
+    data = view[image.offset : image.offset + image.height * image.row_bytes]
+    return image.width, image.height, image.pattern, image.linear(data).reshape(image.height, image.width)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,3 +78,90 @@ def test_stream_scores_arriving_frames(spark, folder, tmp_path):
     score_frames(spark, folder, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {short(r.frame_id) for r in rows} == {"bits8", "bits16", "bits32", "bits64", "bits-32", "bits-64", "unsigned", "second", "scaled"}
+
+
+def bands_of(spark, folder, **options):
+    from skyframe.sources.fits_source import read_bands
+
+    return read_bands(spark, folder, **options)
+
+
+def test_source_reads_what_the_decoder_does(spark, folder, decoded):
+    from skyframe.operators.bands import pixels_of
+
+    bands = bands_of(spark, folder)
+    want = {(short(r.frame_id), r.y, r.x): r.v for r in linear_pixels(decoded).collect()}
+    assert {(short(r.frame_id), r.y, r.x): r.v for r in pixels_of(bands.where("message is null")).collect()} == want
+    errors = {short(r.frame_id): r.message for r in bands.where("message is not null").collect()}
+    assert errors == {short(r.frame_id): r.message for r in frames_and_errors(decoded)[1].collect()}
+    # Narrow bands of one row with rims of one have every pixel once, too.
+    narrow = bands_of(spark, folder + "/*bits*.fits", rim=1, band_pixels=1).where("message is null")
+    assert narrow.count() == 18 and {(short(r.frame_id), r.y, r.x): r.v for r in pixels_of(narrow).collect()} == {k: v for k, v in want.items() if "bits" in k[0]}
+    assert bands_of(spark, folder + "/none*").count() == 0
+
+
+def test_a_crop_reads_its_bands_only(spark, tmp_path):
+    from pyspark.sql import datasource as ds
+
+    from skyframe.operators.bands import crop_bands
+    from skyframe.sources.fits_source import FitsReader
+
+    v = np.arange(1000 * 50).reshape(1000, 50)
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.fits").write_bytes(fits(v, 32))
+    bands = bands_of(spark, str(tmp_path), rim=2, band_pixels=50 * 104)
+    got = crop_bands(bands, 3, 410, 5, 70)
+    assert {(r.y, r.x): r.v for r in got.where("frame_id like '%one.fits'").collect()} == {(y, x): v[y + 410, x + 3] for y in range(70) for x in range(5)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "fits" in plan.lower()
+    # What the reader plans for such filters: bytes of one band of each file, of one file where it is named.
+    options = {"path": str(tmp_path), "rim": "2", "bandpixels": str(50 * 104)}
+    size = lambda r: sum((b.span[1] - b.span[0]) * b.image.row_bytes for p in r.partitions() for b in p.bands)
+    whole, some, named = (FitsReader(options) for _ in range(3))
+    assert size(whole) > 2 * v.size * 4
+    left = list(some.pushFilters([ds.LessThan(("y",), 480), ds.GreaterThan(("y_end",), 410), ds.IsNotNull(("v",))]))
+    assert [type(f) for f in left] == [ds.IsNotNull] and size(some) == 2 * 104 * 200
+    assert not list(named.pushFilters([ds.In(("frame_id",), (f"{tmp_path}/two.fits",)), ds.EqualTo(("y",), 0)])) and size(named) == 102 * 200
+
+
+def test_a_sparse_file_above_two_gigabytes_goes_through_many_tasks(spark, tmp_path):
+    from skyframe.sources.fits_source import TASK_PIXELS, FitsReader
+
+    width, height = 40_000, 30_000
+    head = header(SIMPLE="T", BITPIX=16, NAXIS=2, NAXIS1=width, NAXIS2=height)
+    with open(tmp_path / "large.fits", "wb") as f:
+        f.write(head)
+        f.seek(len(head) + 2 * width * 29_999 + 6)
+        f.write(np.array([77], ">i2").tobytes())
+        f.truncate(len(head) + -(-2 * width * height // 2880) * 2880)
+    reader = FitsReader({"path": str(tmp_path), "rim": "8"})
+    parts = reader.partitions()
+    assert len(parts) > 250 and max(b.pixels for p in parts for b in p.bands) <= TASK_PIXELS
+    last = bands_of(spark, str(tmp_path), rim=8).where("y_end = 30000")
+    (row,) = last.select("frame_id", "y", "top", "width", "v").collect()
+    assert row.v[(29_999 - row.y + row.top) * width + 3] == 77 and sum(row.v) == 77
+
+
+def test_headers_of_any_kind_are_rows(spark, tmp_path):
+    bad = {
+        "inf": fits(RAMP).replace(b"NAXIS1  =                    4", b"NAXIS1  =                1E400"), "bits": fits(RAMP).replace(b"BITPIX  =                   16", b"BITPIX  =                1E400"),
+        "axes": fits(RAMP).replace(b"NAXIS   =                    2", b"NAXIS   =          99999999999"), "none": b"", "huge": fits(RAMP).replace(b"NAXIS2  =                    3", b"NAXIS2  =  9999999999999999999"),
+        "negative": fits(RAMP).replace(b"NAXIS1  =                    4", b"NAXIS1  =                   -4"), "count": fits(RAMP, PCOUNT="-1E300"),
+    }
+    for name, content in bad.items():
+        (tmp_path / f"{name}.fits").write_bytes(content)
+    (tmp_path / "good.fits").write_bytes(fits(RAMP))
+    bands = bands_of(spark, str(tmp_path)).collect()
+    assert {short(r.frame_id) for r in bands if r.message} == set(bad) - {"axes", "count"} and len(bands) == len(bad) + 1
+    files = spark.createDataFrame([("x/null.fits", None), ("x/good.fits", bytearray(fits(RAMP)))], "path string, content binary")
+    frames, errors = frames_and_errors(decode_files(files))
+    assert frames.count() == 1 and [r.message for r in errors.collect()] == ["FITS file contains no image data"]
+
+
+def test_files_are_written_whole_and_once(spark, tmp_path):
+    from skyframe.sources.fits_source import write_files
+
+    df = spark.createDataFrame([("a.fits", bytearray(fits(RAMP))), ("b.fits", None), ("a.fits", bytearray(fits(RAMP)))], "path string, content binary")
+    write_files(df, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")) == ["a.fits", "b.fits"]
+    assert (tmp_path / "out" / "a.fits").read_bytes() == fits(RAMP)

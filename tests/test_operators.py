@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from skyframe.errors import FrameError
 from skyframe.functions.scalars import effective_fwhm, gaussian_value, measurement_radius, moment_eccentricity, reported_hfr, rms, snr_weight
+from skyframe.operators.bands import zero_sum_response
 from skyframe.operators.bayer import bayer_grayscale, demosaic
 from skyframe.operators.field import star_field
 from skyframe.operators.fit import gaussian_fit
-from skyframe.operators.grid import crop, local_maxima, pixels_from_arrays, square_windows, zero_sum_response
+from skyframe.operators.grid import crop, frames_of, local_maxima, pixels_from_arrays, square_windows
 from skyframe.operators.moments import star_moments
 from skyframe.operators.peaks import matched, separate
 from skyframe.operators.stats import exact_median, signal_to_noise
@@ -37,12 +38,11 @@ def test_noise_generator():
 @pytest.mark.parametrize("values,expected", [(range(7), 2.9652), ([5] * 5, None), ([], None), ([1, float("nan"), 2, 3], 1.4826)])
 def test_signal_to_noise(spark, values, expected):
     df = spark.createDataFrame([("a", 0, i, float(v)) for i, v in enumerate(values)], PIXELS)
-    for large in (True, False):
-        rows = signal_to_noise(df, large=large).collect()
-        if expected is None:
-            assert rows == []
-        else:
-            assert math.isclose(rows[0].noise, expected, rel_tol=1e-9) and math.isclose(rows[0].weight, expected**-2, rel_tol=1e-9)
+    rows = signal_to_noise(df).collect()
+    if expected is None:
+        assert rows == []
+    else:
+        assert math.isclose(rows[0].noise, expected, rel_tol=1e-9) and math.isclose(rows[0].weight, expected**-2, rel_tol=1e-9)
 
 
 def test_weight(spark):
@@ -116,7 +116,7 @@ def test_separation_along_a_chain(spark):
 def test_zero_sum_vanishes_on_flats_and_ramps(spark):
     y, x = np.mgrid[0:20, 0:24]
     df = grid(spark, "flat", np.full((20, 24), 9)).union(grid(spark, "ramp", 6 * x + 4 * y))
-    rows = zero_sum_response(df, 4, 1.27).where("frame_id = 'flat' or (x between 4 and 19 and y between 4 and 15)").agg(F.max(F.abs("response"))).first()
+    rows = zero_sum_response(df, frames_of(df), 1.27).where("frame_id = 'flat' or (x between 4 and 19 and y between 4 and 15)").agg(F.max(F.abs("response"))).first()
     assert rows[0] < 1e-9
 
 
