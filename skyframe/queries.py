@@ -12,23 +12,28 @@ from pyspark.sql import functions as F
 
 from .config import DetectorConfig
 from .functions.scalars import FWHM_PER_SIGMA, effective_fwhm, fit_shape, gaussian_flux, gaussian_seed, gaussian_value, linear, measurement_radius, reported_hfr, rms, snr_weight
-from .operators.bands import band_noise, bands_of_arrays, bands_of_rows, crop_bands, peaks_with_windows, pixels_of, windows_at, with_response
+from .operators.bands import band_noise, bands_of_arrays, bands_of_rows, crop_bands, map_bands, peaks_with_windows, pixels_of, windows_at, with_response
 from .operators.bayer import PATTERNS, bayer_grayscale, known_patterns
 from .operators.cutouts import CERTIFICATE, fitted, measured, with_half_flux_radius
 from .operators.field import star_field
 from .operators.fit import PARAMETERS
 from .operators.grid import crop, frames_of, linear_index, local_maxima, pixels_from_arrays, require_single_channel, sound_frames, square_windows
 from .operators.moments import star_moments
+from .operators.mosaic import ACROSS, BESIDE, GREEN, grey_bands
 from .operators.peaks import matched, rank_peaks, separate
+from .operators.segments import bodies
 from .operators.stats import signal_to_noise
 from .ordering import number_in_order, running_sum
 from .plans.detect import MatchedFilterDetector, admissible_shape, detection_level, estimate_fwhm, inside_margin, seeds, separation, sharp_enough, unsaturated, with_background, with_sharpness
+from .plans.segment import SegmentConfig, SegmentDetector
 from .quarantine import Quarantine
 from .sources.fits import decode_files, detection_pixels, frames_and_errors, linear_pixels
 from .sources.fits_source import read_bands, write_files
-from .sources.synth import fits_file
+from .sources.synth import ADD, FACTOR, fits_file, noise
 from .spool import new_path, save
 
+#: Mosaics whose greens lie on a diagonal.
+DIAGONAL = tuple(p for p in PATTERNS if p != "RGBG")
 FWHM, SIGMA, RADIUS = 3.0, 3.0 / FWHM_PER_SIGMA, 4
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -382,6 +387,37 @@ def bayer_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bayer_grayscale(grid(spark, sf_dir), "RGGB"), "v")
 
 
+@_query
+def gradient_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient-corrected grey of mosaics of three patterns, in bands."""
+    pattern = F.get(F.array(*map(F.lit, DIAGONAL)), F.col("frame_id") % 3)
+    return rounded(pixels_of(grey_bands(grid_bands(spark, sf_dir).withColumn("bayerpat", pattern), "gradient")), "v")
+
+
+@_query
+def connected_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected bodies of the grid above 0.2, over the borders of its bands, weighed above 0.1."""
+    found = bodies(grid_bands(spark, sf_dir), F.lit(0.2), F.lit(0.1))
+    return rounded(found.select("frame_id", "area", "flux", "x", "y", "peak_y", "peak_x"), "flux", "x", "y")
+
+
+@_query
+def segmented_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stars of the planted frames found by the other strategy, where they are, rounded; the SQL has the catalogue."""
+    found = SegmentDetector(SegmentConfig()).detect(save(planted_bands(spark, sf_dir), "planted"))
+    return found.select("frame_id", F.round("x").cast("int").alias("x"), F.round("y").cast("int").alias("y"))
+
+
+@_query
+def seeded_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw of the generator for every line item, those of a part being one frame's: the part is the seed, and each task jumps to its own draws."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_partkey").agg(F.count("*").cast("int").alias("height"))
+    frames = items.select(F.col("l_partkey").alias("frame_id"), F.lit(1).alias("width"), "height", F.array_repeat(F.lit(0.0), F.col("height")).alias("values"))
+    dark = bands_of_arrays(frames, 0, 16)
+    lit = map_bands(dark.withColumn("seed", F.col("frame_id")), "draws array<double>", lambda band, v: {"draws": noise(band["seed"], v.size, band["y"] * band["width"])})
+    return pixels_of(lit, "draws").select("frame_id", F.col("y").alias("i"), F.round("draws", 9).alias("draw"))
+
+
 @_query
 def star_field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items stand in for stars; frames without any still count."""
@@ -716,3 +752,39 @@ JOIN {of} q ON q.frame_id = p.frame_id AND q.y = p.y + k.dy AND q.x = p.x + k.dx
 
 _sql("fits_detection_pixels", f"SELECT frame_id, y, x, round(v, 6) AS v FROM p WHERE pattern IS NULL UNION ALL {_grey('m')}", _FITS, "m AS (SELECT * FROM p WHERE pattern IS NOT NULL)")
 _sql("bayer_gray_patterns", _grey("m"), _GRID, f"m AS (SELECT *, ['{"', '".join(PATTERNS)}'][frame_id % 4 + 1] AS pattern FROM grid)")
+
+
+def _kernel(name: str, weights: np.ndarray) -> str:
+    return ", ".join(f"({name}, {a - 2}, {b - 2}, {weights[a, b]}::DOUBLE)" for a, b in zip(*np.nonzero(weights), strict=True))
+
+
+_sql(
+    "gradient_gray",
+    """SELECT t.frame_id, t.y, t.x, round((any_value(t.v) + sum(w * q.v)) / 3, 6) AS v FROM t JOIN grid q ON q.frame_id = t.frame_id AND q.y = t.y2 AND q.x = t.x2 GROUP BY t.frame_id, t.y, t.x""",
+    _GRID,
+    f"""l AS (SELECT *, substr(['{"', '".join(DIAGONAL)}'][frame_id % 3 + 1], (1 + 2 * (y % 2) + x % 2)::INTEGER, 1) = 'G' AS is_green FROM grid),
+t AS (
+  SELECT p.frame_id, p.y, p.x, p.v, w, my - abs(my - abs(p.y + dy)) AS y2, mx - abs(mx - abs(p.x + dx)) AS x2
+  FROM l p JOIN (SELECT frame_id, max(x) AS mx, max(y) AS my FROM grid GROUP BY frame_id) USING (frame_id)
+  JOIN (VALUES {_kernel("false", GREEN)}, {_kernel("false", ACROSS)}, {_kernel("true", BESIDE)}, {_kernel("true", BESIDE.T)}) k(at_green, dy, dx, w) ON at_green = is_green
+)""",
+)
+_sql(
+    "connected_bodies",
+    """SELECT frame_id, count(*) AS area, round(sum(w), 6) AS flux, round(sum(w * x) / sum(w), 6) AS x, round(sum(w * y) / sum(w), 6) AS y,
+  arg_min(y, (-v, y, x)) AS peak_y, arg_min(x, (-v, y, x)) AS peak_x
+FROM (SELECT b.*, b.v - 0.1 AS w, r.root FROM b JOIN (SELECT i, min(j) AS root FROM reach GROUP BY i) r USING (i)) GROUP BY frame_id, root""",
+    "RECURSIVE " + _GRID,
+    "b AS (SELECT frame_id, y, x, v, row_number() OVER (ORDER BY frame_id, y, x) AS i FROM grid WHERE v > 0.2)",
+    "e AS (SELECT p.i, q.i AS j FROM b p, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) k(dy, dx) JOIN b q ON q.frame_id = p.frame_id AND q.y = p.y + k.dy AND q.x = p.x + k.dx)",
+    "reach AS (SELECT i, i AS j FROM b UNION SELECT reach.i, e.j FROM reach JOIN e ON e.i = reach.j)",
+)
+_sql("segmented_planted", "SELECT frame_id, x, y FROM cat", _PLANTED)
+_sql(
+    "seeded_noise",
+    f"""SELECT frame_id, i, round((s >> 11)::DOUBLE / 4503599627370496 - 1, 9) AS draw FROM g""",
+    f"""RECURSIVE g AS (
+  SELECT l_partkey AS frame_id, 0 AS i, count(*) AS n, ((l_partkey::UHUGEINT * {FACTOR} + {ADD}) % 18446744073709551616)::UBIGINT AS s FROM lineitem GROUP BY l_partkey
+  UNION ALL SELECT frame_id, i + 1, n, ((s::UHUGEINT * {FACTOR} + {ADD}) % 18446744073709551616)::UBIGINT FROM g WHERE i + 1 < n
+)""",
+)

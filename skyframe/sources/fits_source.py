@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -130,6 +131,31 @@ class FitsReader(ds.DataSourceReader):
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BANDS.split(", ")])
 
 
+def bands_of_files(files: DataFrame, rim: int = RIM, band_pixels: int = BAND_PIXELS) -> DataFrame:
+    """BANDS of ``files`` (path, content), such as a stream's: for files that arrive whole."""
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string()]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                view = memoryview(content.as_buffer()) if content.is_valid else memoryview(b"")
+                try:
+                    image = find_image(lambda at, n: bytes(view[at : at + n]), len(view))  # noqa: B023
+                except ValueError as e:
+                    bands = [[path, None, None, None, None, None, None, None, str(e)]]
+                else:
+                    step = band_rows(image.width, rim, band_pixels)
+                    bands = ([path, image.width, image.height, image.pattern, y, min(y + step, image.height), y - max(0, y - rim), _rows(image, view, max(0, y - rim), min(image.height, y + step + rim)), None] for y in range(0, image.height, step))
+                for row in bands:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=[c.split()[0] for c in BANDS.split(", ")])
+
+    return files.select("path", "content").mapInArrow(rows, BANDS)
+
+
+def _rows(image: Image, view: memoryview, first: int, last: int) -> np.ndarray:
+    return image.linear(view[image.offset + first * image.row_bytes : image.offset + last * image.row_bytes])
+
+
 class FitsWriter(ds.DataSourceArrowWriter):
     """Writes each row's ``content`` to the file ``path`` in the folder, by way of another name, so that a task that runs twice leaves one whole file."""
 

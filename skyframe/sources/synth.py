@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Fixed values of the noise generator, a 64-bit linear congruential one.
 FACTOR, ADD = 6364136223846793005, 1442695040888963407
@@ -33,23 +38,62 @@ def mosaic(pixels: DataFrame, red: float, green: float, blue: float) -> DataFram
     return pixels.withColumn("v", F.when(~odd_x & ~odd_y, float(red)).when(odd_x & odd_y, float(blue)).otherwise(float(green)))
 
 
-def noise(seed: int, n: int) -> np.ndarray:
-    """``n`` draws from [-1, 1], one for each pixel in row-major order."""
-    state, out = seed, np.empty(n)
-    for i in range(n):
-        state = (state * FACTOR + ADD) % 2**64
-        out[i] = (state >> 11) * 2.0**-53 * 2 - 1
-    return out
+def jump(n: int) -> tuple[int, int]:
+    """Factor and addend that take the generator ``n`` steps at once: its step, an affine map, squared and multiplied."""
+    factor, add, by, plus = 1, 0, FACTOR, ADD
+    while n:
+        if n & 1:
+            factor, add = factor * by % 2**64, (add * by + plus) % 2**64
+        by, plus = by * by % 2**64, (plus * by + plus) % 2**64
+        n >>= 1
+    return factor, add
 
 
-def add_noise(pixels: DataFrame, seed: int, amplitude: float, width: int, height: int) -> DataFrame:
-    """Test-sized frames: the draws are made here and joined by place."""
-    values = noise(seed, width * height) * amplitude
-    i = np.arange(width * height)
-    import pandas as pd
+def noise(seed: int, n: int, start: int = 0) -> np.ndarray:
+    """Draws ``start`` to ``start + n`` from [-1, 1], one for each pixel in row-major order.
+
+    States double: once the first 2^k are known, a jump of 2^k gives as many more.
+    """
+    factor, add = jump(start + 1)
+    state = np.empty(n, "u8")
+    if n:
+        state[0] = (seed * factor + add) % 2**64
+    known = 1
+    while known < n:
+        factor, add = jump(known)
+        more = min(known, n - known)
+        state[known : known + more] = state[:more] * np.uint64(factor) + np.uint64(add)
+        known += more
+    return (state >> np.uint64(11)) * 2.0**-53 * 2 - 1
+
+
+def noise_rows(spark: SparkSession, seed: int, n: int, tasks: int | None = None) -> DataFrame:
+    """(i, v): the first ``n`` draws; each task jumps to its own first one."""
 
-    table = pixels.sparkSession.createDataFrame(pd.DataFrame({"y": (i // width).astype("i4"), "x": (i % width).astype("i4"), "_n": values}))
-    return pixels.join(table, ["y", "x"]).withColumn("v", F.col("v") + F.col("_n")).select(*pixels.columns)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.column(0).to_numpy()  # consecutive in a range
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(noise(seed, len(i), int(i[0])) if len(i) else np.zeros(0))], names=["i", "v"])
+
+    numbers = spark.range(0, n, 1, tasks) if tasks else spark.range(n)
+    return numbers.mapInArrow(rows, "i long, v double")
+
+
+def add_noise(pixels: DataFrame, seed: int, amplitude: float, width: int, height: int) -> DataFrame:
+    """``pixels`` with seeded noise, each pixel's draw made where the pixel is."""
+
+    @F.pandas_udf(DoubleType())
+    def draw(i: pd.Series) -> pd.Series:
+        at = i.to_numpy()
+        if not len(at):
+            return pd.Series([], dtype="f8")
+        low, high = int(at.min()), int(at.max())
+        if high - low < 16 * len(at) + 1024:  # near each other: all between
+            return pd.Series(noise(seed, high - low + 1, low)[at - low])
+        return pd.Series([noise(seed, 1, int(k))[0] for k in at])
+
+    place = F.col("y").cast("long") * width + F.col("x")
+    return pixels.withColumn("v", F.col("v") + amplitude * draw(place))
 
 
 def fits_file(values: np.ndarray, bitpix: int, cut: int | None = None, **cards: object) -> bytes:

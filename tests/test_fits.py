@@ -78,6 +78,26 @@ def test_stream_scores_arriving_frames(spark, folder, tmp_path):
     score_frames(spark, folder, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {short(r.frame_id) for r in rows} == {"bits8", "bits16", "bits32", "bits64", "bits-32", "bits-64", "unsigned", "second", "scaled"}
+    errors = spark.read.parquet(str(tmp_path / "out-errors")).collect()
+    assert {(short(r.frame_id), r.stage) for r in errors} == {(n, "decode") for n in ("short", "nobits", "empty", "flatless", "gbrg", "junk")}
+
+
+def test_a_batch_that_comes_again_leaves_the_table_as_it_was(spark, folder, tmp_path):
+    from skyframe.spool import saved_tables, sweep
+    from skyframe.streaming.frames import noise_of_frames, write_batch
+
+    files, out = read_files(spark, folder), str(tmp_path / "out")
+    sweep(spark)
+    before = saved_tables(spark)
+    write_batch(files.where("path like '%bits%'"), 0, noise_of_frames, out)
+    write_batch(files.where("path not like '%bits%'"), 1, noise_of_frames, out)
+    rows = lambda: sorted(map(str, spark.read.parquet(out).collect()))
+    once = rows()
+    for _ in range(6):
+        write_batch(files.where("path like '%bits%'"), 0, noise_of_frames, out)
+    assert rows() == once and len(once) == 9
+    # At most the last batch's tables are still there, however many batches there were.
+    assert len(saved_tables(spark)) <= len(before) + 2
 
 
 def bands_of(spark, folder, **options):
