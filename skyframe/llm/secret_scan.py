@@ -9,6 +9,7 @@ transitions, dictionary coverage, path and neighbouring words, is fitted on labe
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -30,11 +31,15 @@ CANDIDATE = (
     rf"(?<!{VALUE})(?=[A-Za-z+/_~-]*+[0-9]){VALUE}{{16,}}+(?:\.{VALUE}{{8,}}+)*+={{0,2}}(?!{VALUE})"
     rf"|(?<=[=:]\s{{0,2}}[\"']?|[rR]\s{{1,2}})(?={NAMED_VALUE}{{8}})(?i:(?<={_BEHIND})){NAMED_VALUE}*(?<![.:!?])"
 )
+#: The same behind more white space around the sign than a look-behind may hold: the name is matched with it.
+SPACED = rf"((?i:(?:{NAMES})[\"']?(?:\s{{3,}}+[=:]\s*+|\s{{0,2}}[=:]\s{{3,}}+)|bearer\s{{3,}}+)[\"']?)((?={NAMED_VALUE}{{8}}){NAMED_VALUE}*(?<![.:!?]))"
 DIGEST_WORDS = r"(?i)\b(sha1|sha256|sha512|md5|digest|checksum|commit|revision|etag|uuid|guid|hash|integrity|trace|request|session|build|version|isbn|card|order|invoice|phone|account)\b[^\n]{0,12}$"
 TEST_PATH = r"(?i)(test|spec|example|sample|fixture|mock|demo|docs?)([/_.-]|$)"
 MARK = "\u0001"
 #: Letters of the table of transitions: a to z, other letters, digits, anything else.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz#0."
+#: Segments whose starts are summed at a time.
+SUMMED = 512
 #: Times that a word must occur to be in the dictionary, and its least letters.
 TIMES, LETTERS = 5, 3
 FEATURES = (
@@ -46,7 +51,31 @@ FEATURES = (
 def segments(text: Column) -> Column:
     """The text cut at its candidates: odd places (from 0) are candidates, even ones what lies between; the mark of a cut becomes a space in the text."""
     clean = F.translate(F.coalesce(text, F.lit("")), MARK, " ")
-    return F.split(F.regexp_replace(clean, f"({CANDIDATE})", f"{MARK}$1{MARK}"), MARK, -1)
+    return F.split(F.regexp_replace(clean, f"({CANDIDATE})|{SPACED}", f"$2{MARK}$1$3{MARK}"), MARK, -1)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: inside another lambda an expression is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(cut: Column) -> Column:
+    """Where each segment starts, in code points: sums over blocks, then inside them, so that a block is all that is ever copied."""
+    zero, size = F.lit(0).cast("long"), F.lit(SUMMED)
+
+    def sums(lengths: Column, start: Column) -> Column:
+        return F.aggregate(lengths, F.array(start), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def of(lengths: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / size).cast("int")), lambda b: F.slice(lengths, b * size + 1, size))
+
+        def placed(blocks: Column) -> Column:
+            totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, n: a + n))
+            return let(sums(totals, zero), lambda before: F.flatten(F.transform(blocks, lambda b, i: F.slice(sums(b, F.get(before, i)), 1, F.size(b)))))
+
+        return let(blocks, placed)
+
+    return let(F.transform(cut, lambda x: F.length(x).cast("long")), of)
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
@@ -55,12 +84,10 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     ``place`` counts segments; ``start`` counts code points. Null and empty texts have none.
     """
     cut = docs.select("doc_id", F.col(path).alias("path"), segments(F.col("text")).alias("_cut")).where(F.size("_cut") > 1)
-    starts = F.aggregate(F.slice("_cut", 1, F.size("_cut") - 1), F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    each = cut.withColumn("_starts", starts).select(
-        "doc_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("_cut") - 1, F.lit(2)), lambda i: F.struct(
-            i.alias("place"), F.get("_starts", i).alias("start"), F.get("_cut", i).alias("value"), F.get("_cut", i - 1).alias("before"), F.get("_cut", i + 1).alias("after")
-        ))).alias("c")
-    )
+    places = lambda starts: F.transform(F.sequence(F.lit(1), F.size("_cut") - 1, F.lit(2)), lambda i: F.struct(
+        i.alias("place"), F.get(starts, i).alias("start"), F.get("_cut", i).alias("value"), F.get("_cut", i - 1).alias("before"), F.get("_cut", i + 1).alias("after")
+    ))
+    each = cut.select("doc_id", "path", F.explode(let(_starts(F.col("_cut")), places)).alias("c"))
     return each.select("doc_id", "path", "c.place", "c.start", "c.value", F.right("c.before", F.lit(64)).alias("before"), F.left("c.after", F.lit(64)).alias("after"))
 
 
@@ -73,8 +100,7 @@ def learn_words(docs: DataFrame) -> tuple[DataFrame, list[float]]:
     pieces = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
     words = docs.select(F.explode(pieces).alias("word")).where(F.col("word").rlike(r"^\p{L}+$"))
     counted = save(words.groupBy("word").agg(F.count("*").alias("n")), "secret-words")
-    letters = _spelled(F.concat(F.lit("."), "word", F.lit(".")))
-    pairs = counted.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(letters, i, F.lit(2)))).alias("pair"))
+    pairs = counted.select("n", F.explode(_neighbours(_spelled(F.concat(F.lit("."), "word", F.lit("."))), lambda a, b: F.concat(a, b))).alias("pair"))
     seen = {r.pair: r.n for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
     rows = {a: sum(seen.get(a + b, 0) + 1 for b in ALPHABET) for a in ALPHABET}
     dictionary = save(counted.where((F.col("n") >= TIMES) & (F.length("word") >= LETTERS)).select("word"), "secret-dictionary")
@@ -88,6 +114,12 @@ def _spelled(value: Column) -> Column:
     return F.regexp_replace(other, r"[^a-z0.]", "#")
 
 
+def _neighbours(spelled: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """``of`` each two letters that follow each other, in time that grows with the length; a single letter has none."""
+    pairs = lambda letters: F.zip_with(F.slice(letters, 1, F.greatest(F.size(letters) - 1, F.lit(0))), F.slice(letters, 2, F.greatest(F.size(letters) - 1, F.lit(0))), of)
+    return let(F.split(spelled, ""), pairs)
+
+
 def with_features(found: DataFrame, dictionary: DataFrame, chances: list[float]) -> DataFrame:
     """``found`` (a table of id, value, before, after, path) with the columns of FEATURES: length, character transitions, dictionary coverage, path and neighbouring words."""
     value, n = F.col("value"), F.greatest(F.length("value"), F.lit(1))
@@ -99,10 +131,10 @@ def with_features(found: DataFrame, dictionary: DataFrame, chances: list[float])
     each = found.select("id", F.explode(parts).alias("word")).where(F.length("word") >= LETTERS)
     known = each.select("word").distinct().join(dictionary, "word", "left_semi")
     covered = each.join(known, "word").groupBy("id").agg(F.sum(F.length("word")).alias("covered"))
-    # Places of letters: element i of the first array is the chance of letter i + 1 after letter i.
-    spelled, table_ = _spelled(value), F.array(*map(F.lit, chances))
+    # Element i is the chance of letter i + 1 after letter i.
+    table_ = F.array(*map(F.lit, chances))
     at = lambda c: F.instr(F.lit(ALPHABET), c) - 1
-    chance = F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.get(table_, len(ALPHABET) * at(F.substr(spelled, i, F.lit(1))) + at(F.substr(spelled, i + 1, F.lit(1)))))
+    chance = _neighbours(_spelled(value), lambda a, b: F.get(table_, len(ALPHABET) * at(a) + at(b)))
     chance = F.when(F.length("value") > 1, chance).otherwise(F.array(F.lit(0.0)))
     rows = found.join(covered, "id", "left").withColumn("chance", chance)
     total = F.aggregate("chance", F.lit(0.0), lambda a, x: a + x)
@@ -113,7 +145,7 @@ def with_features(found: DataFrame, dictionary: DataFrame, chances: list[float])
             "hex": value.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"), "padded": value.rlike("=$").cast("double"),
             "transitions": total / F.size("chance"), "rare_transitions": F.size(F.filter("chance", lambda x: x < -4.5)) / F.size("chance"),
             "dictionary": F.coalesce("covered", F.lit(0)) / n, "longest_letters": F.array_max(F.transform(F.split(value, r"[^\p{L}]+"), F.length)).cast("double"),
-            "test_path": says("path", TEST_PATH), "named": says("before", rf"(?i)({NAMES})[\s\"'=:>-]{{0,6}}$"), "assigned": says("before", r"[=:]\s{0,2}[\"']?$"), "quoted": says("before", r"[\"'`]$"),
+            "test_path": says("path", TEST_PATH), "named": says("before", rf"(?i)({NAMES})[\s\"'=:>-]*$"), "assigned": says("before", r"[=:]\s*[\"']?$"), "quoted": says("before", r"[\"'`]$"),
             "digest_before": says("before", DIGEST_WORDS), "digest_after": says("after", r"(?i)^[\"'\s]{0,3}(\.(png|jpg|js|css|html)|checksum|digest)"),
             "dashed_groups": value.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$").cast("double"), "only_digits": value.rlike("^[0-9_~+/-]+$").cast("double"),
         }
@@ -194,6 +226,19 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source
     return scored.select("doc_id", "path", "place", "start", "value", "before", "after", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
+def _replaced(cut: Column, places: Column, stand_in: str) -> Column:
+    """The text of the segments with ``stand_in`` at the given places, in order; each segment is touched once."""
+
+    def joined(s: Column) -> Column:
+        cut, at, n = s["cut"], s["at"], F.size(s["at"])
+        begin = lambda j: F.when(j == 0, 0).otherwise(F.get(at, j - 1) + 1)
+        end = lambda j: F.when(j == n, F.size(cut)).otherwise(F.get(at, j))
+        part = lambda j: F.concat(F.array_join(F.slice(cut, begin(j) + 1, end(j) - begin(j)), ""), F.when(j == n, "").otherwise(stand_in))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), part), "")
+
+    return let(F.struct(cut.alias("cut"), places.alias("at")), joined)
+
+
 def redact(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", stand_in: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced in its text, and n_chars, where there is such a column, counted anew for the texts changed.
 
@@ -203,10 +248,11 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, path: str = "sour
     """
     numbered, row = with_row_numbers(docs, "secret-docs")
     secrets = unused("secrets_of_row", numbered)
-    found = scan(numbered.select(F.col(row).alias("doc_id"), F.col(path).alias("path"), "text"), findings, "path").where("is_secret")
-    values = found.select(F.col("doc_id").alias(row), "value").groupBy(row).agg(F.collect_set("value").alias(secrets))
-    cut = F.transform(segments(F.col("text")), lambda x, i: F.when((i % 2 == 1) & F.array_contains(secrets, x), stand_in).otherwise(x))
-    changed = numbered.join(values, row, "left").withColumn("text", F.when(F.col(secrets).isNull(), F.col("text")).otherwise(F.array_join(cut, "")))
+    found = scan(numbered.select(F.col(row).alias("doc_id"), F.col(path).alias("path"), "text"), findings, "path")
+    # All places of a value that is a secret somewhere in the row.
+    values = found.groupBy(F.col("doc_id").alias(row), "value").agg(F.max("is_secret").alias("any"), F.collect_list("place").alias("places")).where("any")
+    places = values.groupBy(row).agg(F.sort_array(F.flatten(F.collect_list("places"))).alias(secrets))
+    changed = numbered.join(places, row, "left").withColumn("text", F.when(F.col(secrets).isNull(), F.col("text")).otherwise(_replaced(segments(F.col("text")), F.col(secrets), stand_in)))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col(secrets).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return changed.select(*docs.columns)
