@@ -43,6 +43,8 @@ CLASSES, LEAVES, OWN = 32, 32, 24
 FREQUENT, ENDINGS, BUCKETS = 1792, 256, 64
 #: Words that scoring tasks hold in memory, entries of a worker's cache of words, and the bound of feature rows (a power of 2).
 HELD_WORDS, CACHE_WORDS, MOST_ROWS = 150_000, 400_000, 13
+#: Bytes of the words in a worker's cache.
+CACHE_BYTES = 1 << 25
 #: Tokens of a step and, about, of a training task; rounds, each over its own part of the documents.
 STEP, TASK_TOKENS, ROUNDS = 32_768, 4_000_000, 2
 
@@ -60,14 +62,18 @@ def coded_texts(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
+        held = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 block = [[*(t or b"").lower().split(), END] for t in part.column(2).to_pylist()]
                 flat = list(chain.from_iterable(block))
-                if len(known) > CACHE_WORDS:
+                if len(known) > CACHE_WORDS or held > CACHE_BYTES:
                     known.clear()
-                known.update((w, token_code(w)) for w in set(flat).difference(known))
+                    held = 0
+                new = set(flat).difference(known)
+                known.update((w, token_code(w)) for w in new)
+                held += sum(map(len, new))
                 ends = np.cumsum([0, *map(len, block)], dtype="i4")
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(map(known.__getitem__, flat), "i8", len(flat))))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["row", "doc_id", "tokens"])

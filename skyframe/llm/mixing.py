@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,16 +82,19 @@ def mix(digest: DataFrame, targets: DataFrame, slots: DataFrame, block: int, see
     from the start until the stream is twice as long as the source. It is cut into blocks of equal
     words. ``slots`` (source_rank, block, slot) says which blocks are taken, and when: the first
     blocks of each source, as many as it has slots. Of a document each pass takes ``taken`` words,
-    the first at ``first_slot``. Words beyond the cap of the target (the stream's end) don't exist,
-    so no document gives more than twice its size.
+    the first at ``first_slot``. A source's last block ends at its target; words beyond the cap of
+    the target (the stream's end) don't exist, so no document gives more than twice its size.
     """
     dealt = save(slots, "mix-schedule")
     known = targets.select("source", "source_size", "source_rank", "target", "cap")
     blocks = dealt.groupBy("source_rank").agg(F.count("*").alias("blocks"))
-    known = known.join(blocks, "source_rank", "left").withColumn("end", F.least("cap", F.coalesce("blocks", F.lit(0)) * F.lit(block)).cast("long"))
+    known = known.join(blocks, "source_rank", "left").withColumn("end", F.least(F.col("cap"), F.coalesce("blocks", F.lit(0)) * F.lit(block), F.floor("target")).cast("long"))
     ranked = digest.join(known.withColumnRenamed("source", "mix_source"), F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
     mixed = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    ranked = ranked.withColumn("hash", mixed).withColumn("bucket", F.conv(F.substring("hash", 1, 3), 16, 10).cast("int"))
+    # Null ids share a hash and go by size, so their bucket is cut by size, between those of smaller and of larger hashes.
+    shared = md5(f":{seed}".encode()).hexdigest()
+    inside = F.when(F.col("hash") < shared, 0).when(F.col("hash") == shared, 1 + F.least(F.col("size"), F.lit(CELLS))).otherwise(CELLS + 2)
+    ranked = ranked.withColumn("hash", mixed).withColumn("bucket", F.conv(F.substring("hash", 1, 3), 16, 10).cast("int") * (CELLS + 3) + inside)
     placed = running_sum(save(ranked, "mix-ranked-docs"), "size", ["source_rank"], "bucket", ["hash", "doc_id", "size", "row"], "at")
     size = F.greatest("source_size", F.lit(1))
     passes = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("end") / size) - 1))
@@ -98,7 +103,8 @@ def mix(digest: DataFrame, targets: DataFrame, slots: DataFrame, block: int, see
     rows = rows.where("taken > 0 or pass = 0")
     for name, at in (("first_slot", F.col("from")), ("last_slot", F.col("from") + F.col("taken") - 1)):
         own = dealt.select("source_rank", F.col("block").alias("own"), F.col("slot").alias(name))
-        rows = rows.withColumn("own", F.when(F.col("taken") > 0, F.floor(at / block).cast("long"))).join(own, ["source_rank", "own"], "left").drop("own")
+        # Rows that take nothing have no block; keys of their own spread them.
+        rows = rows.withColumn("own", F.when(F.col("taken") > 0, F.floor(at / block)).otherwise(-1 - F.pmod(F.xxhash64("row"), F.lit(2**20))).cast("long")).join(own, ["source_rank", "own"], "left").drop("own")
     return rows.select(*digest.columns, "source_size", "target", "pass", "taken", "first_slot", "last_slot")
 
 
@@ -165,7 +171,7 @@ WITH d AS (
 ), dealt AS (
   SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM slots JOIN u ON point >= low AND point < low + words
 ), n AS (
-  SELECT u.source, u.source_size, u.target, least(2 * u.source_size, greatest(count(slot), (u.words > 0)::INT) * any_value(block))::BIGINT AS ends, count(slot) AS n_slots
+  SELECT u.source, u.source_size, u.target, least(2 * u.source_size, greatest(count(slot), (u.words > 0)::INT) * any_value(block), u.words)::BIGINT AS ends, count(slot) AS n_slots
   FROM u JOIN b ON true LEFT JOIN dealt ON dealt.source IS NOT DISTINCT FROM u.source GROUP BY u.source, u.source_size, u.target, u.words
 ), p AS (
   SELECT d.*, n.source_size, n.target, ends,

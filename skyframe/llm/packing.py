@@ -10,14 +10,14 @@ from itertools import chain, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import save, table
 
 END_ID = 2
-#: Entries of a worker's word cache; it is emptied beyond that.
-CACHE_WORDS = 600_000
+#: Entries of a worker's word cache, and their bytes; it is emptied beyond either.
+CACHE_WORDS, CACHE_BYTES = 600_000, 1 << 25
 #: Documents of a packing group on average. A group is packed in one task, so this bounds its memory.
 GROUP_ROWS = 4096
 
@@ -48,6 +48,7 @@ class WordCoder:
 
     def empty(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.bytes = 0
         self.ids, self.start, self.length = np.zeros(0, "<u4"), np.zeros(0, "i8"), np.zeros(0, "i8")
 
     def word(self, word: bytes) -> list[int]:
@@ -70,7 +71,7 @@ class WordCoder:
     def encode(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
         """Ids of each text, given as its words."""
         words = list(chain.from_iterable(texts))
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.bytes > CACHE_BYTES:
             self.empty()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), "i8", len(words))
         ids: list[int] = []
@@ -80,6 +81,7 @@ class WordCoder:
             w = words[i]
             if w not in known:
                 known[w] = first + len(starts)
+                self.bytes += len(w)
                 starts.append(len(ids))
                 ids += self.word(w)
             at[i] = known[w]
@@ -165,23 +167,26 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack(pieces: DataFrame, capacity: int = 4096, group_rows: int = GROUP_ROWS, seed: int = 42) -> DataFrame:
     """``pieces`` (doc_id, start, length, ...) with the sequence and the offset of each.
 
-    Pieces are dealt to random groups by a hash of all their columns and a salt for repeated rows,
-    about ``group_rows`` to a group whatever the documents, and each group is packed on its own.
-    ``sequence_id`` is group * 2**32 + bin. Full pieces are sequences of their own. ``pieces`` is
+    Pieces are dealt to random groups by a hash of all their columns and, of rows that repeat, their
+    number, about ``group_rows`` to a group whatever the documents, and each group is packed on its
+    own; so the same pieces give the same sequences, however files are split. ``sequence_id`` is
+    group * 2**32 + bin. Full pieces are sequences of their own. ``pieces`` is
     read twice. No rows give no rows; a piece longer than ``capacity`` is an error.
     """
     pieces = pieces.drop("sequence_id", "offset")
     groups = max(1, -(-pieces.count() // group_rows))
     names = pieces.columns
+    order = ["length", *(c for c in ("doc_id", "start", "ids_crc32", "doc_tokens") if c in names)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(order, ascending=[c != "length" for c in order], kind="stable", ignore_index=True)
         where, offset = first_fit_decreasing(rows["length"].to_numpy(), capacity)
         return rows[names].assign(sequence_id=(int(key[0]) << 32) + where, offset=offset)
 
-    salt = F.monotonically_increasing_id()
-    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed), salt), F.lit(groups)))
+    own = F.xxhash64(*names, F.lit(seed))
+    keyed = pieces.withColumn("_own", own).withColumn("_copy", F.row_number().over(Window.partitionBy("_own").orderBy(*names)))
+    keyed = keyed.withColumn("_group", F.pmod(F.xxhash64("_own", "_copy"), F.lit(groups))).select(*names, "_group")
     return keyed.groupBy("_group").applyInPandas(packed, schema)
 
 

@@ -1,6 +1,7 @@
 """Operators on documents: awkward rows, empty tables, and brute force on small fixtures."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -104,7 +105,7 @@ def test_the_schedule_decides_what_is_taken(spark):
     for s in targets:
         own = sorted((r for r in rows if r[1] == s), key=lambda r: hashlib.md5(f"{r[0]}:42".encode()).hexdigest())
         size, at = sum(r[2] for r in own), 0
-        end = min(2 * size, 64 * sum(k[0] == s for k in slot))
+        end = min(2 * size, 64 * sum(k[0] == s for k in slot), int(targets[s]))
         for turn in (0, 1):
             for i, _, n in own:
                 if taken := max(0, min(at + n, end) - at):
@@ -113,6 +114,29 @@ def test_the_schedule_decides_what_is_taken(spark):
     assert got == want
 
 
+def test_tiny_sources_end_at_their_targets(spark):
+    from skyframe.llm.mixing import scheduled_mix
+
+    rows = [(i, " ".join(["w"] * 20), s) for i, s in enumerate("abc")] + [(None, "x " * (i % 5), "big") for i in range(400)]
+    docs = spark.createDataFrame(rows[:3], "doc_id long, text string, source string")
+    out = scheduled_mix(mix_digest(docs)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert {r.source: r.taken for r in out} == {r.source: int(r.target) for r in out} and [int(r.target) for r in sorted(out)] == [40, 33, 16]
+    # Null ids, a hot bucket, are mixed in the same order whatever the partitions.
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted((str(r.doc_id), r["size"], r.taken, r["pass"]) for r in scheduled_mix(mix_digest(docs.repartition(n))).select("doc_id", "size", "taken", "pass").collect()) for n in (1, 7))
+    assert one == two and sum(t for _, _, t, _ in one) > 0
+
+
+def test_packing_is_the_same_however_files_are_split(spark):
+    from skyframe.llm.packing import pack
+
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.randrange(3), rng.choice([5, 900, 2000, 4096]), rng.randrange(4), 7) for _ in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    one, two = (sorted(map(str, pack(df.repartition(n), 4096, 50).collect())) for n in (1, 6))
+    assert one == two and len(one) == 500
+
+
 def test_mixed_documents_come_in_slot_order_under_any_names(spark, awkward):
     docs = awkward.withColumnsRenamed({"slot": "mix_row", "row": "mix_slot", "word": "hash", "x": "total_of_bucket"})
     out = mix_documents(docs)
