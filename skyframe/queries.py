@@ -27,6 +27,7 @@ from .ordering import number_in_order, running_sum
 from .plans.detect import MatchedFilterDetector, admissible_shape, detection_level, estimate_fwhm, inside_margin, seeds, separation, sharp_enough, unsaturated, with_background, with_sharpness
 from .plans.segment import SegmentConfig, SegmentDetector
 from .quarantine import Quarantine
+from .schema import stars_table
 from .sources.fits import decode_files, detection_pixels, frames_and_errors, linear_pixels
 from .sources.fits_source import read_bands, write_files
 from .sources.synth import ADD, FACTOR, fits_file, noise
@@ -408,6 +409,29 @@ def segmented_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("frame_id", F.round("x").cast("int").alias("x"), F.round("y").cast("int").alias("y"))
 
 
+@_query
+def frames_with_and_without_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a frame, some flat and some without pixels: noise where there is an estimate, else -1."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    kind = F.col("vec_id") % 5
+    values = F.when(kind == 0, F.array_repeat(F.lit(7.0), 64)).when(kind == 1, F.array().cast("array<double>")).otherwise(F.col("embedding").cast("array<double>"))
+    frames = rows.select(F.col("vec_id").alias("frame_id"), F.when(kind == 1, 0).otherwise(8).alias("width"), F.when(kind == 1, 0).otherwise(8).alias("height"), values.alias("values"))
+    noise = band_noise(bands_of_arrays(frames)).where("noise > 0").select("frame_id", "noise")
+    return rounded(frames.select("frame_id").join(noise, "frame_id", "left").withColumn("noise", F.coalesce("noise", F.lit(-1.0))), "noise")
+
+
+@_query
+def validated_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as stars, brought into the stars' schema: how many of each supplier are, and why the others aren't."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    fwhm = F.when(F.col("l_linenumber") == 2, F.lit(None)).when(F.col("l_linenumber") == 3, F.concat(F.col("l_quantity").cast("string"), F.lit(" px"))).otherwise(F.col("l_quantity").cast("string"))
+    stars = items.select(F.col("l_suppkey").alias("frame_id"), (F.col("l_linenumber") - F.when(F.col("l_suppkey") % 3 == 0, 1).otherwise(0)).alias("rank"), F.col("l_extendedprice").alias("x"), F.col("l_tax").alias("y"), F.col("l_quantity").alias("flux"), (F.col("l_discount") - 0.02).alias("hfr"), fwhm.alias("fwhm"), F.col("l_tax").alias("eccentricity"))
+    aside = Quarantine()
+    kept = stars_table(stars, aside).groupBy("frame_id").agg(F.count("*").alias("n")).withColumn("message", F.lit(""))
+    told = aside.rows(spark).select("frame_id", F.lit(0).cast("long").alias("n"), "message")
+    return kept.select("frame_id", "n", "message").unionByName(told)
+
+
 @_query
 def seeded_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A draw of the generator for every line item, those of a part being one frame's: the part is the seed, and each task jumps to its own draws."""
@@ -779,6 +803,17 @@ FROM (SELECT b.*, b.v - 0.1 AS w, r.root FROM b JOIN (SELECT i, min(j) AS root F
     "e AS (SELECT p.i, q.i AS j FROM b p, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) k(dy, dx) JOIN b q ON q.frame_id = p.frame_id AND q.y = p.y + k.dy AND q.x = p.x + k.dx)",
     "reach AS (SELECT i, i AS j FROM b UNION SELECT reach.i, e.j FROM reach JOIN e ON e.i = reach.j)",
 )
+_sql(
+    "frames_with_and_without_noise",
+    """SELECT vec_id AS frame_id, CASE WHEN vec_id % 5 < 2 OR noise = 0 THEN -1 ELSE round(noise, 6) END AS noise FROM (
+  SELECT vec_id, 1.4826::DOUBLE * list_aggregate(list_transform(v, lambda x: abs(x - list_aggregate(v, 'median'))), 'median') AS noise FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))""",
+)
+_sql(
+    "validated_stars",
+    """SELECT frame_id, CASE WHEN message = '' THEN sum(n) ELSE 0 END::BIGINT AS n, message FROM (
+  SELECT l_suppkey::VARCHAR AS frame_id, 1 AS n, CASE WHEN l_linenumber = 3 THEN 'fwhm is no double' WHEN l_linenumber = 2 THEN 'fwhm is missing' WHEN l_discount - 0.02 < 0 THEN 'a star''s sizes aren''t negative'
+    WHEN l_linenumber - (l_suppkey % 3 = 0)::INT < 1 THEN 'ranks count from 1' ELSE '' END AS message FROM lineitem) GROUP BY frame_id, message""",
+)
 _sql("segmented_planted", "SELECT frame_id, x, y FROM cat", _PLANTED)
 _sql(
     "seeded_noise",
