@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
 from ..ordering import unused
 from ..spool import discard, save
@@ -29,24 +32,33 @@ def separate(peaks: DataFrame, value: str, distance: Column | float, tile: int =
     distance = distance if isinstance(distance, Column) else F.lit(float(distance))
     ty, tx, home = (unused(c, peaks) for c in ("tile_row", "tile_column", "is_home"))
     live, turn = peaks.withColumn(far, distance.cast("double")).withColumn(kept, F.lit(False)), 0
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in live.schema)
+    items, stay, sure_ = "items", "stay", "sure"
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([value, "y", "x"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        limit = float(rows[far].iloc[0])
-        size, cells = max(limit, 1.0), {}
-        sure, own, there = rows[kept].to_numpy(bool), rows[home].to_numpy(bool), np.ones(len(rows), bool)
-        for i, (y, x) in enumerate(rows[["y", "x"]].to_numpy("i8").tolist()):
-            by, bx = int(y // size), int(x // size)
+    def walk(v: np.ndarray, y: np.ndarray, x: np.ndarray, limit: float, sure: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which of a tile's peaks are still there; ``sure``, changed in place, says which of them are decided."""
+        size, cells, there = max(limit, 1.0), {}, np.ones(len(v), bool)
+        for i in np.lexsort((x, y, -v)).tolist():
+            py, px = int(y[i]), int(x[i])
+            by, bx = int(py // size), int(px // size)
             if not sure[i]:
-                near = (k for cy in (by - 1, by, by + 1) for cx in (bx - 1, bx, bx + 1) for py, px, k in cells.get((cy, cx), ()) if (y - py) ** 2 + (x - px) ** 2 < limit * limit)
+                near = (k for cy in (by - 1, by, by + 1) for cx in (bx - 1, bx, bx + 1) for qy, qx, k in cells.get((cy, cx), ()) if (py - qy) ** 2 + (px - qx) ** 2 < limit * limit)
                 states = {bool(sure[k]) for k in near}
                 there[i] = True not in states
                 sure[i] = own[i] and not states
             if there[i]:
-                cells.setdefault((by, bx), []).append((y, x, i))
-        rows[kept] = sure
-        return rows.loc[there & own, [*names, far, kept]]
+                cells.setdefault((by, bx), []).append((py, px, i))
+        return there
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            flat, ends = lists.flatten(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+            v, y, x, limit, sure, own = (flat.field(c).to_numpy(zero_copy_only=False).copy() for c in (value, "y", "x", far, kept, home))
+            there = np.ones(len(v), bool)
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                there[a:b] = walk(v[a:b], y[a:b], x[a:b], float(limit[a]), sure[a:b], own[a:b])
+            offsets = pa.array(ends.astype("i4"))
+            yield pa.RecordBatch.from_arrays([lists, *(pa.ListArray.from_arrays(offsets, pa.array(m)) for m in (there & own, sure.astype(bool)))], names=[items, stay, sure_])
 
     while True:
         side, reach = tile * F.greatest(F.col(far), F.lit(1.0)), F.greatest(F.col(far), F.lit(0.0))
@@ -54,7 +66,11 @@ def separate(peaks: DataFrame, value: str, distance: Column | float, tile: int =
         at = lambda c, off=0: F.floor((F.col(c) + start + off) / side).cast("long")  # noqa: B023, E731
         dealt = live.withColumn(ty, F.explode(F.sequence(at("y", -reach), at("y", reach)))).withColumn(tx, F.explode(F.sequence(at("x", -reach), at("x", reach))))
         dealt = dealt.withColumn(home, (F.col(ty) == at("y")) & (F.col(tx) == at("x")))
-        past, live = live, save(dealt.groupBy("frame_id", ty, tx).applyInPandas(walk, schema), "separated")
+        # A tile is a list, which its pixels bound, and a task walks many lists.
+        lists = dealt.groupBy("frame_id", ty, tx).agg(F.collect_list(F.struct(*[F.col(c) for c in [*live.columns, home]])).alias(items)).select(items)
+        walked = lists.mapInArrow(tiles, StructType([lists.schema[items], *[StructField(c, ArrayType(BooleanType())) for c in (stay, sure_)]]))
+        each = walked.select(F.explode(F.arrays_zip(items, stay, sure_)).alias("p")).where(f"p.{stay}")
+        past, live = live, save(each.select(*[F.col(f"p.{items}.`{c}`").alias(c) for c in [*names, far]], F.col(f"p.{sure_}").alias(kept)), "separated")
         if turn:
             discard(past)
         if not live.where(~F.col(kept)).limit(1).count():
