@@ -532,6 +532,13 @@ def fits_source_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(crop_bands(fits_bands(spark, sf_dir).where("message is null"), 2, 3, 4, 2).withColumn("frame_id", base_name()), "v")
 
 
+@_query
+def fits_source_grey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection images of the files: linear values, mosaics turned grey inside their bands."""
+    bands = grey_bands(fits_bands(spark, sf_dir).where("message is null"))
+    return rounded(pixels_of(bands).withColumn("frame_id", base_name()), "v")
+
+
 @_query
 def quarantined_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that four stages set aside: files, buffers, channels and mosaics, each with faults of its own; the other frames' noise is still measured."""
@@ -775,6 +782,7 @@ JOIN {of} q ON q.frame_id = p.frame_id AND q.y = p.y + k.dy AND q.x = p.x + k.dx
 
 
 _sql("fits_detection_pixels", f"SELECT frame_id, y, x, round(v, 6) AS v FROM p WHERE pattern IS NULL UNION ALL {_grey('m')}", _FITS, "m AS (SELECT * FROM p WHERE pattern IS NOT NULL)")
+ORACLE_SQL["fits_source_grey"] = ORACLE_SQL["fits_detection_pixels"]
 _sql("bayer_gray_patterns", _grey("m"), _GRID, f"m AS (SELECT *, ['{"', '".join(PATTERNS)}'][frame_id % 4 + 1] AS pattern FROM grid)")
 
 
