@@ -70,15 +70,16 @@ def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
                 _writing.pop(id(spark))
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and nothing is computed twice.
 
+    ``compression`` is a Parquet codec where the session's own isn't wanted, such as zstd for copies of texts.
     The table stays until :func:`discard`, or until :func:`sweep` finds that no plan reads it any more.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     with _freeing_shuffles(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     relation = out._jdf.queryExecution().analyzed().relation()
