@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_row_numbers(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``docs`` as a table with a number of each row of its own, and that column's name; doc_id may be null or repeat."""
     row = unused("row_number_of_its_own", docs)
-    return save(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+    return save(docs.withColumn(row, F.monotonically_increasing_id()), name, "zstd"), row
 
 
 #: A key of over one in so many rows is hot: there are fewer such keys than this, whatever the input.

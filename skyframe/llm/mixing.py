@@ -128,7 +128,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     names, whatever they are; no rows give none.
     """
     names, row, slot = docs.columns, unused("mix_row", docs), unused("mix_slot", docs)
-    numbered = save(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    numbered = save(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs", "zstd")
     digest = numbered.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.col(row).alias("row"))
     taken = scheduled_mix(save(digest, "mix-digest")).where("taken > 0 and 2 * taken >= size")
     mixed = numbered.join(taken.select(F.col("row").alias(row), F.col("first_slot").alias(slot)), row)
