@@ -159,7 +159,7 @@ def _shared(rows: pa.Table) -> pa.Table:
 
 
 def _windows(ranges: int):  # noqa: ANN202
-    """Work on a block: its windows around shared anchors, each with its smallest and largest document."""
+    """Work on a block: its windows around shared anchors, each with its smallest document and how far the largest is from it."""
 
     def work(docs: pa.Table, replies: pa.Table) -> pa.Table:
         shared, found = np.unique(_grouped(_joined(replies["hash"]))[0].view("u8")), []
@@ -175,7 +175,7 @@ def _windows(ranges: int):  # noqa: ANN202
                 np.add.at(edge, np.minimum(at, last) + 1, -1)
                 starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 found.append((rolled(words, starts, WINDOW, 1), rolled(words, starts, WINDOW, 2), np.full(len(starts), i, "i8")))
-        names = ["range", "block", "hash", "low", "high"]
+        names = ["range", "block", "hash", "low", "span"]
         if not found:
             return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3)], names=names)
         one, two, doc = (np.concatenate(a) for a in zip(*found, strict=True))
@@ -184,7 +184,7 @@ def _windows(ranges: int):  # noqa: ANN202
         one, range_, doc = one[order], range_[order], doc[order]
         first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (range_[1:] != range_[:-1])])
         low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-        at, lists = _lists(range_[first], one[first].view("i8"), low, high)
+        at, lists = _lists(range_[first], one[first].view("i8"), low, high - low)  # mostly zeros, which compress
         return pa.table([pa.array(at), pa.array(np.full(len(at), docs.column(0)[0].as_py())), *lists], names=names)
 
     return work
@@ -193,9 +193,9 @@ def _windows(ranges: int):  # noqa: ANN202
 def _earlier(rows: pa.Table) -> pa.Table:
     """Of one range: the windows of each block that start in a smaller document than some of the block's, with the smallest of all."""
     key, row = _grouped(_joined(rows["hash"]))
-    low, high = (_grouped(_joined(rows[c]))[0] for c in ("low", "high"))
+    low, span = (_grouped(_joined(rows[c]))[0] for c in ("low", "span"))
     block = _joined(rows["block"]).to_numpy()[row]
-    order, first, (low, high) = _by_key(key, low, high)
+    order, first, (low, high) = _by_key(key, low, low + span)
     least = np.repeat(np.minimum.reduceat(low, first), np.diff(np.r_[first, len(key)])) if len(key) else low
     wanted = least < high
     places, lists = _lists(block[order][wanted], key[order][wanted], least[wanted])
@@ -252,14 +252,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     number = F.monotonically_increasing_id()
     alone = F.coalesce(F.length("text") >= LONG, F.lit(False))
     numbered = docs.withColumn(row, number).withColumn(block, F.when(alone, 2 * F.col(row) + 1).otherwise(F.expr(f"2 * (`{row}` div {BLOCK})")))
-    texts = save(numbered.drop(row), "repeats-texts")
+    texts = save(numbered.drop(row), "repeats-texts", "zstd")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES + 1)
 
     anchors = _anchors(texts, "doc_id", "text", block, ranges)
     shared = save(anchors.groupBy("range").applyInArrow(_shared, "block long, hash array<long>"), "repeats-anchors")
     slim = texts.select(block, "doc_id", "text").groupBy(block)
-    windows = slim.cogroup(shared.groupBy("block")).applyInArrow(_windows(ranges), "range int, block long, hash array<long>, low array<long>, high array<long>")
+    windows = slim.cogroup(shared.groupBy("block")).applyInArrow(_windows(ranges), "range int, block long, hash array<long>, low array<long>, span array<long>")
     verdicts = save(windows.groupBy("range").applyInArrow(_earlier, "block long, range int, hash array<long>, low array<long>"), "repeats-windows")
     discard(shared)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, n_removed long"
