@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..spool import discard
+from ..spool import discard, sweep
 from .common import join_counted, number_in_order, save, table
 from .components import connected_components
 from .simhash import _spanning
 
 #: Sign hashes that make up a sort key, neighbours compared on either side, rows of a block, rows of comparisons done in one group.
 BITS, WINDOW, BLOCK, TOGETHER = 48, 64, 2048, 20_000
+#: Vectors sent to windows at once: passes of a round follow each other in steps of so many, one pass at least, and free their disk between.
+AT_ONCE = 1 << 22
 #: Chance with which a pair just at the threshold should meet in some pass.
 RECALL = 0.98
 
@@ -96,17 +98,18 @@ def _means(values: DataFrame) -> dict[int, np.ndarray]:
     return {dim: x / n for dim, (n, x) in found.items()}
 
 
-def _keyed(values: DataFrame, passes: int, seed: int, means: dict[int, np.ndarray]) -> DataFrame:
-    """first, dim and the passes' sort keys of ``values`` (first, embedding): the sides of planes through the mean."""
+def _keyed(values: DataFrame, turns: range, passes: int, seed: int, means: dict[int, np.ndarray]) -> DataFrame:
+    """first, dim and the sort keys of the passes ``turns`` of ``values`` (first, embedding): the sides of planes through the mean."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = 1 << np.arange(BITS - 1, -1, -1, dtype="i8")
         for batch in batches:
-            dims, keys = np.zeros(batch.num_rows, "i4"), np.zeros((batch.num_rows, passes), "i8")
+            dims, keys = np.zeros(batch.num_rows, "i4"), np.zeros((batch.num_rows, len(turns)), "i8")
             for dim, at, x in _by_dim(batch.column(1)):
                 dims[at] = dim
-                keys[at] = ((x - means[dim]) @ _planes(seed, dim, passes).T > 0).reshape(-1, passes, BITS) @ powers
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, passes, dtype="i4")), pa.array(keys.ravel()))
+                planes = _planes(seed, dim, passes)[turns.start * BITS : turns.stop * BITS]
+                keys[at] = ((x - means[dim]) @ planes.T > 0).reshape(-1, len(turns), BITS) @ powers
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(turns), dtype="i4")), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims), lists], names=["first", "dim", "keys"])
 
     return values.select("first", "embedding").mapInArrow(rows, "first long, dim int, keys array<long>")
@@ -140,10 +143,26 @@ def _chance(x: np.ndarray, keys: np.ndarray, before: np.ndarray, after: np.ndarr
     return np.clip(1 - lost, 0, 1 - 1e-12)
 
 
-def _round(values: DataFrame, threshold: float, window: int, block: int, seed: int) -> DataFrame:
-    """One round of passes over ``values`` (first, embedding) as a table: links (u, v), and rows with v null and, as ``missed``, the log of the chance that a pass missed a link of u just at the threshold."""
-    passes, means = passes_for(values.count(), threshold, window), _means(values)
-    keyed = _keyed(values, passes, seed, means).select("first", "dim", F.posexplode("keys").alias("pass", "key"))
+def _round(values: DataFrame, threshold: float, window: int, block: int, seed: int, at_once: int) -> list[DataFrame]:
+    """One round of passes over ``values`` (first, embedding), as the tables of its steps: links (u, v), and rows with v null and, as ``missed``, the log of the chance that a pass missed a link of u just at the threshold.
+
+    A step has as many passes as send ``at_once`` vectors, or one; what it shuffled and sorted is freed
+    before the next, so disk grows with the vectors and not with the passes.
+    """
+    n = values.count()
+    passes, means, found = passes_for(n, threshold, window), _means(values), []
+    step = max(1, at_once // max(n, 1))
+    for at in range(0, passes, step):
+        found.append(_step(values, range(at, min(at + step, passes)), passes, means, threshold, window, block, seed))
+        if step < passes:
+            sweep(values.sparkSession)
+    return found
+
+
+def _step(values: DataFrame, turns: range, passes: int, means: dict[int, np.ndarray], threshold: float, window: int, block: int, seed: int) -> DataFrame:
+    """The passes ``turns`` of a round's ``passes``, as a table."""
+    keyed = _keyed(values, turns, passes, seed, means).select("first", "dim", F.posexplode("keys").alias("turn", "key"))
+    keyed = keyed.select("first", "dim", (F.col("turn") + turns.start).alias("pass"), "key")
     sorted_ = number_in_order(keyed, ["dim", "pass", "key", "first"], "place", "vector-order")
     home, inside = F.floor(F.col("place") / block), F.col("place") % block
     # The rows of both neighbouring blocks that windows reach.
@@ -184,12 +203,13 @@ def _round(values: DataFrame, threshold: float, window: int, block: int, seed: i
     return save(windows.groupBy("block").applyInPandas(neighbours, "u long, v long, missed double"), "vector-found")
 
 
-def link_components(vectors: DataFrame, threshold: float = 0.95, window: int = WINDOW, block: int = BLOCK, seed: int = 42) -> DataFrame:
+def link_components(vectors: DataFrame, threshold: float = 0.95, window: int = WINDOW, block: int = BLOCK, seed: int = 42, at_once: int = AT_ONCE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding).
 
     Vectors of equal direction are one class from the start. Each pass sorts the classes by
     concatenated signs of random projections less their mean and compares each with its next
-    ``window`` neighbours, block by block with the last rows of the block before. For every class
+    ``window`` neighbours, block by block with the last rows of the block before; ``at_once`` vectors
+    are sent at a time (one pass at least), which changes no result. For every class
     the chance is measured, from the bits it shares with the rows at its window's edges, that a
     link just at the threshold was met in no pass; classes where it is above 1 - RECALL go through
     another round, with planes through the mean of those left, until there are none or a round
@@ -207,16 +227,18 @@ def link_components(vectors: DataFrame, threshold: float = 0.95, window: int = W
     by_class = rows.where("dim is not null").groupBy("dim", "sign").agg(F.min("row").alias("first"), F.min("vec_id").alias("smallest"), F.count("*").alias("copies"))
     classes = save(by_class, "vector-classes")
     values = save(dealt.join(classes.select(F.col("first").alias("row")), "row", "left_semi").select(F.col("row").alias("first"), "embedding"), "vector-values")
+    discard(dealt)
 
     live, edges, joined, turn = values, None, 0, 0
     while True:
-        found = _round(live, threshold, window, block, seed + turn)
+        steps = _round(live, threshold, window, block, seed + turn, at_once)
+        found = reduce(DataFrame.union, steps)
         more = found.where("v is not null").select("u", "v")
         edges = save((more if edges is None else edges.union(more)).distinct(), "vector-edges")
         parts = save(connected_components(edges), "vector-components")
         missed = found.where("v is null").groupBy(F.col("u").alias("first")).agg(F.sum("missed").alias("missed")).where(F.col("missed") > math.log(1 - RECALL))
         past, live = live, save(live.join(missed, "first", "left_semi"), "vector-live")
-        discard(found, *([past] if turn else []))
+        discard(*steps, *([past] if turn else []))
         before, joined = joined, parts.where("node != component").count()
         if (turn and joined == before) or not live.limit(1).count():
             break

@@ -85,6 +85,21 @@ def test_links_against_brute_force(spark):
     assert link_components(df.limit(0)).count() == 0
 
 
+def test_links_step_by_step(spark):
+    """Passes two at a time link what all at once do, and the tables of their steps are gone."""
+    from skyframe.spool import saved_tables, sweep
+
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.15 * rng.normal(size=16)).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [sorted(map(tuple, link_components(df, 0.95, window=4, block=32, at_once=n).collect())) for n in (2 * 120, 1 << 22)]
+    assert found[0] == found[1] and any(links for _, links, _, _ in found[0])
+    sweep(spark)
+    left = [t.rsplit("/", 1)[1].rsplit("-", 1)[0] for t in saved_tables(spark)]
+    assert "vector-order" not in left and "vector-found" not in left and "vector-rows" not in left
+
+
 def test_links_beside_a_dense_cluster(spark):
     rng = np.random.default_rng(8)
     n, dim, pairs = 3000, 64, 400
