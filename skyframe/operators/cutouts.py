@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from .fit import PARAMETERS, fit_gaussians
 
 #: Windows that are measured together.
-TOGETHER = 512
+TOGETHER = 128
 #: What :func:`measured` adds: the window's median, and moments and half-flux radius about the centroid of its samples above it; null without positive flux.
 MEASURES = ("background", "sharpness", "x", "y", "flux", "mxx", "myy", "mxy", "hfr")
 #: What says that a fit is a minimum: the squared residuals left, the largest share of a slope of theirs and the least eigenvalue of their scaled curvature.
@@ -68,10 +68,12 @@ def half_flux_radius(w: Windows, weight: np.ndarray, there: np.ndarray, cx: np.n
 def moments(w: Windows, background: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
     """Centroid, flux, second moments and half-flux radius of the samples ``there``, above background; NaN without positive flux."""
     weight = np.where(there, w.v - background[:, None], 0.0)
-    flux = weight.sum(axis=1)
+    # Added up one by one, as SQL does: where samples are as far from the centroid as others, its last bit says which comes first.
+    total = lambda a: np.cumsum(a, axis=1)[:, -1] if w.most else np.zeros(w.n)
+    flux = total(weight)
     with np.errstate(all="ignore"):
         flux = np.where(flux > 0, flux, np.nan)
-        cx, cy = (weight * w.x).sum(axis=1) / flux, (weight * w.y).sum(axis=1) / flux
+        cx, cy = total(weight * w.x) / flux, total(weight * w.y) / flux
         dx, dy = w.x - cx[:, None], w.y - cy[:, None]
         second = {k: (weight * a * b).sum(axis=1) / flux for k, a, b in (("mxx", dx, dx), ("myy", dy, dy), ("mxy", dx, dy))}
         hfr = half_flux_radius(w, weight, there, np.nan_to_num(cx), np.nan_to_num(cy), np.nan_to_num(flux))
