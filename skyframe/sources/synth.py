@@ -67,6 +67,23 @@ def noise(seed: int, n: int, start: int = 0) -> np.ndarray:
     return (state >> np.uint64(11)) * 2.0**-53 * 2 - 1
 
 
+def noise_of_many(seeds: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """:func:`noise` of many seeds, one after the other: a jump serves all that begin at the same draw, and all states double together."""
+    first, which = np.unique(starts, return_inverse=True)
+    jumps = np.array([jump(int(k) + 1) for k in first], "u8").reshape(-1, 2)
+    most = int(counts.max(initial=0))
+    state = np.empty((len(seeds), most), "u8")
+    if most:
+        state[:, 0] = seeds.astype("u8") * jumps[which, 0] + jumps[which, 1]
+    known = 1
+    while known < most:
+        factor, add = jump(known)
+        more = min(known, most - known)
+        state[:, known : known + more] = state[:, :more] * np.uint64(factor) + np.uint64(add)
+        known += more
+    return (state[np.arange(most) < counts[:, None]] >> np.uint64(11)) * 2.0**-53 * 2 - 1
+
+
 def noise_rows(spark: SparkSession, seed: int, n: int, tasks: int | None = None) -> DataFrame:
     """(i, v): the first ``n`` draws; each task jumps to its own first one."""
 
