@@ -29,12 +29,19 @@ from .fits import Image, find_image
 BANDS = "frame_id string, width int, height int, bayerpat string, y int, y_end int, top int, v array<double>, message string"
 #: Pixels and bands that share a task at most; headers that are read at once.
 TASK_PIXELS, TASK_BANDS, AT_ONCE = 1 << 22, 512, 32
+#: Pixels of small bands that leave a task as one batch.
+BATCH_PIXELS = 1 << 18
 _COMPARE = {ds.EqualTo: operator.eq, ds.GreaterThan: operator.gt, ds.GreaterThanOrEqual: operator.ge, ds.LessThan: operator.lt, ds.LessThanOrEqual: operator.le}
 
 
+def system_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of ``path`` and the path in it; nothing is listed."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
 def files_at(path: str) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
     """The file system of ``path`` and the files that it names: one, those of a folder, or those of a glob in a folder."""
-    system, at = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    system, at = system_of(path)
     if "*" in at or "?" in at:
         folder, pattern = at.rsplit("/", 1)
         found = [f for f in system.get_file_info(fs.FileSelector(folder)) if fnmatch.fnmatchcase(f.base_name, pattern)]
@@ -115,8 +122,10 @@ class FitsReader(ds.DataSourceReader):
         return out or [Bands([])]
 
     def read(self, partition: Bands) -> Iterator[pa.RecordBatch]:
-        system = files_at(self.path)[0] if partition.bands else None
+        system = system_of(self.path)[0]  # a listing here would be one of all files in every task
+        names = [c.split()[0] for c in BANDS.split(", ")]
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string()]
+        rows, held = [], 0
         for band in partition.bands:
             row: list = [band.path, None, None, None, None, None, None, None, band.message]
             if band.image:
@@ -124,11 +133,14 @@ class FitsReader(ds.DataSourceReader):
                 try:
                     with system.open_input_file(band.path) as f:
                         data = f.read_at((last - first) * image.row_bytes, image.offset + first * image.row_bytes)
-                    row[1:8] = [image.width, image.height, image.pattern, band.y, band.y_end, band.y - first, image.linear(data)]
+                    row[1:8] = [image.width, image.height, image.pattern, band.y, band.y_end, band.y - first, image.linear(data).ravel()]
+                    held += band.pixels
                 except (ValueError, OSError) as e:  # a file that has changed since it was planned
                     row[8] = str(e)
-            columns = [pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BANDS.split(", ")])
+            rows.append(row)
+            if held >= BATCH_PIXELS or band is partition.bands[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows, held = [], 0
 
 
 def bands_of_files(files: DataFrame, rim: int = RIM, band_pixels: int = BAND_PIXELS) -> DataFrame:
@@ -167,7 +179,7 @@ class FitsWriter(ds.DataSourceArrowWriter):
             system.delete_dir_contents(at)
 
     def place(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.folder) if ":/" in self.folder else (fs.LocalFileSystem(), self.folder)
+        return system_of(self.folder)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> ds.WriterCommitMessage:
         system, at = self.place()
