@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from .bands import TOGETHER as SAMPLES_TOGETHER
+from .bands import frame_noise, maxima
 from .fit import PARAMETERS, fit_gaussians
 
 #: Windows that are measured together.
@@ -118,6 +120,55 @@ def measured(peaks: DataFrame, body: str | None = None, background_of: str | Non
     return map_windows(peaks, [*_doubles(*MEASURES), StructField("body_pixels", LongType())], work)
 
 
+def with_scale_of_frames(bands: DataFrame, sigmas: float, radius: int, body_sigmas: float, least_pixels: int, least_hfr: float, out: str) -> DataFrame:
+    """``bands``, each a whole frame, with twice the median half-flux radius of its maxima ``sigmas`` above its median as ``out``; null where there is none.
+
+    Windows reach ``radius``; of them count the samples above their median by ``body_sigmas``, if there are ``least_pixels``, and radii above ``least_hfr``. Frames are measured together where they are.
+    """
+    schema = StructType([*bands.schema, StructField(out, DoubleType())])
+
+    def sizes(frames: list[np.ndarray]) -> list[float | None]:
+        own, noise, places, samples = [], [], [], []
+        for k, v in enumerate(frames):
+            centre, spread = frame_noise(v.ravel())
+            if spread is None or not spread > 0:
+                continue
+            for y, x in zip(*maxima(v, 0, len(v), centre + sigmas * spread), strict=True):
+                y0, x0 = max(y - radius, 0), max(x - radius, 0)
+                window = v[y0 : y + radius + 1, x0 : x + radius + 1]
+                own.append(k)
+                noise.append(spread)
+                places.append((y0, x0, window.shape[1]))
+                samples.append(window.ravel())
+        found: list[list[float]] = [[] for _ in frames]
+        for at in range(0, len(own), TOGETHER):
+            some = slice(at, at + TOGETHER)
+            columns = dict(zip(("w_y", "w_x", "w_cols"), np.array(places[some]).T, strict=True))
+            ends = np.cumsum([0, *map(len, samples[some])], dtype="i4")
+            w = Windows(columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(samples[some]))))
+            background = w.median()
+            body = w.there & (np.nan_to_num(w.v, nan=-np.inf) > (background + body_sigmas * np.array(noise[some]))[:, None])
+            hfr = moments(w, background, body)["hfr"]
+            for k, r, fine in zip(own[some], hfr, (body.sum(axis=1) >= least_pixels) & np.isfinite(hfr) & (hfr > least_hfr), strict=True):
+                if fine:
+                    found[k].append(2 * r)
+        return [float(np.median(f)) if f else None for f in found]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            v, width = whole.column(whole.schema.names.index("v")), whole.column(whole.schema.names.index("width")).to_pylist()
+            start, held, frames = 0, 0, []
+            for i in range(whole.num_rows):
+                frames.append(v[i].values.to_numpy(zero_copy_only=False).reshape(-1, width[i]))
+                held += frames[-1].size
+                if held >= SAMPLES_TOGETHER or i + 1 == whole.num_rows:
+                    batch = whole.slice(start, len(frames))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes(frames), pa.float64())], names=[*whole.schema.names, out])
+                    start, held, frames = i + 1, 0, []
+
+    return bands.mapInArrow(rows, schema)
+
+
 def with_half_flux_radius(windows: DataFrame, cx: str, cy: str, background: str, out: str = "hfr") -> DataFrame:
     """``windows`` with the half-flux radius about given centres above given backgrounds, all columns; 0 without positive flux."""
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import DetectorConfig
 from ..functions.scalars import FWHM_PER_SIGMA, effective_fwhm, fit_shape, gaussian_flux, gaussian_seed, is_finite, measurement_radius
-from ..operators.bands import COLUMNS, WINDOW, band_noise, bands_of_pixels, peaks_with_windows, with_response
-from ..operators.cutouts import CERTIFICATE, fitted, measured
+from ..operators.bands import COLUMNS, WINDOW, band_noise, bands_of_pixels, is_whole, peaks_with_windows, with_response
+from ..operators.cutouts import CERTIFICATE, fitted, measured, with_scale_of_frames
 from ..operators.fit import PARAMETERS
 from ..operators.grid import frames_of, require_single_channel
 from ..operators.peaks import rank_peaks, separate
@@ -80,24 +80,43 @@ def as_bands(frames: DataFrame) -> DataFrame:
 
 def bright_peaks(bands: DataFrame) -> DataFrame:
     """The bright maxima of raw bands, a table, with the windows around them and their frame's ``noise``."""
-    noise = save(band_noise(bands).where("noise > 0"), "noise")
+    noise = save(band_noise(bands, is_table=True).where("noise > 0"), "noise")
     level = detection_level(F.col("median"), F.col("noise"), BRIGHT_SIGMA)
     return peaks_with_windows(bands.select(*COLUMNS).join(noise, "frame_id"), level, BOOT_RADIUS)
 
 
+def has_parts(bands: DataFrame) -> bool:
+    """Whether any frame of the table ``bands`` has several bands; samples aren't read."""
+    return bool(bands.where(~is_whole()).select("frame_id").limit(1).count())
+
+
+def estimated_in_place(bands: DataFrame, out: str = "fwhm") -> DataFrame:
+    """``bands`` that are whole frames with the estimate of :func:`estimate_fwhm`, null where there is none."""
+    return with_scale_of_frames(bands.where(is_whole()), BRIGHT_SIGMA, BOOT_RADIUS, BODY_SIGMA, BODY_PIXELS, LEAST_HFR, out)
+
+
 def estimate_fwhm(frames: DataFrame) -> DataFrame:
-    """(frame_id, fwhm): the median of twice the half-flux radius of each frame's bright maxima, of bands or pixels; frames without any have no row."""
-    peaks = bright_peaks(as_table(as_bands(frames), "bands")).withColumn("body", BODY_SIGMA * F.col("noise"))
+    """(frame_id, fwhm): the median of twice the half-flux radius of each frame's bright maxima, of bands or pixels; frames without any have no row.
+
+    Frames that are one band are measured where they are; maxima of others meet.
+    """
+    bands = as_table(as_bands(frames), "bands")
+    whole = estimated_in_place(bands.select("frame_id", "width", "height", "y", "y_end", "v")).where("fwhm is not null").select("frame_id", "fwhm")
+    return whole.unionByName(_estimate_of_parts(bands.where(~is_whole()))) if has_parts(bands) else whole
+
+
+def _estimate_of_parts(bands: DataFrame) -> DataFrame:
+    peaks = bright_peaks(bands).withColumn("body", BODY_SIGMA * F.col("noise"))
     sizes = measured(peaks, "body").where((F.col("body_pixels") >= BODY_PIXELS) & is_finite(F.col("hfr")) & (F.col("hfr") > LEAST_HFR))
     return sizes.groupBy("frame_id").agg(F.median(2 * F.col("hfr")).alias("fwhm"))
 
 
 def scale_of(bands: DataFrame, config: DetectorConfig) -> DataFrame:
-    """(frame_id, fwhm) of every frame: as configured, else estimated, else 3; at least 1. Only an estimate reads the samples."""
+    """(frame_id, fwhm) of every frame of several bands: as configured, else estimated, else 3; at least 1. Only an estimate reads the samples."""
     frames = bands.where("y = 0").select("frame_id")
     if config.expected_fwhm is not None:
         return frames.withColumn("fwhm", effective_fwhm(config.expected_fwhm))
-    found = estimate_fwhm(bands).withColumnRenamed("fwhm", "_found")
+    found = _estimate_of_parts(bands).withColumnRenamed("fwhm", "_found")
     return frames.join(found, "frame_id", "left").select("frame_id", effective_fwhm(F.col("_found")).alias("fwhm"))
 
 
@@ -118,12 +137,29 @@ def with_rims(bands: DataFrame, quarantine: Quarantine | None) -> DataFrame:
     return bands.join(bad, "frame_id", "left_anti")
 
 
-def response_peaks(bands: DataFrame, config: DetectorConfig) -> DataFrame:
-    """Local maxima of the zero-sum response of ``bands`` (with fwhm) above its median by robust sigmas, with windows of the raw samples; frames without spread have none."""
-    response = save(with_response(bands, F.col("fwhm") / FWHM_PER_SIGMA), "response")
+def response_peaks(bands: DataFrame, config: DetectorConfig, quarantine: Quarantine | None = None) -> DataFrame:
+    """Local maxima of the zero-sum response of the table ``bands`` above its median by robust sigmas, with windows of the raw samples and the frame's fwhm; frames without spread have none.
+
+    Frames that are one band go from samples to peaks where they are. Of others only numbers of
+    frames meet: their scale, then their response's noise, for which the response is a table.
+    """
+    some = bands.select(*COLUMNS)
+    whole = some.where(is_whole())
+    scaled = estimated_in_place(whole, "_found") if config.expected_fwhm is None else whole.withColumn("_found", F.lit(float(config.expected_fwhm)))
+    scaled = scaled.withColumn("fwhm", effective_fwhm(F.col("_found"))).drop("_found")
+    peaks = _peaks_of_response(with_response(scaled, F.col("fwhm") / FWHM_PER_SIGMA, noise=True).where("noise > 0"), config)
+    if not has_parts(bands):
+        return peaks
+    parts = some.where(~is_whole())
+    known = with_rims(parts.join(save(scale_of(parts, config), "scale"), "frame_id"), quarantine)
+    response = save(with_response(known, F.col("fwhm") / FWHM_PER_SIGMA), "response")
     noise = save(band_noise(response, "response", "response_top").where("noise > 0"), "response-noise")
+    return peaks.unionByName(_peaks_of_response(response.join(noise, "frame_id"), config))
+
+
+def _peaks_of_response(response: DataFrame, config: DetectorConfig) -> DataFrame:
     level = detection_level(F.col("median"), F.col("noise"), config.threshold_sigma)
-    return peaks_with_windows(response.join(noise, "frame_id"), level, measurement_radius(F.col("fwhm")), "response", "response_top")
+    return peaks_with_windows(response, level, measurement_radius(F.col("fwhm")), "response", "response_top")
 
 
 def seeds(amplitude: Column) -> dict[str, Column]:
@@ -143,17 +179,15 @@ class MatchedFilterDetector:
         """Stars of each frame of ``pixels`` (bands, or dense single-channel pixels that are rows): frame_id, rank, x, y, flux, hfr, fwhm, eccentricity.
 
         ``rank`` is the order of falling response among the frame's separated peaks. Frames of more
-        channels, and those whose bands have too narrow rims, go to ``quarantine`` or raise. Scales,
-        response and peaks are written as tables, each read by what follows, and so are the bands
-        unless they are a saved table.
+        channels, and those whose bands have too narrow rims, go to ``quarantine`` or raise. Peaks
+        are written as a table, so are the bands unless they are a saved table, and scales and
+        response of frames of several bands.
         """
         config = self.config
         if frames is not None:
             pixels = pixels.join(require_single_channel(frames, quarantine).select("frame_id"), "frame_id", "left_semi")
         bands = as_table(as_bands(pixels), "bands")
-        scale = save(scale_of(bands, config), "scale")
-        known = with_rims(bands.select(*COLUMNS).join(scale, "frame_id"), quarantine)
-        peaks = save(response_peaks(known, config).withColumnsRenamed({"height_of_peak": "response"}), "peaks")
+        peaks = save(response_peaks(bands, config, quarantine).withColumnsRenamed({"height_of_peak": "response"}), "peaks")
         slim = peaks.select("frame_id", F.col("peak_y").alias("y"), F.col("peak_x").alias("x"), "response", "fwhm")
         apart = separate(slim, "response", separation(F.col("fwhm"), config.min_separation))
         ranked = save(rank_peaks(apart, "response"), "ranks").select("frame_id", F.col("y").alias("peak_y"), F.col("x").alias("peak_x"), "rank")
