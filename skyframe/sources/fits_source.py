@@ -111,11 +111,11 @@ class FitsReader(ds.DataSourceReader):
         named = [f for f in files if all(test(f.path, value) for c, test, value in self.tests if c == "frame_id")]
         out: list[Bands] = []
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            size = TASK_PIXELS
+            size = 0
             for own in pool.map(lambda f: self.bands(system, f), named):
                 for band in filter(self.wanted, own):
                     size += band.pixels
-                    if size > TASK_PIXELS or len(out[-1].bands) >= TASK_BANDS:
+                    if not out or size > TASK_PIXELS or len(out[-1].bands) >= TASK_BANDS:
                         out.append(Bands([]))
                         size = band.pixels
                     out[-1].bands.append(band)
