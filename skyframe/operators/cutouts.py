@@ -67,6 +67,13 @@ def half_flux_radius(w: Windows, weight: np.ndarray, there: np.ndarray, cx: np.n
     return np.where(crossed.any(axis=1), inside, end)
 
 
+def half_flux_radius_about(w: Windows, cx: np.ndarray, cy: np.ndarray, background: np.ndarray) -> np.ndarray:
+    """:func:`half_flux_radius` of all samples above ``background``; 0 without positive flux."""
+    weight = np.where(w.there, w.v - background[:, None], 0.0)
+    flux = weight.sum(axis=1)
+    return np.where(flux > 0, half_flux_radius(w, weight, w.there, cx, cy, flux), 0.0)
+
+
 def moments(w: Windows, background: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
     """Centroid, flux, second moments and half-flux radius of the samples ``there``, above background; NaN without positive flux."""
     weight = np.where(there, w.v - background[:, None], 0.0)
@@ -173,9 +180,7 @@ def with_half_flux_radius(windows: DataFrame, cx: str, cy: str, background: str,
     """``windows`` with the half-flux radius about given centres above given backgrounds, all columns; 0 without positive flux."""
 
     def work(columns: dict[str, np.ndarray], w: Windows) -> dict[str, np.ndarray]:
-        weight = np.where(w.there, w.v - columns[background][:, None], 0.0)
-        flux = weight.sum(axis=1)
-        return {out: np.where(flux > 0, half_flux_radius(w, weight, w.there, columns[cx].astype("f8"), columns[cy].astype("f8"), flux), 0.0)}
+        return {out: half_flux_radius_about(w, columns[cx].astype("f8"), columns[cy].astype("f8"), columns[background])}
 
     return map_windows(windows, _doubles(out), work)
 

@@ -12,6 +12,9 @@ from pyspark.sql.types import StructType
 
 from ..components import connected_components
 from ..spool import discard, save
+from .bands import TOGETHER as SAMPLES_TOGETHER
+from .bands import frame_noise
+from .cutouts import TOGETHER, Windows, half_flux_radius_about
 
 #: Of a part of a body, what a band knows: its samples, their weight above the background, weighted means and spreads, and the brightest.
 PART = "label int, area long, flux double, cx double, cy double, sxx double, syy double, sxy double, peak double, peak_y int, peak_x int"
@@ -19,51 +22,46 @@ PART = "label int, area long, flux double, cx double, cy double, sxx double, syy
 
 def labelled(bright: np.ndarray) -> np.ndarray:
     """0 for dark samples, else the number of the 8-connected body, from 1 in order of its first sample."""
-    out, up = np.zeros(bright.shape, "i8"), [0]
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    before: list[tuple[int, int, int]] = []
-    for y in np.flatnonzero(bright.any(axis=1)).tolist():
-        edges = np.flatnonzero(np.diff(np.r_[0, bright[y].astype("i1"), 0]))
-        above = before if y and bright[y - 1].any() else []
-        before, k = [], 0
-        for a, b in edges.reshape(-1, 2).tolist():
-            own = len(up)
-            up.append(own)
-            while k < len(above) and above[k][1] < a:
-                k += 1
-            j = k
-            while j < len(above) and above[j][0] <= b:  # runs touch over a corner, too
-                one, two = sorted((root(own), root(above[j][2])))
-                up[two] = one
-                j += 1
-            before.append((a, b, own))
-            out[y, a:b] = own
-    roots = np.array([root(i) for i in range(len(up))])
-    _, number = np.unique(roots, return_inverse=True)
-    return number[out] if len(up) > 1 else out
-
-
-def parts_of(v: np.ndarray, labels: np.ndarray, background: float, first_row: int) -> dict[str, np.ndarray]:
-    """PART of each body of a band's own rows."""
+    wide = bright.shape[1] + 1  # a dark column behind each row ends its runs
+    flat = np.pad(bright, [(0, 0), (0, 1)]).ravel()
+    start, end = np.flatnonzero(np.diff(flat, prepend=False)).reshape(-1, 2).T
+    # Runs of the row below touch from one column before to one behind, over a corner, too.
+    first, last = np.searchsorted(end, start + wide), np.searchsorted(start, end + wide, "right")
+    count = np.maximum(last - first, 0)
+    above = np.repeat(np.arange(len(start)), count)
+    below = np.arange(len(above)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    root = np.arange(len(start))
+    while len(above):
+        np.minimum.at(root, np.maximum(above, below), np.minimum(above, below))
+        while (root[root] != root).any():
+            root = root[root]
+        above, below = root[above], root[below]
+        above, below = above[above != below], below[above != below]
+    _, number = np.unique(root, return_inverse=True)
+    out = np.zeros(len(flat), "i8")
+    out[flat] = np.repeat(number + 1, end - start)
+    return out.reshape(-1, wide)[:, :-1]
+
+
+def parts_of(v: np.ndarray, labels: np.ndarray, background: float | np.ndarray, first_row: int, start: int | np.ndarray = 0) -> dict[str, np.ndarray]:
+    """PART of each body of a band's own rows. ``background`` and ``start``, the row that counts as 0, may be arrays that have one value for each row of ``v``."""
     n = int(labels.max(initial=0))
-    y, x = np.nonzero(labels)
-    label, w = labels[y, x] - 1, v[y, x] - background
+    row, x = np.nonzero(labels)
+    per_row = lambda a: np.broadcast_to(a, len(v))[row]
+    own, y, label = v[row, x], row - per_row(start), labels[row, x] - 1
+    w = own - per_row(background)
     total = lambda a: np.bincount(label, a, n)
     flux = total(w)
     with np.errstate(all="ignore"):
         cx, cy = total(w * x) / flux, total(w * y) / flux
     dx, dy = x - cx[label], y - cy[label]
-    order = np.lexsort((x, y, -v[y, x], label))
-    top = order[np.flatnonzero(np.r_[True, np.diff(label[order]) > 0])] if n else order
+    peak = np.full(n, -np.inf)
+    np.maximum.at(peak, label, own)
+    brightest = np.flatnonzero(own == peak[label])
+    top = brightest[np.unique(label[brightest], return_index=True)[1]]  # samples lie by row, then column
     return {
         "label": np.arange(1, n + 1), "area": np.bincount(label, minlength=n), "flux": flux, "cx": cx, "cy": cy + first_row, "sxx": total(w * dx * dx), "syy": total(w * dy * dy), "sxy": total(w * dx * dy),
-        "peak": v[y[top], x[top]], "peak_y": y[top] + first_row, "peak_x": x[top],
+        "peak": peak, "peak_y": y[top] + first_row, "peak_x": x[top],
     }
 
 
@@ -120,3 +118,62 @@ def bodies(bands: DataFrame, level: Column, background: Column) -> DataFrame:
     result = save(out.select("frame_id", "area", "flux", *[(F.col(c) / flux).alias(n) for c, n in (("_x", "x"), ("_y", "y"), ("_xx", "mxx"), ("_yy", "myy"), ("_xy", "mxy"))], "best.peak", "best.peak_y", "best.peak_x"), "bodies")
     discard(parts)
     return result
+
+
+#: What :func:`bodies_of_frames` finds of a body, besides its frame's columns.
+BODY = "median double, area long, flux double, x double, y double, mxx double, myy double, mxy double, peak double, peak_y int, peak_x int, hfr double"
+
+
+def bodies_of_frames(bands: DataFrame, sigmas: float, least_pixels: int, most_pixels: int, radius: int) -> DataFrame:
+    """(frame_id, width, height, BODY) of the bodies of ``bands``, each a whole frame, that have so many pixels and positive flux.
+
+    A body is above its frame's ``median`` by so many robust sigmas and weighed above it; ``hfr`` is the half-flux radius
+    about its centroid, of the samples within ``radius`` of its peak. Frames without spread have none. Frames are
+    labelled and measured together where they are, so nothing but bodies leaves a task.
+    """
+    schema = StructType([*(bands.schema[c] for c in ("frame_id", "width", "height")), *StructType.fromDDL(BODY)])
+    kinds = [pa.float64(), pa.int64(), *[pa.float64()] * 7, pa.int32(), pa.int32(), pa.float64()]
+
+    def found(frames: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Places in ``frames``, which are of one width, and the columns of BODY."""
+        noise = [frame_noise(v.ravel()) for v in frames]
+        live = np.array([k for k, (_, spread) in enumerate(noise) if spread is not None and spread > 0], "i8")
+        if not len(live):
+            return live, [np.zeros(0) for _ in kinds]
+        # A dark row behind each frame keeps bodies apart.
+        dark = np.full((1, frames[0].shape[1]), np.nan)
+        v = np.concatenate([rows for k in live for rows in (frames[k], dark)])
+        height = np.array([len(frames[k]) for k in live])
+        first = np.cumsum(height + 1) - height - 1
+        per_row = lambda a: np.repeat(a, height + 1)
+        median, spread = np.array([noise[k] for k in live]).T
+        labels = labelled(v > per_row(median + sigmas * spread)[:, None])
+        made = parts_of(v, labels, per_row(median), 0, per_row(first))
+        # Labels rise with the rows, so a frame has those up to its highest.
+        own = np.searchsorted(np.maximum.accumulate(np.maximum.reduceat(labels.max(axis=1), first)), made["label"])
+        fine = (made["area"] >= least_pixels) & (made["area"] <= most_pixels) & (made["flux"] > 0)
+        own, made = own[fine], {k: a[fine] for k, a in made.items()}
+        py, px, flux = made["peak_y"], made["peak_x"], made["flux"]
+        y0, y1, x0, x1 = np.maximum(py - radius, 0), np.minimum(py + radius + 1, height[own]), np.maximum(px - radius, 0), np.minimum(px + radius + 1, v.shape[1])
+        hfr = np.zeros(len(own))
+        for at in range(0, len(own), TOGETHER):
+            some = slice(at, at + TOGETHER)
+            cut = [v[a:b, c:d].ravel() for a, b, c, d in zip((first[own] + y0)[some], (first[own] + y1)[some], x0[some], x1[some], strict=True)]
+            ends = np.cumsum([0, *map(len, cut)], dtype="i4")
+            w = Windows({"w_y": y0[some], "w_x": x0[some], "w_cols": (x1 - x0)[some]}, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cut))))
+            hfr[some] = half_flux_radius_about(w, made["cx"][some], made["cy"][some], median[own][some])
+        shape = [made[c] / flux for c in ("sxx", "syy", "sxy")]
+        return live[own], [median[own], made["area"], flux, made["cx"], made["cy"], *shape, made["peak"], py, px, hfr]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width, samples = batch.column(1).to_numpy(), batch.column(3)
+            turn = np.cumsum(samples.value_lengths().to_numpy()) // SAMPLES_TOGETHER
+            for some in np.split(np.arange(len(width)), np.flatnonzero(np.diff(turn)) + 1):
+                for size in np.unique(width[some]).tolist():
+                    alike = some[width[some] == size]
+                    place, columns = found([samples[k].values.to_numpy(zero_copy_only=False).reshape(-1, size) for k in alike.tolist()])
+                    frame = [batch.column(k).take(pa.array(alike[place])) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([*frame, *[pa.array(a, kind) for a, kind in zip(columns, kinds, strict=True)]], names=schema.names)
+
+    return bands.select("frame_id", "width", "height", "v").mapInArrow(rows, schema)

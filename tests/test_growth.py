@@ -92,3 +92,22 @@ def test_whole_frames_are_detected_where_they_are(spark):
     assert both[0].keys() == both[1].keys() and len(both[0]) > 20
     for k, star in both[0].items():
         assert star == pytest.approx(both[1][k], rel=1e-3, abs=1e-3)
+
+
+def test_whole_frames_are_segmented_where_they_are(spark):
+    from skyframe.operators.bands import bands_of_arrays
+    from skyframe.plans.segment import SegmentConfig, SegmentDetector
+    from skyframe.spool import save
+
+    made = q.planted_frames(spark, DIR).where("frame_id < 5")
+    flat = spark.sql("select 7 as frame_id, 64 as width, 64 as height, array_repeat(double(200), 4096) as values, cast(null as array<struct<y: int, x: int, peak: double>>) as stars")
+    small = spark.sql("select 8 as frame_id, 9 as width, 12 as height, transform(sequence(0, 107), i -> 200d + i % 7 + if(i in (48, 49, 57, 58, 59, 67), 900d + i, 0d)) as values, cast(null as array<struct<y: int, x: int, peak: double>>) as stars")
+    frames = save(made.select("frame_id", "width", "height", "values", "stars").unionByName(flat).unionByName(small), "frames")
+    whole, parts, mixed = (save(b, "bands") for b in (bands_of_arrays(frames), bands_of_arrays(frames, 16, 1), bands_of_arrays(frames.where("frame_id > 2")).unionByName(bands_of_arrays(frames.where("frame_id <= 2"), 16, 1))))
+    plan = SegmentDetector().detect(whole)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # for ranks
+    for config in (SegmentConfig(), SegmentConfig(roundness_limit=1.0, edge_margin=0, least_pixels=1)):
+        told = [{(r.frame_id, r["rank"]): (r.x, r.y, r.flux, r.hfr, r.fwhm, r.eccentricity) for r in SegmentDetector(config).detect(b).collect()} for b in (whole, parts, mixed)]
+        assert told[0].keys() == told[1].keys() == told[2].keys() and len(told[0]) > 40 and 7 not in {k for k, _ in told[0]}
+        assert all(star == pytest.approx(t[k], rel=1e-9, abs=1e-9) for t in told[1:] for k, star in told[0].items())
+    assert 8 in {k for k, _ in told[0]}
