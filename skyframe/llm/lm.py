@@ -20,15 +20,15 @@ how often each task met them, and the next round starts from there (iterative pa
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
 from math import log2, log10
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,42 +41,52 @@ END = b"\n"
 CLASSES, LEAVES, OWN = 32, 32, 24
 #: Words that are clustered by themselves; all others go by their ending. Buckets in which neighbours are counted.
 FREQUENT, ENDINGS, BUCKETS = 1792, 256, 64
-#: Words that scoring tasks hold in memory, entries of a worker's cache of words, and the bound of feature rows (a power of 2).
+#: Words that scoring tasks hold in memory, a quarter of those that counting tasks do, and the bound of feature rows (a power of 2).
 HELD_WORDS, CACHE_WORDS, MOST_ROWS = 150_000, 400_000, 13
-#: Bytes of the words in a worker's cache.
-CACHE_BYTES = 1 << 25
+#: Bytes of texts that are coded together.
+CODED_BYTES = 1 << 21
 #: Tokens of a step and, about, of a training task; rounds, each over its own part of the documents.
 STEP, TASK_TOKENS, ROUNDS = 32_768, 4_000_000, 2
 
 
-def token_code(word: bytes) -> int:
-    """A word as a signed 64-bit number: 56 bits of its XXH64 and, lowest, 8 of its last two bytes before any marks."""
+def token_codes(words: Sequence[bytes]) -> np.ndarray:
+    """Words as signed 64-bit numbers: 56 bits of their XXH64 and, lowest, 8 of their last two bytes before any marks."""
     from xxhash import xxh64_intdigest
 
-    code = (xxh64_intdigest(word, 7) << 8 & (1 << 64) - 1) | crc32(word.rstrip(b".,;:!?")[-2:]) & 255
-    return code - (1 << 64) if code >> 63 else code
+    high = np.fromiter((xxh64_intdigest(w, 7) for w in words), "u8", len(words))
+    low = np.fromiter((crc32(w.rstrip(b".,;:!?")[-2:]) & 255 for w in words), "u8", len(words))
+    return (high << np.uint64(8) | low).view("i8")
+
+
+def token_code(word: bytes) -> int:
+    """One word of :func:`token_codes`."""
+    return int(token_codes([word])[0])
+
+
+def coded(texts: pa.Array) -> pa.ListArray:
+    """The codes of the words of binary ``texts``, the end last; each different word is coded once."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))  # by bytes, whatever they are
+    told = words.flatten().view(pa.binary()).dictionary_encode()
+    different = told.dictionary.to_numpy(zero_copy_only=False).tolist()
+    codes, place, lengths = token_codes(different), told.indices.to_numpy(), words.value_lengths().to_numpy()
+    there = np.fromiter(map(len, different), "i8", len(different))[place] > 0  # white space at an end of a text makes an empty word
+    if not there.all():
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[there], minlength=len(lengths))
+    ends = np.cumsum(lengths)
+    flat = np.insert(codes[place[there]], ends, token_code(END))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype("i4")), pa.array(flat))
 
 
 def coded_texts(docs: DataFrame) -> DataFrame:
     """``row`` (a number of its own), doc_id and ``tokens`` (codes, the end last) of every row of ``docs`` (doc_id, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                block = [[*(t or b"").lower().split(), END] for t in part.column(2).to_pylist()]
-                flat = list(chain.from_iterable(block))
-                if len(known) > CACHE_WORDS or held > CACHE_BYTES:
-                    known.clear()
-                    held = 0
-                new = set(flat).difference(known)
-                known.update((w, token_code(w)) for w in new)
-                held += sum(map(len, new))
-                ends = np.cumsum([0, *map(len, block)], dtype="i4")
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(map(known.__getitem__, flat), "i8", len(flat))))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["row", "doc_id", "tokens"])
+            size = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype("i8")
+            starts = np.flatnonzero(np.diff(np.cumsum(size) // CODED_BYTES, prepend=-1))
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True) if batch.num_rows else ():
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), coded(part.column(2))], names=["row", "doc_id", "tokens"])
 
     told = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     return told.mapInArrow(rows, "row long, doc_id long, tokens array<long>")
@@ -88,20 +98,22 @@ def _runs(column: pa.ListArray, size: int = STEP, ids: Callable[[np.ndarray], np
     With ``ids``, which is asked once for each run and then carried on, each of the three is a pair of codes and their ids.
     """
     end = token_code(END)
-    flat, lengths = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy().astype("i8")
+    offsets -= offsets[:1]
     if ids is not None:
-        end_id, known = int(ids(np.array([end], "i8"))[0]), np.empty(len(flat), "i8")
+        end_id, known = int(ids(np.array([end], "i8"))[0]), np.empty(len(flat), "i4")
     for at in range(0, len(flat), size):
         own = slice(at, at + size)
         index = np.arange(at, min(at + size, len(flat)))
-        back, inside = [np.maximum(index - k, 0) for k in (1, 2)], [place[own] >= k for k in (1, 2)]
+        first, last = np.searchsorted(offsets, (at, index[-1]), "right") - 1
+        doc = np.repeat(np.arange(first, last + 1), np.diff(np.clip(offsets[first : last + 2], at, at + len(index))))
+        place = index - offsets[doc]
+        back, inside = [np.maximum(index - k, 0) for k in (1, 2)], [place >= k for k in (1, 2)]
         codes = [flat[own], *(np.where(ok, flat[i], end) for ok, i in zip(inside, back, strict=True))]
         if ids is not None:
             known[own] = ids(codes[0])
             codes = list(zip(codes, [known[own], *(np.where(ok, known[i], end_id) for ok, i in zip(inside, back, strict=True))], strict=True))
-        yield *codes, doc[own]
+        yield *codes, doc
 
 
 def _hashed(x: np.ndarray, rows: int) -> np.ndarray:
@@ -156,51 +168,91 @@ class Model:
         codes, ids = word
         cls, leaf = self.places(codes, ids)
         one, two = self.features(first, second, cls)
-        own = np.arange(len(codes))
-        chance = log_softmax(self.one, one)[own, cls] + log_softmax(self.two, two)[own, leaf]
+        chance = log_chance_of(self.one, one, cls) + log_chance_of(self.two, two, leaf)
         return chance / np.log(10) - self.log_unit[cls * LEAVES + leaf]
 
 
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log chances of the softmax whose logits are sums of the active rows."""
-    out = np.empty((len(rows), weights.shape[1]), weights.dtype)
+def _softmax_parts(weights: np.ndarray, rows: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs of tokens, which they are, logits (sums of the active rows, less the largest), their exponentials and the sums of those."""
     for at in range(0, len(rows), 4096):  # parts that stay in a processor's cache
         part = rows[at : at + 4096]
         logits = np.take(weights, part[:, 0], axis=0)
         for k in range(1, rows.shape[1]):
             logits += np.take(weights, part[:, k], axis=0)
         logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        out[at : at + 4096] = logits
+        powers = np.exp(logits)
+        yield slice(at, at + len(part)), logits, powers, powers.sum(axis=1, keepdims=True)
+
+
+def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log chances of the softmax whose logits are sums of the active rows."""
+    out = np.empty((len(rows), weights.shape[1]), weights.dtype)
+    for own, logits, _, total in _softmax_parts(weights, rows):
+        out[own] = logits - np.log(total)
+    return out
+
+
+def log_chance_of(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of :func:`log_softmax` each token's ``target``."""
+    out = np.empty(len(rows), weights.dtype)
+    for own, logits, _, total in _softmax_parts(weights, rows):
+        out[own] = logits[np.arange(len(logits)), target[own]] - np.log(total[:, 0])
+    return out
+
+
+def run_sums(values: np.ndarray, source: np.ndarray, starts: np.ndarray, most: int = 16) -> np.ndarray:
+    """Sums of the rows ``source`` of ``values`` over runs of ``source`` that begin at ``starts``: the j-th rows of all runs at once, long runs in pieces."""
+    size = np.diff(starts, append=len(source))
+    if size.max(initial=0) > most:
+        pieces = -(-size // most)
+        first = np.cumsum(pieces) - pieces
+        place = np.arange(pieces.sum()) - np.repeat(first, pieces)
+        parts = run_sums(values, source, np.repeat(starts, pieces) + most * place, most)
+        return run_sums(parts, np.arange(len(parts)), first, most)
+    order = np.argsort((most - size).astype("u1"), kind="stable")  # longest first
+    begin, sums = starts[order], np.empty((len(starts), values.shape[1]), values.dtype)
+    for j in range(size.max(initial=0)):
+        some = begin[: np.count_nonzero(size > j)]
+        if j:
+            sums[: len(some)] += np.take(values, source[some + j], axis=0)
+        else:
+            np.take(values, source[some], axis=0, out=sums, mode="clip")
+    out = np.empty_like(sums)
+    out[order] = sums
     return out
 
 
 def slopes(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(touched rows, how often, gradient of the summed log chance of ``target`` by each of them)."""
-    off = -np.exp(log_softmax(weights, rows))
-    off[np.arange(len(target)), target] += 1
-    # A row that is active for all tokens gets the plain sum.
+    n = len(target)
+    # A row that is active for all tokens gets the plain sum, a value of its own behind the tokens'.
     common = [k for k in range(rows.shape[1]) if (rows[:, k] == rows[0, k]).all()]
-    flat = np.delete(rows, common, axis=1).ravel(order="F")
-    count = np.bincount(flat, minlength=len(weights))
-    np.add.at(count, rows[0, common], len(rows))
-    touched = np.flatnonzero(count)
-    out = np.empty((off.shape[1], len(touched)), "f4")
-    repeated = np.empty(len(flat))
-    for column, own in zip(out, np.ascontiguousarray(off.T), strict=True):
-        repeated.reshape(-1, len(own))[:] = own
-        column[:] = np.bincount(flat, repeated, len(weights))[touched]
-    for k in common:
-        out[:, np.searchsorted(touched, rows[0, k])] += off.sum(axis=0)
-    return touched, count[touched], out.T
+    off = np.empty((n + len(common), weights.shape[1]), weights.dtype)
+    for own, _, powers, total in _softmax_parts(weights, rows):
+        np.divide(powers, -total, out=off[own])
+    off[np.arange(n), target] += 1
+    off[n:] = off[:n].sum(axis=0)
+    others = [k for k in range(rows.shape[1]) if k not in common]
+    flat = np.concatenate([*(rows[:, k] for k in others), rows[0, common]])
+    source = np.concatenate([*[np.arange(n)] * len(others), np.arange(n, n + len(common))])
+    order = np.argsort(flat.astype(np.min_scalar_type(len(weights))), kind="stable")  # 16 bits are sorted by radix
+    flat, source = flat[order], source[order]
+    starts = np.flatnonzero(np.diff(flat, prepend=-1))
+    touched, count = flat[starts], np.diff(starts, append=len(flat))
+    np.add.at(count, np.searchsorted(touched, rows[0, common]), n - 1)
+    return touched, count, run_sums(off, source, starts)
 
 
 def _updated(weights: np.ndarray, power: np.ndarray, met: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
     touched, count, slope = slopes(weights, rows, target)
     slope /= np.sqrt(len(target))
-    own = power[touched] + slope**2
+    own = np.take(power, touched, axis=0)
+    own += slope * slope
     power[touched] = own
-    weights[touched] += rate * slope / np.sqrt(own)
+    slope *= rate
+    slope /= np.sqrt(own, out=own)
+    slope += np.take(weights, touched, axis=0)
+    weights[touched] = slope
     met[touched] += count
 
 

@@ -97,3 +97,25 @@ def test_scores(spark, awkward, no_docs):
     assert lm.score_texts(awkward, awkward).count() == len(AWKWARD)
     assert lm.score_texts(no_docs, no_docs).count() == 0
     assert lm.score_texts(awkward, no_docs).where("score > 0 or n_known > 0").count() == 0
+
+
+def test_texts_are_coded_by_different_word():
+    """Against a split word by word; odd white space, no words and bytes that are no UTF-8."""
+    texts = [None, b"", b" ", b" a  b\x0b\x0cC\x1c d\x85e\xc2\xa0f ", b"\xff\xfe X\x00y Z", "\u00c9 \u00c0A a".encode(), b"END\n\n", b"a\x1db, a."]
+    want = [[lm.token_code(w) for w in [*(t or b"").lower().split(), lm.END]] for t in texts]
+    assert lm.coded(pa.array(texts, pa.binary())).to_pylist() == want
+    assert lm.coded(pa.array(texts, pa.binary()).slice(3, 2)).to_pylist() == want[3:5] and lm.coded(pa.array([], pa.binary())).to_pylist() == []
+    assert lm.token_codes([b"a", b"b"]).tolist() == [lm.token_code(b"a"), lm.token_code(b"b")]
+
+
+def test_run_sums_and_targets_against_loops():
+    rng = np.random.default_rng(4)
+    values, source = rng.normal(size=(40, 5)), rng.integers(0, 40, 900)
+    starts = np.array([0, 1, 3, 20, 37, 300, 899])
+    want = [values[source[a:b]].sum(axis=0) for a, b in zip(starts, [*starts[1:], 900], strict=True)]
+    for most in (2, 16, 200):
+        assert np.allclose(lm.run_sums(values, source, starts, most), want)
+    rows, target = rng.integers(0, 40, (9000, 3)), rng.integers(0, 5, 9000)
+    assert np.allclose(lm.log_chance_of(values, rows, target), lm.log_softmax(values, rows)[np.arange(9000), target])
+    touched, count, slope = lm.slopes(values, rows[:50] * 0 + 3, target[:50])
+    assert touched.tolist() == [3] and count.tolist() == [150] and slope.shape == (1, 5)
